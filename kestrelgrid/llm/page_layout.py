@@ -16,7 +16,9 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BODY, HEADLINE, ADVERT, HEAD = 0, 1, 2, 3
 #: The scan's geometry in pixels: left margin, width of the text, space between columns, the zone of the page's head, and
@@ -184,7 +186,16 @@ PAGE_COLUMNS = ["text", "n_cols", "boxes.x0", "boxes.y0", "boxes.x1"]
 
 def pages_of(batch: pa.RecordBatch) -> Iterable[tuple]:
     """(text, n_cols, x0, y0, x1) of each row of a batch with PAGE_COLUMNS."""
-    return zip(*(batch.column(k).to_pylist() for k in ("text", "n_cols", "x0", "y0", "x1")))
+    return zip(batch.column("text").to_pylist(), batch.column("n_cols").to_pylist(), *(_lists(batch.column(k)) for k in ("x0", "y0", "x1")))
+
+
+def _lists(column: pa.Array) -> list[list[int] | None]:
+    """Like to_pylist() of a list column, by slices of one flat list."""
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        return column.to_pylist()
+    values, ends = flat.to_numpy().tolist(), np.cumsum(pc.list_value_length(column).to_numpy()).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def fit_on_sample(documents, pages: int = 2000) -> LineKinds:
