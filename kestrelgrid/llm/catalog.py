@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES = ("p2_nearest", "p6_leaks", "p8_sentences")
+MODULES = ("p2_nearest", "p6_leaks", "p7_mix", "p8_sentences")
 
 
 def _merged(attribute: str) -> dict:
