@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 #: A number: ASCII digits, an optional sign, point and exponent. Java's and RE2's syntax alike.
 NUMBER = r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *$"
 CLOCK = r"^ *[0-9]{2}:[0-5][0-9]:[0-5][0-9]\.[0-9]{3} *$"
-_QUOTE, _SEPARATOR = 0x22, "\x1f"
+#: The quote, and what stands for a delimiter of several bytes: a byte that UTF-8 never holds.
+_QUOTE, _SEPARATOR = 0x22, b"\xff"
 
 
 def split_records(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, delimiters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,15 +71,14 @@ def _unquoted(field: str) -> str:
 
 def parse_batch(raw: list[str | None], delims: list[str | None], headers: list[str | None]) -> tuple[list, list]:
     """For each record its fields, unquoted, or None, and the reason against it by structure, or None."""
-    single = [d if d is not None and len(d.encode()) == 1 else _SEPARATOR for d in delims]
+    single = [_one_byte(d) for d in delims]
     texts = []
     for text, delim, one in zip(raw, delims, single):
-        text = text or ""
-        text = text[:-1] if text.endswith("\r") else text
-        texts.append((text if delim is None or one == delim or not delim else text.replace(delim, one)).encode())
+        data = (text or "").encode().removesuffix(b"\r")
+        texts.append(data.replace(delim.encode(), one) if delim and one == _SEPARATOR else data)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths)
-    bad, cuts, index = split_records(np.frombuffer(b"".join(texts), np.uint8), ends - lengths, ends, np.frombuffer("".join(single).encode(), np.uint8))
+    bad, cuts, index = split_records(np.frombuffer(b"".join(texts), np.uint8), ends - lengths, ends, np.frombuffer(b"".join(single), np.uint8))
     counts: dict[tuple, int] = {}
     fields, reasons = [], []
     for i, text in enumerate(texts):
@@ -91,21 +91,24 @@ def parse_batch(raw: list[str | None], delims: list[str | None], headers: list[s
             counts[delim, header] = len(header_names(header, delim))
         start = int(ends[i] - lengths[i])
         borders = [-1, *(cuts[index[i] : index[i + 1]] - start).tolist(), len(text)]
-        own = [_unquoted(text[a + 1 : b].decode()) for a, b in zip(borders, borders[1:])]
+        own = [_unquoted(text[a + 1 : b].replace(_SEPARATOR, delim.encode()).decode()) for a, b in zip(borders, borders[1:])]
         reason = "quoting" if bad[i] else "column_count" if raw[i] is None or len(own) != counts[delim, header] else None
         fields.append(None if reason else own)
         reasons.append(reason)
     return fields, reasons
 
 
+def _one_byte(delim: str | None) -> bytes:
+    return delim.encode() if delim and len(delim.encode()) == 1 else _SEPARATOR
+
+
 def header_names(header: str, delim: str) -> list[str]:
     """Names of a header line, by the same rules as records."""
-    header = header[:-1] if header.endswith("\r") else header
-    one = delim if len(delim.encode()) == 1 else _SEPARATOR
-    line = header.replace(delim, one).encode()
-    _, cuts, _ = split_records(np.frombuffer(line, np.uint8), np.array([0]), np.array([len(line)]), np.array([ord(one)], np.uint8))
+    one = _one_byte(delim)
+    line = header.encode().removesuffix(b"\r").replace(delim.encode(), one)
+    _, cuts, _ = split_records(np.frombuffer(line, np.uint8), np.array([0]), np.array([len(line)]), np.frombuffer(one, np.uint8))
     borders = [-1, *cuts.tolist(), len(line)]
-    return [_unquoted(line[a + 1 : b].decode()).strip() for a, b in zip(borders, borders[1:])]
+    return [_unquoted(line[a + 1 : b].replace(_SEPARATOR, delim.encode()).decode()).strip() for a, b in zip(borders, borders[1:])]
 
 
 def parse_records(records: DataFrame) -> DataFrame:
