@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES = ("p1_grid", "p3_drift", "p4_units", "p5_records")
+MODULES = ("p1_grid", "p3_drift", "p4_units", "p5_records", "sequence")
 
 
 def _merged(attribute: str) -> dict:
