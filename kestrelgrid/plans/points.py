@@ -47,7 +47,7 @@ POINTS = f"""{SERIES}, fix AS (
   SELECT *, first_value(geo.lat) OVER w AS lat0, first_value(geo.lon) OVER w AS lon0, first_value(geo.alt_msl) OVER w AS alt0 FROM series
   WHERE geo.lat IS NOT NULL AND geo.lon IS NOT NULL AND geo.alt_msl IS NOT NULL AND NOT (geo.lat = 0 AND geo.lon = 0) WINDOW w AS (PARTITION BY flight_id ORDER BY t_ms)
 ), point AS (
-  SELECT flight_id, sample_id, t_ms, round({_X}, 3) AS x, round({_Y}, 3) AS y, round({_Z}, 3) AS z, geo.alt_msl AS alt_msl, geo.alt_rel AS alt_rel, geo.accuracy_h AS acc,
+  SELECT flight_id, sample_id, t_ms, round({_X}, 3) + 0.0 AS x, round({_Y}, 3) + 0.0 AS y, round({_Z}, 3) + 0.0 AS z, geo.alt_msl AS alt_msl, geo.alt_rel AS alt_rel, geo.accuracy_h AS acc,
     gimbal_pitch AS pitch, gimbal_yaw AS yaw, CAST(floor(t_ms / {VIEW_MS}) AS BIGINT) AS view,
     CASE WHEN geo.accuracy_h <= 1.0 THEN 2 WHEN geo.accuracy_h <= 2.5 THEN 1 ELSE 0 END AS tier, CASE WHEN is_video THEN 1 WHEN NOT is_video THEN 2 ELSE 0 END AS label
   FROM fix
