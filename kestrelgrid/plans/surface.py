@@ -302,7 +302,7 @@ SELECT flight_id, sample_id FROM b JOIN s USING (flight_id) WHERE declined OR in
     "hole_fill_nearest": f"""WITH {_DSM}, b AS (SELECT flight_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM dsm GROUP BY ALL), s AS (SELECT i, j FROM range(-6, 7) a(i), range(-6, 7) b(j) WHERE i * i + j * j <= 36),
 o AS (SELECT flight_id, row + i AS row, col + j AS col, i * i + j * j AS d2, row AS r, col AS c, z FROM dsm, s) SELECT flight_id, row, col, z, d2 > 0 AS filled FROM o JOIN b USING (flight_id) WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1
 QUALIFY row_number() OVER (PARTITION BY flight_id, row, col ORDER BY d2, r, c) = 1""",
-    "occupied_area": f"""WITH {_GRID}, c AS (SELECT flight_id, row, col, count(*) AS n, round((max(z) - min(z)) * 1000) AS span FROM grid GROUP BY ALL) SELECT flight_id, count(*) * {RES * RES} AS area_m2, quantile_cont(span, 0.5) FILTER (n >= 5) AS relief_mm FROM c GROUP BY flight_id""",
+    "occupied_area": f"""WITH {_GRID}, c AS (SELECT flight_id, row, col, count(*) AS n, round((max(z) - min(z)) * 1000) AS span FROM grid GROUP BY ALL) SELECT flight_id, count(*) * {RES * RES}::DOUBLE AS area_m2, quantile_cont(span, 0.5) FILTER (n >= 5) AS relief_mm FROM c GROUP BY flight_id""",
     "uncertainty_summary": f"""WITH {POINTS}, m AS (SELECT flight_id, round(acc * 1000) AS mm FROM point WHERE acc > 0) SELECT flight_id, round(quantile_cont(mm, 0.5), 3) AS median_mm, round(quantile_cont(mm, 0.9), 3) AS p90_mm, round(avg(CASE WHEN mm <= 500 THEN 1.0 ELSE 0.0 END), 6) AS within_05, round(avg(CASE WHEN mm <= 1000 THEN 1.0 ELSE 0.0 END), 6) AS within_1 FROM m GROUP BY flight_id""",
     "auto_voxel_size": f"""WITH {POINTS}, e AS (SELECT flight_id, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS e FROM point GROUP BY ALL) SELECT flight_id, round(least(5.0, greatest(0.05, e / 200)), 6) AS voxel_m, round(greatest(0.01, e / 512), 6) AS res_m FROM e""",
     "radius_outlier_removal": f"""WITH {POINTS} SELECT a.flight_id, a.sample_id FROM point a JOIN point b ON b.flight_id = a.flight_id AND b.x BETWEEN a.x - 6 AND a.x + 6 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) <= 36 GROUP BY ALL HAVING count(*) >= 5""",
@@ -314,7 +314,7 @@ SELECT flight_id, row, col, CASE WHEN reason = 'ok' THEN label ELSE 0 END AS lab
     "class_histogram": f"WITH {POINTS} SELECT flight_id, label, round(count(*) * 100 / sum(count(*)) OVER (PARTITION BY flight_id), 2) AS pct FROM point GROUP BY flight_id, label",
     "vertical_profile": f"""WITH {_DSM}, t AS (SELECT flight_id, row, col, min(tier) AS tier FROM grid GROUP BY ALL), c AS (SELECT * FROM dsm JOIN t USING (flight_id, row, col)),
 b AS (SELECT a.flight_id, a.z AS z0, b.z AS z1, c.z AS z2, e.z AS z3, least(a.tier, b.tier, c.tier, e.tier) AS tier FROM c a JOIN c b ON b.flight_id = a.flight_id AND b.row = a.row AND b.col = a.col + 1 JOIN c ON c.flight_id = a.flight_id AND c.row = a.row + 1 AND c.col = a.col JOIN c e ON e.flight_id = a.flight_id AND e.row = a.row + 1 AND e.col = a.col + 1)
-SELECT flight_id, count(*) * 2 AS triangles, round(count(*) * {RES * RES}, 3) AS plan_m2, round(sum(sqrt(((z1 - z0) * {RES}) ** 2 + ((z2 - z0) * {RES}) ** 2 + {RES**4}) / 2 + sqrt(((z1 - z3) * {RES}) ** 2 + ((z2 - z3) * {RES}) ** 2 + {RES**4}) / 2), 3) AS area_m2,
+SELECT flight_id, count(*) * 2 AS triangles, round(count(*) * {RES * RES}::DOUBLE, 3) AS plan_m2, round(sum(sqrt(((z1 - z0) * {RES}) ** 2 + ((z2 - z0) * {RES}) ** 2 + {RES**4}) / 2 + sqrt(((z1 - z3) * {RES}) ** 2 + ((z2 - z3) * {RES}) ** 2 + {RES**4}) / 2), 3) AS area_m2,
   {', '.join(f'round(avg(CASE WHEN tier = {k} THEN 1.0 ELSE 0.0 END) * 100, 2) AS pct{k}' for k in (0, 1, 2))} FROM b GROUP BY flight_id""",
     "cut_fill_volume": f"""WITH {_DSM}, c AS (SELECT flight_id, col * {RES} AS u, -row * {RES} AS v, z FROM dsm), m AS (SELECT flight_id, avg(u) AS mu, avg(v) AS mv, avg(z) AS mz, var_pop(u) AS suu, var_pop(v) AS svv, covar_pop(u, v) AS suv, covar_pop(u, z) AS suz, covar_pop(v, z) AS svz FROM c GROUP BY ALL),
 s AS (SELECT *, (suz * svv - svz * suv) / (suu * svv - suv * suv) AS a, (svz * suu - suz * suv) / (suu * svv - suv * suv) AS b FROM m WHERE suu * svv - suv * suv > 1e-6), r AS (SELECT c.flight_id, z - (mz + a * (u - mu) + b * (v - mv)) AS dz FROM c JOIN s USING (flight_id))
