@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-# What a scanner reads for what, by the letter kept. Pairs come first, in this order.
-PAIRS = [("cl", "d"), ("vv", "w"), ("lc", "k"), ("rn", "m"), ("ьт", "ы"), ("ьі", "ы")]
+# What a scanner reads for what, by the letter kept; letters that it reads as two are written as two first.
+AS_TWO = {"d": "cl", "w": "vv", "k": "lc", "m": "rn", "ы": "ьт"}
 LETTERS = {
     "e": "c6", "a": "o0", "i": "l1|!", "n": "u", "t": "fs5$", "g": "q9", "h": "b8", "y": "v", "z": "2",
     "е": "сё", "о": "а", "и": "нй", "п": "л", "т": "г", "ш": "щ", "б": "6", "з": "э3", "ь": "ъ",
@@ -14,6 +14,7 @@ LETTERS = {
     "い": "り", "た": "に", "は": "ほ", "め": "ぬ", "る": "ろ", "シ": "ツ", "ン": "ソ", "ク": "ワ", "口": "ロ", "力": "カ", "二": "ニ",
 }
 _TABLE = {ord(x): keep for keep, others in LETTERS.items() for x in others}
+_TABLE |= {ord(x): two.translate(_TABLE) for x, two in AS_TWO.items()}
 _CJK_DASH = re.compile(r"(?<=[぀-ヿ㐀-鿿])[-－—](?=[぀-ヿ㐀-鿿])")
 _MARK = re.compile(r"[̀-ͯ]")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -30,8 +31,6 @@ def fold(text: str) -> str:
     text = plain(text)
     if CJK.search(text):
         text = unicodedata.normalize("NFC", _CJK_DASH.sub("一", text))
-    for pair, keep in PAIRS:
-        text = text.replace(pair, keep)
     return text.translate(_TABLE)
 
 

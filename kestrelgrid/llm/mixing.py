@@ -71,7 +71,7 @@ class SourceClassifier:
             return []
         columns = self._columns(text)
         keys, n = np.fromiter(columns, np.int64, len(columns)), np.fromiter(columns.values(), np.float64, len(columns))
-        score = self.prior + (self.logs[:, keys] @ n) / math.sqrt(max(1.0, n.sum()))
+        score = (self.prior + self.logs[:, keys] @ n) / math.sqrt(max(1.0, n.sum()))
         top = np.argsort(-score, kind="stable")[:MEMBERSHIPS]
         weight = np.exp(score[top] - score[top[0]])
         return [(self.names[k], float(w)) for k, w in zip(top, weight / weight.sum())]
