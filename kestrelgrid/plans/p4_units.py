@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelgrid.functions.lengths import IN_BRACKETS, IN_PROSE, MM_BY_UNIT, NUMBER_AND_UNIT
+from kestrelgrid.functions.lengths import IN_BRACKETS, IN_PROSE, MM_BY_UNIT, NUMBER_AND_UNIT, cell_number, cell_unit, header_unit, mm_of_unit, prose_unit
 from kestrelgrid.operators.stated_units import to_millimetres
+from kestrelgrid.operators.unit_graph import pair_scales, propagate_units
 from kestrelgrid.sources.tables import table
 
 
@@ -26,6 +27,31 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_values(spark, sf_dir).drop("stated_in")
 
 
+def p4_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the receivers by what they measured together, against those their descriptions state.
+
+    Entities are spans of ten seconds of a flight and an axis; only cells without any statement of their own are used.
+    """
+    plain = accuracy_rows(spark, sf_dir).where(stated_nowhere()).withColumn("value", cell_number(F.col("cell")).cast("double"))
+    readings = plain.select(F.concat_ws("|", "flight_id", "axis", F.floor(F.col("t") / 10).cast("string")).alias("entity"), "source", "value").where("value > 0")
+    receivers = table(spark, sf_dir, "receivers").select(F.col("receiver_id").alias("source"), mm_of_unit(prose_unit(F.col("description"))).cast("double").alias("mm"))
+    pairs = pair_scales(readings, sorted({float(mm) for mm in MM_BY_UNIT.values()}))
+    found = propagate_units(pairs, receivers.where("mm IS NOT NULL"), receivers.select("source"))
+    return found.select(F.col("source").alias("receiver_id"), F.round("mm", 6).alias("unit_mm"), "hops")
+
+
+def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """accuracy_cells() with flight and time."""
+    both = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"field_{a}").alias("header"), F.col(f"accuracy_{a}").alias("cell")) for a in "hv"])
+    rows = table(spark, sf_dir, "accuracy_readings").where("NOT isnan(t)")
+    return rows.select("flight_id", "t", F.col("receiver_id").alias("source"), "unit_text", "note", F.explode(both).alias("c")).select("flight_id", "t", "source", "unit_text", "note", "c.*")
+
+
+def stated_nowhere() -> F.Column:
+    texts = (mm_of_unit(header_unit(F.col("header"))), mm_of_unit(F.col("unit_text")), mm_of_unit(prose_unit(F.col("note"))))
+    return (cell_unit(F.col("cell")) == "") & F.coalesce(*texts).isNull()
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -55,4 +81,4 @@ SELECT {columns} FROM said WHERE exact > 0 AND exact < 1000000"""
 
 _MM = "reading_id, axis, CAST(round(exact, 0) AS BIGINT) AS accuracy_mm"
 SQL = {"p4_found": _sql(_MM), "p4_values": _sql(f"{_MM}, stated_in")}
-QUERIES = {"p4_found": p4_found, "p4_values": p4_values}
+QUERIES = {"p4_found": p4_found, "p4_values": p4_values, "p4_scales": p4_scales}
