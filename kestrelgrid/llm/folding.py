@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # What a scanner reads for what, by the letter kept; letters that it reads as two are written as two first.
 AS_TWO = {"d": "cl", "w": "vv", "k": "lc", "m": "rn", "ы": "ьт"}
 LETTERS = {
-    "e": "c6", "a": "o0", "i": "l1|!", "n": "u", "t": "fs5$", "g": "q9", "h": "b8", "y": "v", "z": "2",
+    "e": "c6", "a": "o0", "i": "l1", "n": "u", "t": "fs5", "g": "q9", "h": "b8", "y": "v", "z": "2",
     "е": "сё", "о": "а", "и": "нй", "п": "л", "т": "г", "ш": "щ", "б": "6", "з": "э3", "ь": "ъ",
     "了": "丁", "工": "土士", "日": "曰目", "人": "入八", "己": "已巳", "末": "未", "木": "本", "大": "太犬",
     "い": "り", "た": "に", "は": "ほ", "め": "ぬ", "る": "ろ", "シ": "ツ", "ン": "ソ", "ク": "ワ", "口": "ロ", "力": "カ", "二": "ニ",
@@ -23,20 +24,21 @@ WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 
 def plain(text: str) -> str:
     """Lower case, without accents on Latin, Greek and Cyrillic letters; compatibility forms replaced."""
-    return _MARK.sub("", unicodedata.normalize("NFKD", text.casefold())) if not text.isascii() else text.casefold()
+    text = text.casefold()
+    return text if text.isascii() else unicodedata.normalize("NFC", _MARK.sub("", unicodedata.normalize("NFKD", text)))
 
 
-def fold(text: str) -> str:
+@lru_cache(maxsize=300_000)
+def fold(word: str) -> str:
     """plain() with confusable letters folded. Case is gone before, so that O and 0, or l and I, meet."""
-    text = plain(text)
-    if CJK.search(text):
-        text = unicodedata.normalize("NFC", _CJK_DASH.sub("一", text))
-    return text.translate(_TABLE)
+    return plain(word).translate(_TABLE)
 
 
 def words(text: str) -> list[str]:
-    """Words of a folded text; every character of Chinese and Japanese is a word."""
-    return WORD.findall(text)
+    """Folded words of a text; every character of Chinese and Japanese is a word, a dash between two of them the sign for one."""
+    if CJK.search(text):
+        text = _CJK_DASH.sub("一", text)
+    return list(map(fold, WORD.findall(text)))
 
 
 def near(a: str, b: str) -> bool:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelgrid.llm.folding import CJK, fold, near, words
+from kestrelgrid.llm.folding import CJK, near, words
 from kestrelgrid.llm.page_layout import BODY, PAGE_COLUMNS, LineKinds, page_lines, pages_of
 from kestrelgrid.llm.simhash_windows import HammingIndex, window_fingerprints, word_vectors
 
@@ -53,8 +53,9 @@ def prose(text: str, n_cols, x0, y0, x1, kinds: LineKinds | None) -> str:
     return "".join(parts)
 
 
-def letters_of(folded: str) -> list[str]:
-    return [c for c in folded if c.isalnum()]
+def letters_of(folded: list[str]) -> list[str]:
+    """Characters of folded words."""
+    return [c for word in folded for c in word if c.isalnum()]
 
 
 class _Side:
@@ -177,10 +178,10 @@ def _sides(items: list[tuple[int, str]], size: int, letters: int) -> tuple[WordS
     key = hashlib.sha1(repr((items, size, letters)).encode()).hexdigest()
     if key not in _BUILT:
         _BUILT.clear()
-        folded = [(i, fold(t)) for i, t in items]
-        by_letter = {i for i, t in items if len(CJK.findall(t)) * 2 > len(letters_of(t))}
+        folded = [(i, words(t)) for i, t in items]
+        by_letter = {i for i, t in items if len(CJK.findall(t)) * 2 > len(letters_of(words(t)))}
         _BUILT[key] = (
-            WordSide([(i, words(t)) for i, t in folded if i not in by_letter], size),
+            WordSide([(i, t) for i, t in folded if i not in by_letter], size),
             LetterSide([(i, letters_of(t)) for i, t in folded if i in by_letter], letters),
         )
     return _BUILT[key]
@@ -208,9 +209,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, size: int = 12, letter
                     batch = whole.slice(at, 500)
                     spelled, lettered = [], []
                     for k, page in enumerate(pages_of(batch)):
-                        folded = fold(prose(*page, line_kinds))
-                        spelled.append((k, words(folded)))
-                        if by_letter.items and len(CJK.findall(folded)) >= letters // 2:
+                        text = prose(*page, line_kinds)
+                        folded = words(text)
+                        spelled.append((k, folded))
+                        if by_letter.items and len(CJK.findall(text)) >= letters // 2:
                             lettered.append((k, letters_of(folded)))
                     found = [*by_word.find(spelled), *by_letter.find(lettered)]
                     if found:
