@@ -20,9 +20,13 @@ DAY_MS, BUCKET_MS, VIEW_MS = 86_400_000, 600_000, 20_000
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry with a sound clock, the smallest sample_id of each flight and millisecond; adds t_ms and bucket."""
     rows = table(spark, sf_dir, "telemetry").where(F.col("flight_id").isNotNull()).withColumn("t_ms", millis(F.col("t"))).where(F.abs("t_ms") < DAY_MS)
-    kept = ["sample_id", "geo", "gimbal_pitch", "gimbal_roll", "gimbal_yaw", "baro_alt", "is_video", "received_at"]
-    one = rows.groupBy("flight_id", "t_ms").agg(F.min(F.struct(*kept)).alias("r"))
-    return one.select("flight_id", "t_ms", "r.*", F.floor(F.col("t_ms") / BUCKET_MS).cast("bigint").alias("bucket"))
+    # a value each, not one struct, so that what a query doesn't use is neither read nor shuffled
+    fields = ["lat", "lon", "alt_msl", "alt_rel", "accuracy_h", "accuracy_v"]
+    plain = ["gimbal_pitch", "gimbal_roll", "gimbal_yaw", "baro_alt", "is_video", "received_at"]
+    first = [F.min_by(f"geo.{f}", "sample_id").alias(f"geo_{f}") for f in fields] + [F.min_by(c, "sample_id").alias(c) for c in plain]
+    one = rows.groupBy("flight_id", "t_ms").agg(F.min("sample_id").alias("sample_id"), *first)
+    geo = F.struct(*[F.col(f"geo_{f}").alias(f) for f in fields]).alias("geo")
+    return one.select("flight_id", "t_ms", "sample_id", geo, *plain, F.floor(F.col("t_ms") / BUCKET_MS).cast("bigint").alias("bucket"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
