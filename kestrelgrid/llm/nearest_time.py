@@ -34,6 +34,7 @@ def match_nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     r = (
         right.where(known & F.col("right_id").isNotNull())
         .select("entity", bucket.alias("bucket"), F.col("t_ms").alias("r_ms"), "right_id")
+        .repartition("entity", "bucket")  # serves the aggregate and the join
         .groupBy("entity", "bucket", "r_ms")
         .agg(F.min("right_id").alias("right_id"))
     )
