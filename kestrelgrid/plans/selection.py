@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrelgrid.operators.coverage import greedy_views
 from kestrelgrid.operators.keyframes import select_keyframes
 from kestrelgrid.plans.points import POINTS, points
 from kestrelgrid.plans.sequence import frame_sequence, resample_interpolate
@@ -31,5 +32,12 @@ def geojson_export(spark: SparkSession, d: str) -> DataFrame:
     return geojson_features(m)
 
 
+def dense_views(spark: SparkSession, d: str) -> DataFrame:
+    """Views of each flight that see enough ground few others saw; a view's footprint is the cells of 10 m of its fixes' box."""
+    v = points(spark, d).groupBy("flight_id", "view").agg(*[F.floor(f(a) / 10).cast("bigint").alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = v.withColumn("i", F.explode(F.sequence("lox", "hix"))).withColumn("j", F.explode(F.sequence("loy", "hiy")))
+    return greedy_views(cells.select("flight_id", "view", "i", "j"))
+
+
 SQL = {"xyz_export": f"WITH {POINTS} SELECT printf('%.3f %.3f %.3f', x, y, z) AS value FROM point"}
-QUERIES = {name: globals()[name] for name in ("keyframe_select_stateful", "xyz_export", "geojson_export")}
+QUERIES = {name: globals()[name] for name in ("keyframe_select_stateful", "dense_views", "xyz_export", "geojson_export")}

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from kestrelgrid.operators.components import components
+from kestrelgrid.operators.coverage import greedy_views
 from kestrelgrid.operators.grid import consensus, counted_median, fill_nearest, nearest_rank, radius_outliers, raster_cells
 from kestrelgrid.operators.vector_search import count_within, nearest
 
@@ -78,3 +79,19 @@ def test_vectors(spark):
         assert [got[q, i + 1] for i in range(3)] == [k for _, k in want[:3]]
     assert {r.q: r.n for r in count_within(df, asked, 0.4, block=1).collect()} == {q: n for q in (0, 10, 103) if (n := sum(dist(good[q], v) <= 0.4 for k, v in good.items() if k != q))}
     assert nearest(df.limit(0), asked, 2).count() == 0 and nearest(df, asked.limit(0), 2).count() == 0
+
+
+def test_greedy_views(spark):
+    rnd = random.Random(4)
+    views = {(f, v): {(rnd.randrange(5), rnd.randrange(5)) for _ in range(6)} for f in "ab" for v in range(40)}
+    want, seen = set(), {}
+    for (f, v), cells in sorted(views.items()):
+        own = seen.setdefault(f, {})
+        if sum(own.get(c, 0) < 2 for c in cells) >= 0.4 * len(cells):
+            want.add((f, v))
+            for c in cells:
+                own[c] = own.get(c, 0) + 1
+    rows = [(f, v, i, j) for (f, v), cells in views.items() for i, j in cells]
+    df = spark.createDataFrame(rows + rows[:5] + [(None, 1, 1, 1), ("a", None, 1, 1), ("a", 1, None, 1)], "flight_id string, view bigint, i bigint, j bigint")
+    assert {(r.flight_id, r.view) for r in greedy_views(df, target=2).collect()} == want
+    assert greedy_views(df.limit(0)).count() == 0
