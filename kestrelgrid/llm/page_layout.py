@@ -109,6 +109,8 @@ def page_lines(text: str, n_cols: int | None, x0: list[int] | None, y0: list[int
             return [(BODY, s, s + len(line)) for s, line in zip(starts, lines) if line.strip()]
         x0, y0, x1 = [MARGIN] * n, list(range(HEAD_ZONE, HEAD_ZONE + n)), [MARGIN + TEXT_WIDTH] * n
         n_cols = max(line.count(mark) + 1 for line in lines)
+    if not x1 or len(x1) != n or None in x1:
+        x1 = [MARGIN + TEXT_WIDTH if x is None else x for x in (x1 if x1 and len(x1) == n else [None] * n)]
     cols = n_cols if n_cols and n_cols > 0 else 1
     pitch = column_pitch(cols)
     mark = separator(text, lines, y0) if cols > 1 else None

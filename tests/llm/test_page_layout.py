@@ -38,3 +38,12 @@ def test_a_column_that_ended_stays_ended():
 def test_without_boxes():
     assert read((1, "one\n\ntwo", None, None)) == [(BODY, "one"), (BODY, "two")]
     assert read((1, "", 1, None)) == []
+
+
+def test_nulls_in_boxes():
+    _, text, n, boxes, *_ = page(1, COLUMNS, merged="  |  ")
+    xs = [[b[k] for b in boxes] for k in (0, 1, 2)]
+    whole = [t for _, t in read(page(1, COLUMNS, merged="  |  "))]
+    assert [text[s:e] for _, s, e in page_lines(text, n, xs[0], xs[1], [None] * len(boxes))] == whole
+    assert page_lines(text, n, [None, *xs[0][1:]], xs[1], xs[2]) and page_lines(text, None, *xs) and page_lines(text, -3, xs[0][:-1], xs[1], xs[2])
+    assert page_lines("one\ntwo", 2, [], [], []) == [(BODY, 0, 3), (BODY, 4, 7)]
