@@ -65,8 +65,9 @@ def read_payload(payload: str | None, layout: str | None) -> Iterator[list[tuple
     if not payload:
         return
     if layout == "csv":
-        lines = payload.splitlines()
+        lines = [line.removesuffix("\r") for line in payload.split("\n")]
         delimiter = max(",;|\t", key=lines[0].count)
+        csv.field_size_limit(1 << 30)
         rows = csv.reader(lines, delimiter=delimiter)
         header = next(rows)
         yield [(name, "", None) for name in header]
@@ -74,10 +75,10 @@ def read_payload(payload: str | None, layout: str | None) -> Iterator[list[tuple
             if row:
                 yield [(name, text, form_of(text)) for name, text in zip(header, row)]
         return
-    for line in payload.splitlines():
+    for line in payload.split("\n"):
         try:
             value = json.loads(line, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         if isinstance(value, dict):
             yield list(_flat(value, ""))

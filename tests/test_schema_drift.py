@@ -54,3 +54,11 @@ def test_typed(spark):
     rows = typed_records(files(spark, [(1, "p", "csv", 0, text)] * 2), kinds).orderBy("rec_no").collect()
     assert [(r.time, r.latitude, r.alt_msl and round(r.alt_msl, 4), r.is_video, r.satellites) for r in rows] == [(1.5, -2.5, 3.048, True, 7), (2.25, 4.0, 3.5, False, 2), (None, None, None, None, None)]
     assert [f.quantity for f in rows[2].failed] == list(kinds) and rows[0].failed == []
+
+
+def test_long_cells_and_odd_payloads(spark):
+    long, deep = "x" * 300_000, "[" * 100_000
+    rows = [(1, "p", "csv", 0, f"a,b\r\n{long},1\r\n"), (2, "p", "jsonl", 1, f'{deep}\n{{"a": "{long}", "b": [1, 2]}}\n'), (3, "p", "csv", 2, "\n\n"), (4, "p", "csv", 3, 'a,"b\n'), (5, "p", None, 4, '{"a": "\u2028"}')]
+    got = {(r.file_id, r.path): r.form for r in field_forms(files(spark, rows)).collect()}
+    assert got[1, "a"] == "string" and got[1, "b"] == "integer" and got[2, "a"] == "string" and got[2, "b"] == "string" and (4, "a") in got and not [k for k in got if k[0] == 3]
+    assert schema_changes(files(spark, rows)).count() > 0
