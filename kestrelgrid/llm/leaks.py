@@ -105,35 +105,41 @@ class _Side:
 
     def _verify(self, docs, start, rows, hits, doc, same, share) -> Iterator[tuple[int, int, int, float]]:
         done: set[tuple[int, int]] = set()
-        walked: set[tuple[int, int, int]] = set()
+        walked: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for k in np.argsort(-share, kind="stable").tolist():
             d, owner = int(doc[k]), int(self.owner[hits[k]])
-            p, q = int(rows[k] - start[d]), int(self.place[hits[k]])
-            if (d, owner) in done or (d, owner, p - q) in walked:
+            if (d, owner) in done:
                 continue
-            walked.add((d, owner, p - q))
-            seed = int(np.flatnonzero(same[k])[0])
-            run = self.run(docs[d][1], self.items[owner][1], p + seed, q + seed)
-            if run >= self.size:
-                done.add((d, owner))
-                yield docs[d][0], self.items[owner][0], run, float(share[k])
-
-    def run(self, doc: list[str], item: list[str], p: int, q: int) -> int:
-        """Consecutive units of the item in the document around the equal units doc[p] and item[q]."""
-        return 1 + self._walk(doc, item, p, q, 1) + self._walk(doc, item, p, q, -1)
-
-    def _walk(self, doc: list[str], item: list[str], p: int, q: int, step: int) -> int:
+            p, q = int(rows[k] - start[d]), int(self.place[hits[k]])
+            passed = walked.setdefault((d, owner), set())
+            # equal units no walk has passed stand beyond a break, and are walked from as well
+            for seed in np.flatnonzero(same[k]).tolist():
+                if (p + seed, q + seed) in passed:
+                    continue
+                run = self.run(docs[d][1], self.items[owner][1], p + seed, q + seed, passed)
+                if run >= self.size:
+                    done.add((d, owner))
+                    yield docs[d][0], self.items[owner][0], run, float(share[k])
+                    break
+
+    def run(self, doc: list[str], item: list[str], p: int, q: int, passed: set[tuple[int, int]]) -> int:
+        """Consecutive units of the item in the document around the equal units doc[p] and item[q]; their places are added to ``passed``."""
+        passed.add((p, q))
+        return 1 + self._walk(doc, item, p, q, 1, passed) + self._walk(doc, item, p, q, -1, passed)
+
+    def _walk(self, doc: list[str], item: list[str], p: int, q: int, step: int, passed: set[tuple[int, int]]) -> int:
         covered, p, q = 0, p + step, q + step
         while 0 <= q < len(item) and 0 <= p < len(doc):
             if near(doc[p], item[q]):
-                used, passed = 1, 1
+                used, taken = 1, 1
+                passed.add((p, q))
             else:
                 mended = self._repair(doc, item, p, q, step)
                 if mended is None:
                     break
-                used, passed = mended
-            covered += passed
-            p, q = p + step * used, q + step * passed
+                used, taken = mended
+            covered += taken
+            p, q = p + step * used, q + step * taken
         return covered
 
     def _repair(self, doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple[int, int] | None:

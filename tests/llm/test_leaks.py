@@ -60,6 +60,15 @@ def test_blocks_of_items_say_the_same(spark):
     assert {tuple(r)[:2] for r in find_leaks(df, i, block_items=2).collect()} == {tuple(r)[:2] for r in find_leaks(df, i).collect()} == {(1, k) for k in range(5)}
 
 
+def test_passages_behind_a_break(spark):
+    words = [w + "qrst"[k % 4] + "kalomi" for k, w in enumerate(ITEM[:24])]
+    doc = words[:11] + ["zugbyfgwyuzz"] + words[12:]
+    doc[16], doc[20] = doc[16][:-1] + "x", doc[20][:-1] + "x"
+    mirrored = doc[::-1]
+    items = [(1, " ".join(words), "x"), (2, " ".join(words[::-1]), "x")]
+    assert leaks(spark, [page(1, [lines(doc)]), page(2, [lines(mirrored)])], items) == {(1, 1), (2, 2)}
+
+
 def test_long_text(spark):
     words = noise(160_000)
     words[151_000:151_012] = ITEM[:12]
