@@ -1,8 +1,8 @@
 """Sentences of all documents: counts over the whole corpus, then each page cut by them.
 
-The first pass counts, in every partition, what ``Tally`` keeps and adds the counts up by a shuffle of count rows; the
-``model_rows`` most frequent rows make the model, which is all that comes to the driver. The second pass brings each
-page into reading order again and judges its marks.
+The first pass counts, in every partition, what ``Tally`` keeps and adds the counts up by a shuffle of count rows; all of
+them are summed by word, and the words of each kind make the model, which is all that comes to the driver. The second pass
+brings each page into reading order again and judges its marks.
 
 Defined results
 ---------------
@@ -14,7 +14,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from kestrelgrid.llm.checkpoints import shared_checkpoint
 from kestrelgrid.llm.page_layout import PAGE_COLUMNS, LineKinds, pages_of
 from kestrelgrid.llm.prose import articles
-from kestrelgrid.llm.sentences import Model, Tally, ends
+from kestrelgrid.llm.sentences import TOTALS, Model, Tally, ends, starter_kinds, word_kinds
 
 #: Count rows kept in a worker before they are sent on.
 _FLUSH = 400_000
@@ -58,21 +58,43 @@ def corpus_counts(documents: DataFrame, kinds: LineKinds | None) -> DataFrame:
     return counted.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def fit_model(documents: DataFrame, kinds: LineKinds | None, model_rows: int = 200_000) -> Model:
-    """The model of the most frequent counts, ``model_rows`` at most.
+def word_totals(counts: DataFrame) -> DataFrame:
+    """(lang, word, *TOTALS) of all count rows."""
+    kind, thai = F.col("kind"), F.col("lang") == "th"
+    first = F.when(kind == "pair", "pairs").when(kind == "next", "nexts").when((kind == "speaker") & ~thai, "first").when(kind == "clause", "any_first").otherwise(kind)
+    second = F.when(kind == "pair", "behind").when((kind == "speaker") & ~thai, "last").when(kind == "clause", "any_last")
+    rows = counts.select("lang", F.col("a").alias("word"), first.alias("what"), "n").unionByName(counts.select("lang", F.col("b").alias("word"), second.alias("what"), "n").where("what IS NOT NULL"))
+    return rows.groupBy("lang", "word").agg(*[F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(k) for k in TOTALS])
 
-    Counts are binned by sixteenths of a power of two; the bins tell from which frequency on rows fit the bound, and only
-    those rows come to the driver.
+
+def _judged(totals: DataFrame, judge: Callable[[str, str, dict[str, int]], Iterator[tuple[str, float]]]) -> DataFrame:
+    """(lang, what, word, value) that ``judge`` says of the words."""
+    names = ["lang", "what", "word", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(c["lang"], what, c["word"], value) for c in batch.to_pylist() for what, value in judge(c["lang"], c["word"], c)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], names)
+
+    return totals.mapInArrow(run, "lang string, what string, word string, value double")
+
+
+def fit_model(documents: DataFrame, kinds: LineKinds | None) -> Model:
+    """The model of all counts: totals of each word in Spark, starters first, as the other kinds ask what starters follow.
+
+    Only the words of a kind, and the totals of each language, come to the driver.
     """
-    counts = shared_checkpoint(corpus_counts(documents, kinds).where("n > 1").withColumn("bin", F.floor(F.log2("n") * 16).cast("int")))
-    room, least = model_rows, 1 << 30
-    for row in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r.bin):  # a thousand bins at most
-        room -= row["count"]
-        if room < 0:
-            break
-        least = row.bin
-    rows = counts.where(F.col("bin") >= least).select("lang", "kind", "a", "b", "n").toArrow()
-    return Model.fit(sorted(zip(*(rows.column(k).to_pylist() for k in ("lang", "kind", "a", "b", "n")))))
+    counts = shared_checkpoint(corpus_counts(documents, kinds))
+    totals = shared_checkpoint(word_totals(counts))
+    all_of = {r.lang: r.asDict() for r in totals.groupBy("lang").agg(*[F.sum(k).alias(k) for k in TOTALS]).collect()}
+    starters = shared_checkpoint(_judged(totals.where("start >= 3"), lambda lang, word, c: starter_kinds(word, c, all_of[lang])))
+    known = {r.lang for r in starters.select("lang").distinct().collect()}
+    after = counts.where("kind IN ('pair', 'next')").join(starters.where("what = 'starters'").select("lang", F.col("word").alias("b")), ["lang", "b"], "left_semi")
+    started = after.groupBy("lang", F.col("a").alias("word")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_started") for k in ("pair", "next")])
+    others = _judged(totals.join(started, ["lang", "word"], "left").fillna(0, ["pair_started", "next_started"]), lambda lang, word, c: word_kinds(lang, word, c, all_of[lang], lang in known))
+    rows = starters.unionByName(others).toArrow()
+    return Model.of(zip(*(rows.column(k).to_pylist() for k in ("lang", "what", "word", "value"))))
 
 
 def split_sentences(documents: DataFrame, model: Model, kinds: LineKinds | None, *, with_text: bool = False) -> DataFrame:

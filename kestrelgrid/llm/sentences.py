@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from kestrelgrid.llm.folding import fold
@@ -175,6 +176,68 @@ def log_likelihood(both: float, a: float, b: float, n: float) -> float:
     return 2 * (term(both, a, both / a) + term(b - both, rest, (b - both) / rest if rest else 0) - term(both, a, b / n) - term(b - both, rest, b / n))
 
 
+#: Totals of a word: by the kind of its count rows; what follows and what leads to it are summed over the other word.
+TOTALS = (
+    "period", "bare", "start", "goes_on", "closed", "mid", "pairs", "behind", "nexts", "first", "last", "any_first", "any_last",
+    "space_start", "line_start", "space_end", "line_end", "speaker", "after_quote",
+)
+
+
+def starter_kinds(word: str, c: dict[str, int], all_of: dict[str, int]) -> Iterator[tuple[str, float]]:
+    """What a word's totals ``c`` say of it as a starter; ``all_of`` are the totals of its language."""
+    total, starts = all_of["period"] + all_of["bare"], all_of["start"]
+    if not all_of["period"]:
+        return
+    s, t = c["start"], max(c["period"] + c["bare"], c["start"])
+    if word != "##" and s >= 3 and s / t > starts / total and log_likelihood(s, t, starts, total) >= LEAST_RATIO:
+        yield "starters", 1.0
+        behind_mark = s + c["behind"]
+        if behind_mark >= 10 and c["mid"] / (c["mid"] + behind_mark) < 0.1:
+            yield "openers", 1.0
+
+
+def word_kinds(lang: str, word: str, c: dict[str, int], all_of: dict[str, int], known: bool) -> Iterator[tuple[str, float]]:
+    """What else a word's totals say, among them how often a starter follows it; ``known``: whether any starter is known."""
+    if lang == "th":
+        yield from _thai_kinds(c)
+        return
+    if c["nexts"] >= 10 and c["next_started"] / c["nexts"] < 0.03:
+        yield "leads", c["next_started"] / c["nexts"]
+    if all_of["period"]:
+        yield from _period_kinds(lang, word, c, all_of, known)
+    for own, general, what in (("first", "any_first", "speaker_first"), ("last", "any_last", "speaker_last")):
+        spaced = ("period", "bare") if lang not in UNSPACED else ()
+        total, n = max(1, sum(all_of[k] for k in (general, *spaced))), c[own]
+        t = max(sum(c[k] for k in (general, *spaced)), n)
+        if word and n >= 3 and n / t >= 0.3 and log_likelihood(n, t, all_of[own], max(total, all_of[own] + 1)) >= LEAST_RATIO:
+            yield what, 1.0
+
+
+def _period_kinds(lang: str, word: str, c: dict[str, int], all_of: dict[str, int], known: bool) -> Iterator[tuple[str, float]]:
+    total, periods = all_of["period"] + all_of["bare"], all_of["period"]
+    n, t = c["period"], c["period"] + c["bare"]
+    # only shares that the search for lost marks asks for
+    if t >= 5 and (c["closed"] / t >= 0.25 if lang in CASELESS else c["closed"] / t < 0.1):
+        yield "closing", c["closed"] / t
+    started, seen = c["pair_started"], c["goes_on"] + c["pairs"]
+    if word == "##" and c["pairs"] >= 5 and (c["pairs"] - started) / c["pairs"] >= 0.2:
+        yield "ordinal", 1.0
+    if n < 3 or n / t < 0.7 or n / t <= periods / total or log_likelihood(n, t, periods, total) < LEAST_RATIO:
+        return
+    # where no starter is known, only what follows in lower case or as a number speaks for an abbreviation
+    if seen >= 3 and (seen - started if known else c["goes_on"]) / seen >= 0.1:
+        if word != "##":
+            yield "abbreviations", 1.0
+        if started / seen < 0.03:
+            yield "binding", 1.0
+
+
+def _thai_kinds(c: dict[str, int]) -> Iterator[tuple[str, float]]:
+    for at_space, at_line, what, least in (("space_start", "line_start", "thai_start", 4), ("space_end", "line_end", "thai_end", 4), ("speaker", "after_quote", "thai_speaker", 3)):
+        if c[at_space] + c[at_line] >= least:
+            yield what, c[at_space] / (c[at_space] + c[at_line])
+
+
 class Model:
     """What the corpus says of each language: abbreviations, binding ones, starters, speakers' words, Thai edges."""
 
@@ -193,104 +256,21 @@ class Model:
         self.thai_speaker: dict[str, float] = {}
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str, str, str, int]]) -> Model:
-        by: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-        pairs: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-        nexts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-        speakers: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
-        clauses: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
-        for lang, kind, a, b, n in rows:
-            if kind == "pair":
-                pairs[lang][a][b] += n
-            elif kind == "next":
-                nexts[lang][a][b] += n
-            elif kind in ("speaker", "clause") and lang != "th":
-                (speakers if kind == "speaker" else clauses)[lang].append((a, b, n))
-            else:
-                by[lang][kind][a] += n
+    def of(cls, rows: Iterable[tuple[str, str, str, float]]) -> Model:
+        """rows: (lang, what, word, value) of ``starter_kinds`` and ``word_kinds``."""
         model = cls()
-        for lang, kinds in by.items():
-            if lang == "th":
-                model._fit_thai(kinds)
+        for lang, what, word, value in rows:
+            held = getattr(model, what)
+            if what == "ordinal":
+                held.add(lang)
+            elif what.startswith("thai"):
+                held[word] = value
+            elif what in ("leads", "closing"):
+                held[lang][word] = value
             else:
-                model._fit_words(lang, kinds, pairs[lang])
-                known = model.starters[lang]
-                for w, after in nexts.get(lang, {}).items():
-                    seen = sum(after.values())
-                    if seen >= 10:
-                        model.leads[lang][w] = sum(n for x, n in after.items() if x in known) / seen
-        for lang, found in speakers.items():
-            model._fit_speakers(lang, found, clauses.get(lang, []), by.get(lang, {}))
+                held[lang].add(word)
         return model
 
-    def _fit_words(self, lang: str, kinds: dict[str, Counter], pairs: dict[str, Counter]) -> None:
-        period, bare, start, goes_on = (kinds.get(k, Counter()) for k in ("period", "bare", "start", "goes_on"))
-        total = sum(period.values()) + sum(bare.values())
-        starts, periods = sum(start.values()), sum(period.values())
-        if not total or not periods:
-            return
-        known = self.starters[lang]
-        closed, mid = kinds.get("closed", Counter()), kinds.get("mid", Counter())
-        behind_mark = Counter(start)
-        for after in pairs.values():
-            behind_mark.update(after)
-        for w in period.keys() | bare.keys():
-            if period[w] + bare[w] >= 5:
-                self.closing[lang][w] = closed[w] / (period[w] + bare[w])
-        for w, s in start.items():
-            t = max(period[w] + bare[w], s)
-            if w != "##" and s >= 3 and s / t > starts / total and log_likelihood(s, t, starts, total) >= LEAST_RATIO:
-                known.add(w)
-                if behind_mark[w] >= 10 and mid[w] / (mid[w] + behind_mark[w]) < 0.1:
-                    self.openers[lang].add(w)
-        for w, c in period.items():
-            t = c + bare[w]
-            if c < 3 or c / t < 0.7 or c / t <= periods / total or log_likelihood(c, t, periods, total) < LEAST_RATIO:
-                continue
-            after = pairs.get(w, Counter())
-            started = sum(n for x, n in after.items() if x in known)
-            seen = goes_on[w] + sum(after.values())
-            # where no starter is known, only what follows in lower case or as a number speaks for an abbreviation
-            if seen >= 3 and (seen - started if known else goes_on[w]) / seen >= 0.1:
-                if w != "##":
-                    self.abbreviations[lang].add(w)
-                if started / seen < 0.03:
-                    self.binding[lang].add(w)
-        numbers = pairs.get("##", Counter())
-        seen = sum(numbers.values())
-        if seen >= 5 and sum(n for x, n in numbers.items() if x not in known) / seen >= 0.2:
-            self.ordinal.add(lang)
-
-    def _fit_speakers(self, lang: str, found: list, clauses: list, kinds: dict[str, Counter]) -> None:
-        first, last, any_first, any_last = Counter(), Counter(), Counter(), Counter()
-        for a, b, n in found:
-            first[a] += n
-            last[b] += n
-        for a, b, n in clauses:
-            any_first[a] += n
-            any_last[b] += n
-        if lang not in UNSPACED:
-            for kind in ("period", "bare"):
-                any_first.update(kinds.get(kind, {}))
-                any_last.update(kinds.get(kind, {}))
-        for own, general, into in ((first, any_first, self.speaker_first), (last, any_last, self.speaker_last)):
-            total, all_own = max(1, sum(general.values())), sum(own.values())
-            for w, n in own.items():
-                t = max(general[w], n)
-                if w and n >= 3 and n / t >= 0.3 and log_likelihood(n, t, all_own, max(total, all_own + 1)) >= LEAST_RATIO:
-                    into[lang].add(w)
-
-    def _fit_thai(self, kinds: dict[str, Counter]) -> None:
-        for at_space, at_line, into in (("space_start", "line_start", self.thai_start), ("space_end", "line_end", self.thai_end)):
-            a, b = kinds.get(at_space, Counter()), kinds.get(at_line, Counter())
-            for key in a.keys() | b.keys():
-                if a[key] + b[key] >= 4:
-                    into[key] = a[key] / (a[key] + b[key])
-        close, apart = kinds.get("speaker", Counter()), kinds.get("after_quote", Counter())
-        for key in close.keys() | apart.keys():
-            if close[key] + apart[key] >= 3:
-                self.thai_speaker[key] = close[key] / (close[key] + apart[key])
-
     def is_starter(self, lang: str, word: str) -> bool:
         return word in self.starters[lang] or word not in self.abbreviations[lang] and _fold(word) in self._folded(lang, "starters")
 

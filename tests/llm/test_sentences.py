@@ -76,6 +76,16 @@ def test_learned_boundaries(spark):
     assert right / len(truth) > 0.98 and right / len(got) > 0.98, (sorted(truth - got)[:5], sorted(got - truth)[:5])
 
 
+def test_words_seen_once_behind_an_abbreviation_count(spark):
+    """Of what follows an abbreviation, each name but once, nothing is left out."""
+    names = [f"{a}{b}{c}" for a in ("Ter", "Os", "Ka") for b in ("vun", "quen", "lom", "shar") for c in ("ato", "eli", "ira", "omu")]
+    said = [f"The {NOUNS[k % 10]} of Capt. {name} {VERBS[k % 8]} the {NOUNS[k % 7]}!" for k, name in enumerate(names)]
+    pages = [page(k, [wrapped(said[k : k + 4] + ["The mill sold the capt tower!"])[0]]) for k in range(0, len(said), 4)]
+    df = rows(spark, pages)
+    model = fit_model(df, None)
+    assert "capt" in model.abbreviations["en"] and "capt" in model.binding["en"]
+
+
 def texts(spark, pages):
     df = rows(spark, pages)
     return {r.sentence for r in split_sentences(df, fit_model(df, None), None, with_text=True).collect()}
