@@ -6,13 +6,15 @@ Where the columns of a page were merged into rows (cells between bars, tabs or w
 row's first and last cell are placed by the row's box, and the kind of a cell that has no box of its own is decided by a
 classifier of words and shape, fitted on lines whose kind their boxes tell.
 
-Lines without boxes are body text in the order of the text.
+Lines without boxes are body text in the order of the text. Where the number of columns is NULL or not positive it is told
+by the left borders of the lines; where no number explains them, every line below the page's head is body text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable
 
@@ -24,6 +26,8 @@ BODY, HEADLINE, ADVERT, HEAD = 0, 1, 2, 3
 #: The scan's geometry in pixels: left margin, width of the text, space between columns, the zone of the page's head, and
 #: how far in headlines and adverts stand at least.
 MARGIN, TEXT_WIDTH, HEAD_ZONE, HEADLINE_IN, ADVERT_IN = 120, 2160, 200, 14, 45
+#: Columns looked for where their number isn't known, and how far in any line of a column stands at most.
+MOST_COLUMNS, MOST_IN = 8, 160
 _BARS, _TAB, _BLANKS = "  |  ", "\t", "   "
 
 
@@ -41,6 +45,29 @@ def separator(text: str, lines: list[str], ys: list[int] | None) -> str | None:
     return None
 
 
+def columns_of(x0: list[int]) -> int | None:
+    """The least number of columns whose left edges the left borders of all lines stand at, None if there is none."""
+    for n in range(1, MOST_COLUMNS + 1):
+        pitch = column_pitch(n)
+        places = [(int((x - MARGIN / 2) // pitch), x - MARGIN) for x in x0]
+        if all(0 <= col < n and -HEADLINE_IN < x - col * pitch < MOST_IN for col, x in places):
+            return n
+    return None
+
+
+def _unplaced(lines: list[str], starts: list[int], x0: list[int], y0: list[int]) -> list[tuple[int, int, int]]:
+    """Lines of columns that no number of columns explains: body text but for the page's head, parted where left borders leave a gap."""
+    borders = sorted(x for line, x, y in zip(lines, x0, y0) if y >= HEAD_ZONE and line.strip())
+    edges = [b for a, b in zip(borders, borders[1:]) if b - a >= MOST_IN]
+    out = []
+    for line, s, x, y in zip(lines, starts, x0, y0):
+        if line.strip():
+            head = y < HEAD_ZONE
+            out.append((-1 if head else bisect_right(edges, x), y, HEAD if head else BODY, s, s + len(line)))
+    out.sort()
+    return [(kind, s, e) for _, _, kind, s, e in out]
+
+
 class LineKinds:
     """Naive Bayes over the words and the shape of a line: body text, headline or advert.
 
@@ -109,9 +136,17 @@ def page_lines(text: str, n_cols: int | None, x0: list[int] | None, y0: list[int
             return [(BODY, s, s + len(line)) for s, line in zip(starts, lines) if line.strip()]
         x0, y0, x1 = [MARGIN] * n, list(range(HEAD_ZONE, HEAD_ZONE + n)), [MARGIN + TEXT_WIDTH] * n
         n_cols = max(line.count(mark) + 1 for line in lines)
-    cols = n_cols if n_cols and n_cols > 0 else 1
+    known = n_cols is not None and n_cols > 0
+    mark = separator(text, lines, y0) if not known or n_cols > 1 else None
+    if known:
+        cols = n_cols
+    elif mark is not None:
+        cols = max(line.count(mark) + 1 for line in lines)
+    else:
+        cols = columns_of([x for line, x, y in zip(lines, x0, y0) if y >= HEAD_ZONE and line.strip()])
+        if cols is None:
+            return _unplaced(lines, starts, x0, y0)
     pitch = column_pitch(cols)
-    mark = separator(text, lines, y0) if cols > 1 else None
     if mark is not None:
         if not x1 or len(x1) != n or None in x1:
             x1 = [MARGIN + TEXT_WIDTH if x is None else x for x in (x1 if x1 and len(x1) == n else [None] * n)]

@@ -47,3 +47,17 @@ def test_nulls_in_boxes():
     assert [text[s:e] for _, s, e in page_lines(text, n, xs[0], xs[1], [None] * len(boxes))] == whole
     assert page_lines(text, n, [None, *xs[0][1:]], xs[1], xs[2]) and page_lines(text, None, *xs) and page_lines(text, -3, xs[0][:-1], xs[1], xs[2])
     assert page_lines("one\ntwo", 2, [], [], []) == [(BODY, 0, 3), (BODY, 4, 7)]
+
+
+def test_unknown_number_of_columns():
+    for columns in (COLUMNS[:1], COLUMNS, [*COLUMNS, ["A clerk sold", "two lanterns."]]):
+        for merged in (None, "  |  ") if len(columns) > 1 else (None,):
+            p = page(1, columns, merged=merged)
+            for n in (None, 0):
+                assert read((p[0], p[1], n, p[3])) == read(p), (len(columns), merged, n)
+
+
+def test_no_line_is_lost_where_no_number_of_columns_fits():
+    text, x0, y0 = "head\na one\nb one\na two\nb two", [900, 300, 1500, 320, 1490], [100, 300, 300, 340, 340]
+    found = page_lines(text, None, x0, y0, [x + 90 for x in x0])
+    assert [text[s:e] for kind, s, e in found if kind == BODY] == ["a one", "a two", "b one", "b two"]
