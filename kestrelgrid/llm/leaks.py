@@ -4,7 +4,9 @@ Pages are brought into reading order without headlines and adverts, their words
 ``words`` words is fingerprinted. Items are cut into the same windows; a Hamming index over these finds, for every
 window of the corpus, all item windows within its radius. Candidates are verified by the weighted share of words that
 agree in place, then by walking from the agreement in both directions, word by word, as far as the words stay the same
-or misreadings of each other. A document holds an item if a walk covers ``words`` consecutive words of it (``letters``
+or misreadings of each other. Passages whose fingerprints are too far apart are walked from two equal neighbouring words (three
+equal characters) wherever these stand in document and item; a passage in which no two neighbouring words are whole is
+found by its fingerprint only. A document holds an item if a walk covers ``words`` consecutive words of it (``letters``
 characters for items in Chinese or Japanese).
 
 The items are the stated query set: they are taken in blocks of ``block_items``, each with its own pass over the corpus,
@@ -20,7 +22,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ _HYPHENS = "-=¬‐‑\xad"
 LEAST_SHARE = 0.5
 #: Words fingerprinted at once.
 _STRETCH = 150_000
+#: Places of documents whose seeds are looked up at once.
+_SEEDED = 100_000
 
 
 def prose(text: str, n_cols, x0, y0, x1, kinds: LineKinds | None) -> str:
@@ -58,6 +62,75 @@ def letters_of(folded: list[str]) -> list[str]:
     return [c for word in folded for c in word if c.isalnum()]
 
 
+def _shapes(vocabulary: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length of each word, the set of its letters as bits, and how many letters it has of each of 32 kinds."""
+    words = list(vocabulary)
+    lengths = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(words)), lengths)
+    bits = np.zeros(len(words), np.uint64)
+    np.bitwise_or.at(bits, row, np.uint64(1) << (codes * 11 & 63).astype(np.uint64))
+    return lengths, bits, np.bincount(row * 32 + (codes & 31), minlength=32 * len(words)).reshape(-1, 32).astype(np.int16)
+
+
+class _Pairs:
+    """Units of documents beside units of items, by their places; ``bounds`` are where the texts of each row begin and end."""
+
+    def __init__(self, known, whole, doc_words, doc_shape, flat, item_words, item_shape, bounds) -> None:
+        self.known, self.flat, self.bounds = known, flat, bounds
+        self.whole, self.doc_words, self.item_words = whole, doc_words, item_words
+        self.doc_bags, self.item_bags = doc_shape[2], item_shape[2]
+        self.length, self.letters = doc_shape[0][whole], doc_shape[1][whole]
+        self.item_length, self.item_letters = item_shape[0][flat], item_shape[1][flat]
+
+    def inside(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        a, b, c, d = self.bounds
+        return (p >= a[rows]) & (p < b[rows]) & (q >= c[rows]) & (q < d[rows])
+
+    def equal(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return self.inside(rows, p, q) & (self.known[np.clip(p, 0, len(self.known) - 1)] == self.flat[np.clip(q, 0, len(self.flat) - 1)])
+
+    def near(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray, more_p: int = 0, more_q: int = 0) -> np.ndarray:
+        """Whether near() holds, of units joined with the next in the direction of more_p or more_q: asked once for each pair whose lengths and letters allow it."""
+        ok = self.inside(rows, p, q) & self.inside(rows, p + more_p, q + more_q)
+        p, q = np.where(ok, p, 0), np.where(ok, q, 0)
+        n, x, m, y = self.length[p], self.letters[p], self.item_length[q], self.item_letters[q]
+        if more_p:
+            at = np.where(ok, p + more_p, 0)
+            n, x = n + self.length[at], x | self.letters[at]
+        if more_q:
+            at = np.where(ok, q + more_q, 0)
+            m, y = m + self.item_length[at], y | self.item_letters[at]
+        most = np.maximum(n, m)
+        limit = np.where(most > 3, most // 4, (most == 3) & (n == m))
+        ok &= (np.abs(n - m) <= limit) & (np.bitwise_count(x ^ y) <= 2 * limit)
+        k = np.flatnonzero(ok)
+        a, b = self.whole[p[k]], self.flat[q[k]]
+        c = self.whole[p[k] + more_p] if more_p else self.flat[q[k] + more_q]
+        size = max(len(self.doc_words), len(self.item_words)) + 1
+        keys, back = np.unique((a * size + c) * (len(self.item_words) + 1) + b, return_inverse=True)
+        pairs, b = np.divmod(keys, len(self.item_words) + 1)
+        a, c = np.divmod(pairs, size)
+        join = (lambda x, y: x + y) if more_p + more_q > 0 else (lambda x, y: y + x)
+        D, I = self.doc_words, self.item_words
+        # an edit takes away one letter at most and adds one at most
+        bag = self.doc_bags[a] - self.item_bags[b]
+        bag += self.doc_bags[c] if more_p else -self.item_bags[c] if more_q else np.int16(0)
+        lacks, adds = np.maximum(-bag, 0).sum(axis=1), np.maximum(bag, 0).sum(axis=1)
+        lengths = self.doc_bags[a].sum(axis=1) + (self.doc_bags[c].sum(axis=1) if more_p else 0)
+        may = np.flatnonzero(np.maximum(lacks, adds) <= np.maximum(1, (lengths + np.maximum(lacks, adds)) // 4))
+        held, (a, b, c) = np.zeros(len(keys), bool), (a[may], b[may], c[may])
+        if more_p:
+            said = [near(join(D[i], D[k]), I[j]) for i, k, j in zip(a.tolist(), c.tolist(), b.tolist())]
+        elif more_q:
+            said = [near(D[i], join(I[j], I[k])) for i, k, j in zip(a.tolist(), c.tolist(), b.tolist())]
+        else:
+            said = [near(D[i], I[j]) for i, j in zip(a.tolist(), b.tolist())]
+        held[may] = said
+        ok[k] = held[back]
+        return ok
+
+
 class _Side:
     """Items of one kind of unit, words or letters, cut into windows of ``size``."""
 
@@ -76,12 +149,74 @@ class _Side:
         weight = np.array([min(len(w), 8) for w in vocabulary], np.float32)
         self.weights = np.concatenate([np.lib.stride_tricks.sliding_window_view(weight[x], size) for x in ids]) if ids else np.zeros((0, size), np.float32)
         self.index = HammingIndex(np.concatenate(prints)) if ids else None
+        self.flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        self.starts = np.cumsum([0, *map(len, ids)])
+        self.number, self.shapes = number, _shapes(vocabulary)
+        keys, places = self._grams(self.flat, self.starts)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[order], places[order]
+
+    def _grams(self, known: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, place) of every ``SEED`` neighbouring units of one text; ``known`` are numbers of the items' vocabulary, -1 outside."""
+        n = max(0, len(known) - self.SEED + 1)
+        inside, keys = np.ones(n, bool), np.zeros(n, np.int64)
+        for k in range(self.SEED):
+            part = known[k : k + n]
+            inside &= part >= 0
+            keys = keys * (len(self.number) + 1) + part
+        for k in range(1, self.SEED):
+            cut = starts[1:-1] - k
+            inside[cut[(cut >= 0) & (cut < n)]] = False
+        places = np.flatnonzero(inside)
+        return keys[places], places
+
+    def seeds(self, number: dict[str, int], whole: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, place, place in the item) of equal neighbouring units that a passage may be walked from.
+
+        Of a stretch of equal units only the first ``SEED`` are a seed. A seed is left out only where the walks from it surely
+        end before they cover a passage.
+        """
+        known = np.array([self.number.get(w, -1) for w in number], np.int64)[whole]
+        doc_shape, item_shape = _shapes(number), self.shapes
+        keys, places = self._grams(known, starts)
+        first = np.searchsorted(self.keys, keys, side="left")
+        count = np.searchsorted(self.keys, keys, side="right") - first
+        places, first, count = places[count > 0], first[count > 0], count[count > 0]
+        for at in range(0, len(places), _SEEDED):
+            n = count[at : at + _SEEDED]
+            p = np.repeat(places[at : at + _SEEDED], n)
+            q = self.places[np.repeat(first[at : at + _SEEDED] - (np.cumsum(n) - n), n) + np.arange(len(p))]
+            doc, owner = np.searchsorted(starts, p, side="right") - 1, np.searchsorted(self.starts, q, side="right") - 1
+            new = ~((p > starts[doc]) & (q > self.starts[owner]) & (known[p - 1] == self.flat[q - 1]))
+            p, q, doc, owner = p[new], q[new], doc[new], owner[new]
+            pairs = _Pairs(known, whole, list(number), doc_shape, self.flat, list(self.number), item_shape, (starts[doc], starts[doc + 1], self.starts[owner], self.starts[owner + 1]))
+            ahead, behind = self._reach(pairs, p + self.SEED - 1, q + self.SEED - 1, 1), self._reach(pairs, p, q, -1)
+            k = np.flatnonzero(ahead + behind + self.SEED >= self.size)
+            yield from zip(doc[k].tolist(), owner[k].tolist(), (p[k] - starts[doc[k]]).tolist(), (q[k] - self.starts[owner[k]]).tolist())
+
+    def _reach(self, pairs: _Pairs, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        """Units that a walk covers at most; ``size`` where a repair may take it on."""
+        out, live = np.zeros(len(p), np.int64), np.arange(len(p))
+        for k in range(1, self.size):
+            a, b = p[live] + k * step, q[live] + k * step
+            on = pairs.near(live, a, b)
+            off = np.flatnonzero(~on)
+            out[live[off[self._mendable(pairs, live[off], a[off], b[off], step)]]] = self.size
+            live = live[on]
+            out[live] += 1
+        return out
+
+    def _mendable(self, pairs: _Pairs, rows: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        """Whether _repair() may take the walks past the disagreements; true wherever it does."""
+        raise NotImplementedError
 
     def find(self, docs: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, item id, length of the run, share) for documents as (number, units)."""
         docs = [(d, t) for d, t in docs if len(t) >= self.size]
         if self.index is None or not docs:
             return
+        done: set[tuple[int, int]] = set()
+        walked: dict[tuple[int, int], set[tuple[int, int]]] = {}
         number: dict[str, int] = {}
         ids = [np.array([number.setdefault(w, len(number)) for w in t], np.int64) for _, t in docs]
         vectors, hashes = word_vectors(list(number))
@@ -101,11 +236,22 @@ class _Side:
             weight = self.weights[hits]
             share = (same * weight).sum(axis=1) / weight.sum(axis=1)
             good = share >= LEAST_SHARE
-            yield from self._verify(docs, start, rows[good], hits[good], doc[good], same[good], share[good])
+            yield from self._verify(docs, start, rows[good], hits[good], doc[good], same[good], share[good], done, walked)
+        for d, owner, p, q in self.seeds(number, whole, start):
+            passed = walked.setdefault((d, owner), set())
+            if (d, owner) not in done and (p, q) not in passed:
+                run = self.run(docs[d][1], self.items[owner][1], p, q, passed)
+                if run >= self.size:
+                    done.add((d, owner))
+                    yield docs[d][0], self.items[owner][0], run, self._share(docs[d][1], self.items[owner][1], p, q)
 
-    def _verify(self, docs, start, rows, hits, doc, same, share) -> Iterator[tuple[int, int, int, float]]:
-        done: set[tuple[int, int]] = set()
-        walked: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    def _share(self, doc: list[str], item: list[str], p: int, q: int) -> float:
+        """Weighted share of equal units in the item's window that begins at the seed, or at its last window."""
+        at = min(q, len(item) - self.size)
+        asked = [(w, p - q + k) for k, w in enumerate(item[at : at + self.size], at)]
+        return sum(min(len(w), 8) for w, k in asked if 0 <= k < len(doc) and doc[k] == w) / sum(min(len(w), 8) for w, _ in asked)
+
+    def _verify(self, docs, start, rows, hits, doc, same, share, done, walked) -> Iterator[tuple[int, int, int, float]]:
         for k in np.argsort(-share, kind="stable").tolist():
             d, owner = int(doc[k]), int(self.owner[hits[k]])
             if (d, owner) in done:
@@ -148,6 +294,13 @@ class _Side:
 
 
 class WordSide(_Side):
+    SEED = 2
+
+    def _mendable(self, pairs: _Pairs, rows: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        skipped = pairs.near(rows, p + step, q)
+        skipped[skipped] = pairs.length[p[skipped]] == 1
+        return skipped | pairs.near(rows, p, q, step, 0) | pairs.near(rows, p, q, 0, step)
+
     def _repair(self, doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple[int, int] | None:
         p2, q2 = p + step, q + step
         in_doc, in_item = 0 <= p2 < len(doc), 0 <= q2 < len(item)
@@ -162,6 +315,13 @@ class WordSide(_Side):
 
 
 class LetterSide(_Side):
+    #: A walk passes an error only before three equal letters.
+    SEED = 3
+
+    def _mendable(self, pairs: _Pairs, rows: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        agree = lambda a, b: np.logical_and.reduce([pairs.equal(rows, a + k * step, b + k * step) for k in range(3)])
+        return pairs.inside(rows, p, q) & (agree(p + step, q + step) | agree(p, q + step) | agree(p + step, q))
+
     def _repair(self, doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple[int, int] | None:
         """A single misread, lost or added character between characters that agree."""
         agree = lambda a, b: all(0 <= a + k * step < len(doc) and 0 <= b + k * step < len(item) and doc[a + k * step] == item[b + k * step] for k in range(3))

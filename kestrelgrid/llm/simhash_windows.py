@@ -51,9 +51,18 @@ def window_fingerprints(vectors: np.ndarray, ids: np.ndarray, size: int) -> np.n
     """Fingerprints of all windows of ``size`` words of the sequence ``ids`` (rows of ``vectors``)."""
     if len(ids) < size:
         return np.zeros(0, np.uint64)
-    total = np.cumsum(vectors[ids], axis=0, dtype=np.int32)
-    sums = total[size - 1 :].copy()
-    sums[1:] -= total[: -size]
+    part, n = vectors[ids], len(ids) - size + 1
+    if int(np.abs(vectors).max()) * size > np.iinfo(part.dtype).max:
+        part = part.astype(np.int32)
+    sums, at, width = None, 0, 1
+    while True:  # sums of 1, 2, 4 ... words make those of ``size``
+        if size & width:
+            sums = part[at : at + n] if sums is None else sums + part[at : at + n]
+            at += width
+        if 2 * width > size:
+            break
+        part = part[:-width] + part[width:]
+        width *= 2
     return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
 
 

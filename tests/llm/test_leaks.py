@@ -104,3 +104,18 @@ def test_folding():
     assert fold("Rcv. Clerk") == fold("Rev. derk") and fold("A8OUT") == fold("about") and fold("fhe") == fold("the")
     assert near("ledger", "lcdger") and near("tramway", "tranway") and not near("ledger", "lodges") and not near("12", "13") and not near("a", "i")
     assert distance_within("abc", "abd", 1) and not distance_within("abc", "xyz", 2)
+
+
+def test_shortest_passages_with_misreadings_and_torn_words(spark):
+    """Found wherever two neighbouring words are whole, however far the windows' fingerprints are apart."""
+    r = random.Random(5)
+    words = ["".join(r.choice("ka lo mi ter vun sha pel dri".split()) for _ in range(4)) for _ in range(40)]
+    pages = []
+    for d in range(40):
+        cut = words[d % 28 : d % 28 + 12]
+        for k in (2, 3, 6, 7, 10):
+            at = r.randrange(1, len(cut[k]) - 1)
+            cut[k] = cut[k][:at] + "x" + cut[k][at + 1 :]
+        cut[5] = cut[5][:3] + " " + cut[5][3:]
+        pages.append(page(d, [lines(noise(20) + cut + noise(20))]))
+    assert leaks(spark, pages, [(1, " ".join(words), "x")]) == {(d, 1) for d in range(40)}
