@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelgrid.functions.lengths import IN_BRACKETS, IN_PROSE, MM_BY_UNIT, NUMBER_AND_UNIT, cell_number, cell_unit, header_unit, mm_of_unit, prose_unit
-from kestrelgrid.operators.stated_units import to_millimetres
-from kestrelgrid.operators.unit_graph import pair_scales, propagate_units
+from kestrelgrid.functions.lengths import CUES, IN_BRACKETS, NUMBER_AND_UNIT, UNITS
+from kestrelgrid.operators.stated_units import notation_units, read_cells, to_millimetres
 from kestrelgrid.sources.tables import table
 
 
@@ -18,9 +17,12 @@ def accuracy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("reading_id").alias("id"), F.col("receiver_id").alias("source"), "unit_text", "note", F.explode(both).alias("c")).select("id", "c.axis", "source", "c.header", "c.cell", "unit_text", "note")
 
 
+def _receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "receivers").select(F.col("receiver_id").alias("source"), "description")
+
+
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    receivers = table(spark, sf_dir, "receivers").select(F.col("receiver_id").alias("source"), "description")
-    return to_millimetres(accuracy_cells(spark, sf_dir), receivers).select(F.col("id").alias("reading_id"), "axis", F.col("mm").alias("accuracy_mm"), "stated_in")
+    return to_millimetres(accuracy_cells(spark, sf_dir), _receivers(spark, sf_dir)).select(F.col("id").alias("reading_id"), "axis", F.col("mm").alias("accuracy_mm"), "stated_in")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,34 +30,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of the receivers by what they measured together, against those their descriptions state.
-
-    Entities are spans of ten seconds of a flight and an axis; only cells without any statement of their own are used.
-    """
-    plain = accuracy_rows(spark, sf_dir).where(stated_nowhere()).withColumn("value", cell_number(F.col("cell")).cast("double"))
-    readings = plain.select(F.concat_ws("|", "flight_id", "axis", F.floor(F.col("t") / 10).cast("string")).alias("entity"), "source", "value").where("value > 0")
-    receivers = table(spark, sf_dir, "receivers").select(F.col("receiver_id").alias("source"), mm_of_unit(prose_unit(F.col("description"))).cast("double").alias("mm"))
-    pairs = pair_scales(readings, sorted({float(mm) for mm in MM_BY_UNIT.values()}))
-    found = propagate_units(pairs, receivers.where("mm IS NOT NULL"), receivers.select("source"))
-    return found.select(F.col("source").alias("receiver_id"), F.round("mm", 6).alias("unit_mm"), "hops")
-
-
-def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """accuracy_cells() with flight and time."""
-    both = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"field_{a}").alias("header"), F.col(f"accuracy_{a}").alias("cell")) for a in "hv"])
-    rows = table(spark, sf_dir, "accuracy_readings").where("NOT isnan(t)")
-    return rows.select("flight_id", "t", F.col("receiver_id").alias("source"), "unit_text", "note", F.explode(both).alias("c")).select("flight_id", "t", "source", "unit_text", "note", "c.*")
-
-
-def stated_nowhere() -> F.Column:
-    texts = (mm_of_unit(header_unit(F.col("header"))), mm_of_unit(F.col("unit_text")), mm_of_unit(prose_unit(F.col("note"))))
-    return (cell_unit(F.col("cell")) == "") & F.coalesce(*texts).isNull()
+    """Every notation with what it names, what its links to other notations say, and the unit that holds."""
+    found = notation_units(read_cells(accuracy_cells(spark, sf_dir), _receivers(spark, sf_dir)))
+    return found.select(F.col("source").alias("notation"), "readings", "anchor_mm", F.round("linked_mm", 4).alias("linked_mm"), F.round("error", 4).alias("error"), "snapped_mm", "mm", "hops")
 
 
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# the SQL reads every phrase of the texts by a table, and estimates nothing
+_PHRASES = {
+    "1000000": ["thousands of metres"], "1000": ["si base units of length", "whole metres with decimals"], "100": ["tenths of a metre", "1/10 m"], "10": ["hundredths of a metre", "1/100 m"],
+    "1": ["thousandths of a metre", "1/1000 m"], "0.001": ["millionths of a metre"], "914.4": ["lengths of three feet"], "304.8": ["international feet"], "25.4": ["twelfths of a foot"],
+}
+MM_BY_UNIT = {form: mm for table in (UNITS, _PHRASES) for mm, forms in table.items() for form in forms}
+_IN_TEXT = "|".join(sorted((form for form in MM_BY_UNIT if len(form) > 1 and form != "in"), key=lambda form: (-len(form), form)))
+IN_PROSE = rf"(?:{CUES})[^;.]*?\b({_IN_TEXT})\b"
+
+
 def _sql(columns: str) -> str:
     units = ", ".join(f"({_literal(form)}, {mm}::DECIMAL(11,3))" for form, mm in MM_BY_UNIT.items())
     return f"""WITH unit(form, mm) AS (VALUES {units}), cell AS (

@@ -1,3 +1,5 @@
+import random
+
 from kestrelgrid.operators.stated_units import to_millimetres
 
 CELL = "id bigint, axis string, source string, header string, cell string, unit_text string, note string, value int"
@@ -30,3 +32,22 @@ def test_repeats_and_empty(spark):
     none = spark.createDataFrame([], "source string, description string")
     assert [r.mm for r in to_millimetres(cells, none).collect()] == [2000]
     assert to_millimetres(cells.limit(0), none).count() == 0
+
+
+def test_amounts_of_units(spark):
+    said = {
+        "accuracies in thousandths of a metre": 1, "1-sigma, 1/100 m": 10, "Genauigkeit in lengths of three feet": 914, "H/V error: thousands of metres": 1_000_000, "acc. cols = tenths of a metre, altitude in feet": 100,
+        "logged 12 sats; error given in twelfths of a foot": 25, "accuracies in international feet": 305, "Precision: quarters of an inch since 2019": 6, "windy": 1000, "altitude in feet": 1000,
+    }
+    got = values(spark, [("s", "h", "1" if mm < 1_000_000 else "0.5", None, note) for note, mm in said.items()])
+    assert [got[k][0] for k in range(len(said))] == [mm if mm < 1_000_000 else 500_000 for mm in said.values()]
+
+
+def test_unseen_phrases_get_their_unit_from_the_graph(spark):
+    rnd = random.Random(4)
+    true = [rnd.lognormvariate(8, 0.5) for _ in range(400)]  # mm
+    rows = [("s", "h_acc", f"{mm / 10:.4f}", "cm", None) if k % 2 else ("s", "h_acc", f"{mm / 304.8:.4f}", None, "spread figures come in surveyors' ells") for k, mm in enumerate(true)]
+    rows += [("s", "h_acc", "9 sats", None, None)] * 20 + [("s", "h(true north)", f"{true[0] / 304.8:.4f}", None, "error: surveyors' ells")]
+    got = values(spark, rows)
+    assert all(abs(got[k][0] - mm) <= 1 for k, mm in enumerate(true)) and got[0][1] == "row"
+    assert not any(k in got for k in range(400, 420)) and abs(got[420][0] - true[0]) <= 1
