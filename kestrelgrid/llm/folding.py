@@ -6,6 +6,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+
 # What a scanner reads for what, by the letter kept; letters that it reads as two are written as two first.
 AS_TWO = {"d": "cl", "w": "vv", "k": "lc", "m": "rn", "ы": "ьт"}
 LETTERS = {
@@ -64,3 +66,41 @@ def distance_within(a: str, b: str, limit: int) -> bool:
         if least > limit:
             return False
     return row[-1] <= limit
+
+
+def near_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """near() of each pair, edit distances being counted for all pairs at once in the band that the limit leaves."""
+    n, m = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    out = np.fromiter((x == y for x, y in zip(a, b)), bool, len(a))
+    most = np.maximum(n, m)
+    limit = np.where(most > 3, most // 4, (most == 3) & (n == m))
+    asked = ~out & (limit > 0) & (np.abs(n - m) <= limit)
+    asked &= np.fromiter((not (x.isdigit() or y.isdigit()) for x, y in zip(a, b)), bool, len(a))
+    for bound in np.unique(limit[asked]).tolist():
+        k = np.flatnonzero(asked & (limit == bound))
+        out[k] = _band(np.array([a[i] for i in k]), np.array([b[i] for i in k]), n[k], m[k], bound) <= bound
+    return out
+
+
+def _band(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, bound: int) -> np.ndarray:
+    """Edit distances of pairs of words whose lengths n and m differ by at most ``bound``; exact up to ``bound``."""
+    x = a.view(np.uint32).reshape(len(a), -1)
+    y = np.pad(b.view(np.uint32).reshape(len(b), -1), ((0, 0), (bound, max(0, x.shape[1] - b.dtype.itemsize // 4) + 2 * bound + 1)))
+    far, width = bound + 1, 2 * bound + 1
+    row = [np.full(len(a), max(o - bound, 0) if o >= bound else far, np.int16) for o in range(width)]
+    out = np.full(len(a), far, np.int16)
+    for i in range(1, x.shape[1] + 1):
+        new = []
+        for o in range(width):
+            j = i + o - bound  # letters of b read
+            cost = row[o] + (x[:, i - 1] != y[:, j - 1 + bound]) if j >= 1 else np.full(len(a), i if j == 0 else far, np.int16)
+            if j >= 0 and o + 1 < width:
+                cost = np.minimum(cost, row[o + 1] + 1)
+            if j >= 1 and o:
+                cost = np.minimum(cost, new[o - 1] + 1)
+            new.append(cost)
+        row = new
+        done = np.flatnonzero(n == i)
+        if len(done):
+            out[done] = np.stack([r[done] for r in row])[m[done] - i + bound, np.arange(len(done))]
+    return out

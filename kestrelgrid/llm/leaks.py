@@ -2,15 +2,17 @@
 
 Pages are brought into reading order without headlines and adverts, their words are folded, and every window of
 ``words`` words is fingerprinted. Items are cut into the same windows; a Hamming index over these finds, for every
-window of the corpus, all item windows within its radius. Candidates are verified by the weighted share of words that
-agree in place, then by walking from the agreement in both directions, word by word, as far as the words stay the same
-or misreadings of each other. Passages whose fingerprints are too far apart are walked from two equal neighbouring words (three
+window of the corpus, all item windows within its radius. Candidates are verified by the exact weighted share of the item
+window's words that the document's window holds, a word's weight being its length, then by walking from words that agree in
+place in both directions, word by word, as far as the words stay the same or misreadings of each other. Windows are as long as
+the shortest passage that counts, not as an item, as any part of an item is a leak. Passages whose fingerprints are too far apart are walked from two equal neighbouring words (three
 equal characters) wherever these stand in document and item; a passage in which no two neighbouring words are whole is
 found by its fingerprint only. A document holds an item if a walk covers ``words`` consecutive words of it (``letters``
 characters for items in Chinese or Japanese).
 
-The items are the stated query set: they are taken in blocks of ``block_items``, each with its own pass over the corpus,
-so what goes to the workers is bounded. Nothing of the corpus is collected or shuffled.
+The items are the stated query set: they are taken in blocks of ``block_windows`` windows, so what goes to the workers is
+bounded (an item of more windows is a block of its own). Pages are laid out once: for several blocks, their texts in reading
+order are written to the shared checkpoint folder first. Nothing of the corpus is collected or shuffled.
 
 Defined results
 ---------------
@@ -29,17 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelgrid.llm.folding import CJK, near, words
+from kestrelgrid.llm.checkpoints import shared_checkpoint
+from kestrelgrid.llm.folding import CJK, near, near_pairs, words
 from kestrelgrid.llm.page_layout import BODY, PAGE_COLUMNS, LineKinds, page_lines, pages_of
 from kestrelgrid.llm.simhash_windows import HammingIndex, window_fingerprints, word_vectors
 
 _HYPHENS = "-=¬‐‑\xad"
-#: Weighted share of words equal in place that a candidate needs.
+#: Weighted share of an item window's words that a candidate needs to hold, wherever in the window.
 LEAST_SHARE = 0.5
+#: Candidates whose words are compared at once.
+_COMPARED = 20_000
 #: Words fingerprinted at once.
 _STRETCH = 150_000
 #: Places of documents whose seeds are looked up at once.
 _SEEDED = 100_000
+#: Units without letters around the sequences; a walk looks at most a passage and a few units on.
+_PAD = 256
 
 
 def prose(text: str, n_cols, x0, y0, x1, kinds: LineKinds | None) -> str:
@@ -74,67 +81,76 @@ def _shapes(vocabulary: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class _Pairs:
-    """Units of documents beside units of items, by their places; ``bounds`` are where the texts of each row begin and end."""
+    """Units of documents beside units of items, by their places; ``bounds`` are where the texts of each row begin and end.
 
-    def __init__(self, known, whole, doc_words, doc_shape, flat, item_words, item_shape, bounds) -> None:
-        self.known, self.flat, self.bounds = known, flat, bounds
-        self.whole, self.doc_words, self.item_words = whole, doc_words, item_words
-        self.doc_bags, self.item_bags = doc_shape[2], item_shape[2]
-        self.length, self.letters = doc_shape[0][whole], doc_shape[1][whole]
-        self.item_length, self.item_letters = item_shape[0][flat], item_shape[1][flat]
+    Both sequences have ``_PAD`` units without letters before and behind, so that every place a walk looks at can be read.
+    """
+
+    def __init__(self, known, whole, doc_words, doc_shape, flat, item_words, item_shape) -> None:
+        self.known, self.flat, self.whole = np.pad(known, _PAD, constant_values=-2), np.pad(flat, _PAD, constant_values=-3), np.pad(whole, _PAD)
+        self.words, self.bags = (doc_words, item_words), (doc_shape[2], item_shape[2])
+        # lengths and letters of single units, of each with the next, and of each with the one before
+        self.doc, self.item = ({0: (n, x), 1: _with_next(n, x), -1: tuple(np.roll(v, 1) for v in _with_next(n, x))} for n, x in ((np.pad(shape[0][ids].astype(np.int16), _PAD), np.pad(shape[1][ids], _PAD)) for shape, ids in ((doc_shape, whole), (item_shape, flat))))
+        self.bounds = ()
 
     def inside(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         a, b, c, d = self.bounds
         return (p >= a[rows]) & (p < b[rows]) & (q >= c[rows]) & (q < d[rows])
 
     def equal(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return self.inside(rows, p, q) & (self.known[np.clip(p, 0, len(self.known) - 1)] == self.flat[np.clip(q, 0, len(self.flat) - 1)])
+        return self.inside(rows, p, q) & (self.known[p + _PAD] == self.flat[q + _PAD])
 
     def near(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray, more_p: int = 0, more_q: int = 0) -> np.ndarray:
         """Whether near() holds, of units joined with the next in the direction of more_p or more_q: asked once for each pair whose lengths and letters allow it."""
-        ok = self.inside(rows, p, q) & self.inside(rows, p + more_p, q + more_q)
-        p, q = np.where(ok, p, 0), np.where(ok, q, 0)
-        n, x, m, y = self.length[p], self.letters[p], self.item_length[q], self.item_letters[q]
-        if more_p:
-            at = np.where(ok, p + more_p, 0)
-            n, x = n + self.length[at], x | self.letters[at]
-        if more_q:
-            at = np.where(ok, q + more_q, 0)
-            m, y = m + self.item_length[at], y | self.item_letters[at]
+        p, q = p + _PAD, q + _PAD
+        if more_p or more_q:
+            ok = np.zeros(len(p), bool)
+        else:
+            ok = self.known[p] == self.flat[q]
+            equal = np.flatnonzero(ok)
+            ok[equal] = self.inside(rows[equal], p[equal] - _PAD, q[equal] - _PAD)
+        # the cheapest tests first, each on what the one before left
+        lengths, letters = self.doc[more_p]
+        item_lengths, item_letters = self.item[more_q]
+        n, m = lengths[p], item_lengths[q]
         most = np.maximum(n, m)
-        limit = np.where(most > 3, most // 4, (most == 3) & (n == m))
-        ok &= (np.abs(n - m) <= limit) & (np.bitwise_count(x ^ y) <= 2 * limit)
-        k = np.flatnonzero(ok)
+        k = np.flatnonzero((np.abs(n - m) << 2 <= most) & (most > 2) & ~ok)
+        k = k[np.bitwise_count(letters[p[k]] ^ item_letters[q[k]]) <= np.maximum(most[k] >> 1, 2)]
+        k = k[self.inside(rows[k], p[k] - _PAD, q[k] - _PAD) & self.inside(rows[k], p[k] - _PAD + more_p, q[k] - _PAD + more_q)]
         a, b = self.whole[p[k]], self.flat[q[k]]
         c = self.whole[p[k] + more_p] if more_p else self.flat[q[k] + more_q]
-        size = max(len(self.doc_words), len(self.item_words)) + 1
-        keys, back = np.unique((a * size + c) * (len(self.item_words) + 1) + b, return_inverse=True)
-        pairs, b = np.divmod(keys, len(self.item_words) + 1)
+        D, I = self.words
+        size = max(len(D), len(I)) + 1
+        keys, back = np.unique((a * size + c) * (len(I) + 1) + b, return_inverse=True)
+        pairs, b = np.divmod(keys, len(I) + 1)
         a, c = np.divmod(pairs, size)
-        join = (lambda x, y: x + y) if more_p + more_q > 0 else (lambda x, y: y + x)
-        D, I = self.doc_words, self.item_words
         # an edit takes away one letter at most and adds one at most
-        bag = self.doc_bags[a] - self.item_bags[b]
-        bag += self.doc_bags[c] if more_p else -self.item_bags[c] if more_q else np.int16(0)
+        bag = self.bags[0][a] - self.bags[1][b]
+        bag += self.bags[0][c] if more_p else -self.bags[1][c] if more_q else np.int16(0)
         lacks, adds = np.maximum(-bag, 0).sum(axis=1), np.maximum(bag, 0).sum(axis=1)
-        lengths = self.doc_bags[a].sum(axis=1) + (self.doc_bags[c].sum(axis=1) if more_p else 0)
+        lengths = self.bags[0][a].sum(axis=1) + (self.bags[0][c].sum(axis=1) if more_p else 0)
         may = np.flatnonzero(np.maximum(lacks, adds) <= np.maximum(1, (lengths + np.maximum(lacks, adds)) // 4))
         held, (a, b, c) = np.zeros(len(keys), bool), (a[may], b[may], c[may])
+        x, y = [D[i] for i in a.tolist()], [I[j] for j in b.tolist()]
         if more_p:
-            said = [near(join(D[i], D[k]), I[j]) for i, k, j in zip(a.tolist(), c.tolist(), b.tolist())]
-        elif more_q:
-            said = [near(D[i], join(I[j], I[k])) for i, k, j in zip(a.tolist(), c.tolist(), b.tolist())]
-        else:
-            said = [near(D[i], I[j]) for i, j in zip(a.tolist(), b.tolist())]
-        held[may] = said
+            x = [v + D[j] if more_p > 0 else D[j] + v for v, j in zip(x, c.tolist())]
+        if more_q:
+            y = [v + I[j] if more_q > 0 else I[j] + v for v, j in zip(y, c.tolist())]
+        held[may] = near_pairs(x, y)
         ok[k] = held[back]
         return ok
 
 
+def _with_next(lengths: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return lengths + np.roll(lengths, -1), letters | np.roll(letters, -1)
+
+
 class _Side:
     """Items of one kind of unit, words or letters, cut into windows of ``size``."""
 
     def __init__(self, items: list[tuple[int, list[str]]], size: int) -> None:
+        if size + 6 > _PAD:
+            raise ValueError(f"a passage of over {_PAD - 6} units")
         self.size, self.items = size, [(i, t) for i, t in items if len(t) >= size]
         flat = [w for _, t in self.items for w in t]
         vocabulary = sorted(set(flat))
@@ -170,14 +186,15 @@ class _Side:
         places = np.flatnonzero(inside)
         return keys[places], places
 
-    def seeds(self, number: dict[str, int], whole: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def seeds(self, vocabulary: list[str], whole: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, place, place in the item) of equal neighbouring units that a passage may be walked from.
 
         Of a stretch of equal units only the first ``SEED`` are a seed. A seed is left out only where the walks from it surely
         end before they cover a passage.
         """
-        known = np.array([self.number.get(w, -1) for w in number], np.int64)[whole]
-        doc_shape, item_shape = _shapes(number), self.shapes
+        known = np.array([self.number.get(w, -1) for w in vocabulary], np.int64)[whole]
+        doc_shape, item_shape = _shapes(vocabulary), self.shapes
+        pairs = _Pairs(known, whole, vocabulary, doc_shape, self.flat, list(self.number), item_shape)
         keys, places = self._grams(known, starts)
         first = np.searchsorted(self.keys, keys, side="left")
         count = np.searchsorted(self.keys, keys, side="right") - first
@@ -189,7 +206,7 @@ class _Side:
             doc, owner = np.searchsorted(starts, p, side="right") - 1, np.searchsorted(self.starts, q, side="right") - 1
             new = ~((p > starts[doc]) & (q > self.starts[owner]) & (known[p - 1] == self.flat[q - 1]))
             p, q, doc, owner = p[new], q[new], doc[new], owner[new]
-            pairs = _Pairs(known, whole, list(number), doc_shape, self.flat, list(self.number), item_shape, (starts[doc], starts[doc + 1], self.starts[owner], self.starts[owner + 1]))
+            pairs.bounds = (starts[doc], starts[doc + 1], self.starts[owner], self.starts[owner + 1])
             ahead, behind = self._reach(pairs, p + self.SEED - 1, q + self.SEED - 1, 1), self._reach(pairs, p, q, -1)
             k = np.flatnonzero(ahead + behind + self.SEED >= self.size)
             yield from zip(doc[k].tolist(), owner[k].tolist(), (p[k] - starts[doc[k]]).tolist(), (q[k] - self.starts[owner[k]]).tolist())
@@ -217,10 +234,9 @@ class _Side:
             return
         done: set[tuple[int, int]] = set()
         walked: dict[tuple[int, int], set[tuple[int, int]]] = {}
-        number: dict[str, int] = {}
-        ids = [np.array([number.setdefault(w, len(number)) for w in t], np.int64) for _, t in docs]
-        vectors, hashes = word_vectors(list(number))
-        whole = np.concatenate(ids)
+        encoded = pa.array([w for _, t in docs for w in t], pa.string()).dictionary_encode()
+        vocabulary, whole = encoded.dictionary.to_pylist(), encoded.indices.to_numpy().astype(np.int64)
+        vectors, hashes = word_vectors(vocabulary)
         start = np.cumsum([0, *(len(t) for _, t in docs)])
         for at in range(0, len(whole), _STRETCH):
             part = whole[at : at + _STRETCH + self.size - 1]
@@ -232,12 +248,15 @@ class _Side:
             doc = np.searchsorted(start, rows, side="right") - 1
             within = rows + self.size <= start[doc + 1]
             rows, hits, doc = rows[within], hits[within], doc[within]
-            same = hashes[whole[rows[:, None] + np.arange(self.size)]] == self.windows[hits]
-            weight = self.weights[hits]
-            share = (same * weight).sum(axis=1) / weight.sum(axis=1)
+            share, same = np.zeros(len(rows)), np.zeros((len(rows), self.size), bool)
+            for k in range(0, len(rows), _COMPARED):
+                cut = slice(k, k + _COMPARED)
+                held, asked, weight = hashes[whole[rows[cut, None] + np.arange(self.size)]], self.windows[hits[cut]], self.weights[hits[cut]]
+                same[cut] = held == asked
+                share[cut] = ((held[:, :, None] == asked[:, None, :]).any(axis=1) * weight).sum(axis=1) / weight.sum(axis=1)
             good = share >= LEAST_SHARE
             yield from self._verify(docs, start, rows[good], hits[good], doc[good], same[good], share[good], done, walked)
-        for d, owner, p, q in self.seeds(number, whole, start):
+        for d, owner, p, q in self.seeds(vocabulary, whole, start):
             passed = walked.setdefault((d, owner), set())
             if (d, owner) not in done and (p, q) not in passed:
                 run = self.run(docs[d][1], self.items[owner][1], p, q, passed)
@@ -297,8 +316,8 @@ class WordSide(_Side):
     SEED = 2
 
     def _mendable(self, pairs: _Pairs, rows: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
-        skipped = pairs.near(rows, p + step, q)
-        skipped[skipped] = pairs.length[p[skipped]] == 1
+        skipped = pairs.doc[0][0][p + _PAD] == 1
+        skipped[skipped] = pairs.near(rows[skipped], p[skipped] + step, q[skipped])
         return skipped | pairs.near(rows, p, q, step, 0) | pairs.near(rows, p, q, 0, step)
 
     def _repair(self, doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple[int, int] | None:
@@ -353,7 +372,20 @@ def _sides(items: list[tuple[int, str]], size: int, letters: int) -> tuple[WordS
     return _BUILT[key]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, size: int = 12, letters: int = 24, kinds: LineKinds | None = None, block_items: int = 2000) -> DataFrame:
+def _blocks(items: Iterable[tuple[int, str]], size: int, most: int) -> list[list[tuple[int, str]]]:
+    """Items in blocks of at most ``most`` windows, or of one item."""
+    blocks, held = [[]], 0
+    for i, text in items:
+        n = max(0, len(words(text)) - size + 1)
+        if held + n > most and blocks[-1]:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((i, text))
+        held += n
+    return blocks
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, *, size: int = 12, letters: int = 24, kinds: LineKinds | None = None, block_windows: int = 20_000) -> DataFrame:
     """documents: (doc_id, text, n_cols, boxes); items: (item_id, item_text). Result: (doc_id, item_id, run, share).
 
     ``run`` is the length of the longest walk found first, in words or characters; ``share`` the weighted share of equal
@@ -362,10 +394,20 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, size: int = 12, letter
     pages = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", *PAGE_COLUMNS)
     asked = items.where(F.col("item_text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "item_text").distinct().orderBy("item_id", "item_text")
     kind = dict(documents.dtypes)["doc_id"]
-    out, block = None, []
+    blocks = _blocks(((r.item_id, r.item_text) for r in asked.toLocalIterator()), size, block_windows)
+    context = pages.sparkSession.sparkContext
+    laid_out = len(blocks) > 1
+    if laid_out:
+        held = context.broadcast(kinds)
+
+        def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([prose(*page, held.value) for page in pages_of(batch)], pa.string())], ["doc_id", "text"])
+
+        pages = shared_checkpoint(pages.mapInArrow(lay_out, f"doc_id {kind}, text string"))
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        sent = pages.sparkSession.sparkContext.broadcast((block, kinds))
+        sent = context.broadcast((block, kinds))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, line_kinds = sent.value
@@ -373,9 +415,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, size: int = 12, letter
             for whole in batches:
                 for at in range(0, whole.num_rows, 500):
                     batch = whole.slice(at, 500)
+                    texts = batch.column("text").to_pylist() if laid_out else [prose(*page, line_kinds) for page in pages_of(batch)]
                     spelled, lettered = [], []
-                    for k, page in enumerate(pages_of(batch)):
-                        text = prose(*page, line_kinds)
+                    for k, text in enumerate(texts):
                         folded = words(text)
                         spelled.append((k, folded))
                         if by_letter.items and len(CJK.findall(text)) >= letters // 2:
@@ -387,10 +429,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, size: int = 12, letter
 
         return pages.mapInArrow(run, f"doc_id {kind}, item_id bigint, run int, share double")
 
-    for row in asked.toLocalIterator():
-        block.append((row.item_id, row.item_text))
-        if len(block) == block_items:
-            out, block = (search(block) if out is None else out.unionByName(search(block))), []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
+    out = search(blocks[0])
+    for block in blocks[1:]:
+        out = out.unionByName(search(block))
     return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("share").alias("share"))

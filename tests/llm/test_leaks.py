@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from kestrelgrid.llm.folding import distance_within, fold, near
+from kestrelgrid.llm.folding import distance_within, fold, near, near_pairs
 from kestrelgrid.llm.leaks import find_leaks
 from kestrelgrid.llm.simhash_windows import RADIUS, HammingIndex, window_fingerprints, word_vectors
 
@@ -57,7 +57,7 @@ def test_blocks_of_items_say_the_same(spark):
     items = [(k, " ".join(ITEM[k : k + 15]), "x") for k in range(5)]
     df = rows(spark, [page(1, [lines(ITEM)])])
     i = spark.createDataFrame(items, "item_id bigint, item_text string, doc_id string")
-    assert {tuple(r)[:2] for r in find_leaks(df, i, block_items=2).collect()} == {tuple(r)[:2] for r in find_leaks(df, i).collect()} == {(1, k) for k in range(5)}
+    assert {tuple(r)[:2] for r in find_leaks(df, i, block_windows=6).collect()} == {tuple(r)[:2] for r in find_leaks(df, i).collect()} == {(1, k) for k in range(5)}
 
 
 def test_passages_behind_a_break(spark):
@@ -119,3 +119,11 @@ def test_shortest_passages_with_misreadings_and_torn_words(spark):
         cut[5] = cut[5][:3] + " " + cut[5][3:]
         pages.append(page(d, [lines(noise(20) + cut + noise(20))]))
     assert leaks(spark, pages, [(1, " ".join(words), "x")]) == {(d, 1) for d in range(40)}
+
+
+def test_pairs_of_words_as_one_by_one():
+    letters = "abé中1"
+    word = lambda most: "".join(rnd.choice(letters) for _ in range(rnd.randrange(most)))
+    a = [word(14) for _ in range(3000)]
+    b = [w[:2] + word(3) + w[3:] if rnd.random() < 0.8 else word(14) for w in a]
+    assert near_pairs(a, b).tolist() == [near(x, y) for x, y in zip(a, b)] and near_pairs([], []).tolist() == []
