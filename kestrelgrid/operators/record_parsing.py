@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,33 +70,75 @@ def _unquoted(field: str) -> str:
     return field[1:-1].replace('""', '"') if len(field) > 1 and field[0] == field[-1] == '"' else field
 
 
-def parse_batch(raw: list[str | None], delims: list[str | None], headers: list[str | None]) -> tuple[list, list]:
-    """For each record its fields, unquoted, or None, and the reason against it by structure, or None."""
-    single = [_one_byte(d) for d in delims]
-    texts = []
-    for text, delim, one in zip(raw, delims, single):
-        data = (text or "").encode().removesuffix(b"\r")
-        texts.append(data.replace(delim.encode(), one) if delim and one == _SEPARATOR else data)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths)
-    bad, cuts, index = split_records(np.frombuffer(b"".join(texts), np.uint8), ends - lengths, ends, np.frombuffer(b"".join(single), np.uint8))
-    counts: dict[tuple, int] = {}
-    fields, reasons = [], []
-    for i, text in enumerate(texts):
-        delim, header = delims[i], headers[i]
-        if not delim or header is None:
-            fields.append(None)
-            reasons.append("no_header")
-            continue
-        if (delim, header) not in counts:
-            counts[delim, header] = len(header_names(header, delim))
-        start = int(ends[i] - lengths[i])
-        borders = [-1, *(cuts[index[i] : index[i + 1]] - start).tolist(), len(text)]
-        own = [_unquoted(text[a + 1 : b].replace(_SEPARATOR, delim.encode()).decode()) for a, b in zip(borders, borders[1:])]
-        reason = "quoting" if bad[i] else "column_count" if raw[i] is None or len(own) != counts[delim, header] else None
-        fields.append(None if reason else own)
-        reasons.append(reason)
-    return fields, reasons
+def _codes(column: pa.Array) -> tuple[np.ndarray, list]:
+    """The number of each value among the different ones, and these, a NULL being one of them."""
+    encoded = pc.dictionary_encode(column, null_encoding="encode")
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_pylist()
+
+
+def parse_batch(raw: pa.Array, delims: pa.Array, headers: pa.Array, wanted: tuple[str, ...] = ()) -> tuple[pa.Array, ...]:
+    """(fields, structure, a column for each wanted name) of the records.
+
+    ``fields`` are lists of the unquoted fields, NULL where there are none; ``structure`` the reason against the record by
+    structure, or NULL; a wanted name's column holds the field under that header name (the first, if there are several),
+    NULL where there is none. Fields are cut out of the batch's one buffer by their borders; headers are read once for each different one.
+    """
+    n = len(raw)
+    d, marks = _codes(delims)
+    h, lines = _codes(headers)
+    files, file = np.unique(h * len(marks) + d, return_inverse=True)
+    own = [(lines[k // len(marks)], marks[k % len(marks)]) for k in files.tolist()]
+    names = [header_names(line, mark) if line is not None and mark else None for line, mark in own]
+    known = np.array([x is not None for x in names], bool)[file]
+    width = np.array([len(x) if x is not None else -1 for x in names], np.int64)[file]
+    ones = [_one_byte(mark) for mark in marks]
+    texts = pc.replace_substring_regex(pc.fill_null(raw.cast(pa.large_string()), ""), r"\r\z", "")
+    offsets, buffer = np.frombuffer(texts.buffers()[1], np.int64)[: n + 1], texts.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8)[: offsets[-1]] if buffer else np.zeros(0, np.uint8)
+    bad, cuts, index = split_records(data, offsets[:-1], offsets[1:], np.frombuffer(b"".join(ones), np.uint8)[d])
+    # a record's last field ends with the record, the others at their delimiter, which is taken out
+    last = index[1:] + np.arange(n)
+    ends, gone = np.empty(len(cuts) + n, np.int64), np.empty(len(cuts) + n, np.int64)
+    inner = np.ones(len(ends), bool)
+    inner[last] = False
+    ends[inner], gone[inner] = cuts, np.arange(len(cuts))
+    ends[last], gone[last] = offsets[1:], index[1:]
+    kept = np.ones(len(data), bool)
+    kept[cuts] = False
+    values = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends - gone])), pa.py_buffer(data[kept].tobytes()))
+    quoted = pc.and_(pc.and_(pc.starts_with(values, '"'), pc.ends_with(values, '"')), pc.greater(pc.binary_length(values), 1))
+    if pc.any(quoted).as_py():
+        values = pc.if_else(quoted, pc.replace_substring(pc.utf8_slice_codeunits(values, 1, -1), '""', '"'), values)
+    count = np.diff(index) + 1
+    wide = np.array([one == _SEPARATOR and bool(mark) for one, mark in zip(ones, marks)], bool)[d] & known
+    reason = np.where(~known, 3, np.where(bad, 1, np.where(count != width, 2, 0)))
+    reason[pc.is_null(raw).to_numpy(zero_copy_only=False) & known] = 2
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last + 1]).astype(np.int32)), values.cast(pa.string()), mask=pa.array(reason > 0))
+    if wide.any():
+        lists = _with_wide_delimiters(raw, [own[k][1] for k in file.tolist()], np.flatnonzero(wide), width, lists, reason)
+    structure = pa.array(["quoting", "column_count", "no_header"]).take(pa.array(reason - 1, mask=reason == 0))
+    begin = lists.offsets.to_numpy()[:-1].astype(np.int64)
+    columns = []
+    for name in wanted:
+        place = np.array([x.index(name) if x is not None and name in x else -1 for x in names], np.int64)[file]
+        columns.append(lists.values.take(pa.array(begin + place, mask=(place < 0) | (reason > 0))))
+    return lists, structure, *columns
+
+
+def _with_wide_delimiters(raw: pa.Array, delims: list[str], rows: np.ndarray, width: np.ndarray, lists: pa.Array, reason: np.ndarray) -> pa.Array:
+    """``lists`` with the records whose delimiter has several bytes, read one by one; their reasons are set."""
+    own = []
+    for k in rows.tolist():
+        text, delim = raw[k].as_py(), delims[k]
+        line = (text or "").encode().removesuffix(b"\r").replace(delim.encode(), _SEPARATOR)
+        bad, cuts, _ = split_records(np.frombuffer(line, np.uint8), np.array([0]), np.array([len(line)]), np.frombuffer(_SEPARATOR, np.uint8))
+        borders = [-1, *cuts.tolist(), len(line)]
+        fields = [_unquoted(line[a + 1 : b].replace(_SEPARATOR, delim.encode()).decode()) for a, b in zip(borders, borders[1:])]
+        reason[k] = 2 if text is None else 1 if bad[0] else 2 if len(fields) != width[k] else 0
+        own.append(None if reason[k] else fields)
+    place = np.arange(len(lists))
+    place[rows] = len(lists) + np.arange(len(rows))
+    return pa.concat_arrays([lists, pa.array(own, pa.list_(pa.string()))]).take(pa.array(place))
 
 
 def _one_byte(delim: str | None) -> bytes:
@@ -111,33 +154,21 @@ def header_names(header: str, delim: str) -> list[str]:
     return [_unquoted(line[a + 1 : b].replace(_SEPARATOR, delim.encode()).decode()).strip() for a, b in zip(borders, borders[1:])]
 
 
-def parse_records(records: DataFrame) -> DataFrame:
+def parse_records(records: DataFrame, keep: tuple[str, ...] = ("row_id", "file_no", "line_no", "raw"), wanted: tuple[str, ...] = ("timestamp", "accuracy_h")) -> DataFrame:
     """records: (row_id, file_no, line_no, raw, delim, header_line), the last two NULL where the file is unknown.
 
-    Result: (row_id, file_no, line_no, raw, names array, fields array, structure string): ``structure`` is ``quoting``,
+    Result: (the columns of ``keep``, structure string, f_<name> string for each wanted name): ``structure`` is ``quoting``,
     ``column_count`` or ``no_header`` for records that can't be cut into fields, else NULL.
     """
-    kept = records.select("row_id", "file_no", "line_no", "raw", "delim", "header_line")
+    kept = records.select(*dict.fromkeys([*keep, "raw", "delim", "header_line"]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, delims, headers = (batch.column(k).to_pylist() for k in ("raw", "delim", "header_line"))
-            fields, reasons = parse_batch(raw, delims, headers)
-            cache: dict[tuple, list] = {}
-            names = [cache.setdefault((h, d), header_names(h, d)) if h is not None and d else None for h, d in zip(headers, delims)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("row_id", "file_no", "line_no", "raw")), pa.array(names, pa.list_(pa.string())), pa.array(fields, pa.list_(pa.string())), pa.array(reasons, pa.string())],
-                ["row_id", "file_no", "line_no", "raw", "names", "fields", "structure"],
-            )
+            _, *cut = parse_batch(*(batch.column(k) for k in ("raw", "delim", "header_line")), wanted)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *cut], [*keep, "structure", *(f"f_{k}" for k in wanted)])
 
     kinds = dict(kept.dtypes)
-    return kept.mapInArrow(parse, ", ".join(f"{k} {kinds[k]}" for k in ("row_id", "file_no", "line_no", "raw")) + ", names array<string>, fields array<string>, structure string")
-
-
-def field(name: str) -> Column:
-    """The text of a record's field of that header name (the first, if there are several); NULL where there is none."""
-    place = F.coalesce(F.array_position("names", name), F.lit(0)).cast("int")
-    return F.when(place > 0, F.get("fields", place - 1))
+    return kept.mapInArrow(parse, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "structure string", *(f"f_{k} string" for k in wanted)]))
 
 
 def number(text: Column) -> Column:
@@ -159,7 +190,7 @@ def judge_samples(parsed: DataFrame) -> DataFrame:
 
     A file whose header has no such field isn't judged by it. ``t`` and ``acc_h`` are the values read.
     """
-    stamp, acc = field("timestamp"), field("accuracy_h")
+    stamp, acc = F.col("f_timestamp"), F.col("f_accuracy_h")
     with_values = parsed.withColumn("t", clock_seconds(stamp)).withColumn("acc_h", number(acc))
     blank = F.trim(acc) == ""
     bad_stamp = stamp.isNotNull() & F.col("t").isNull()

@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelgrid.operators.record_parsing import CLOCK, NUMBER, field, judge_samples, number, parse_records
+from kestrelgrid.operators.record_parsing import CLOCK, NUMBER, judge_samples, number, parse_records
 from kestrelgrid.sources.tables import table
 
 
-def judged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged_rows(spark: SparkSession, sf_dir: str, *keep: str, more: tuple[str, ...] = ()) -> DataFrame:
     files = table(spark, sf_dir, "raw_files").select("file_no", "delim", "header_line")
-    return judge_samples(parse_records(table(spark, sf_dir, "raw_rows").join(files, "file_no", "left")))
+    return judge_samples(parse_records(table(spark, sf_dir, "raw_rows").join(files, "file_no", "left"), keep, ("timestamp", "accuracy_h", *more)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bad records and the first reason against each; second deliveries count once."""
-    return judged_rows(spark, sf_dir).where(F.col("reason").isNotNull()).select("row_id", "reason").distinct()
+    return judged_rows(spark, sf_dir, "row_id").where(F.col("reason").isNotNull()).select("row_id", "reason").distinct()
 
 
 def p5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid records as samples; other fields are NULL where they hold no number."""
-    numbers = [number(field(k)).alias(k) for k in ("latitude", "longitude", "altitude", "accuracy_v", "satellites")]
-    return judged_rows(spark, sf_dir).where(F.col("reason").isNull()).select("row_id", "file_no", "line_no", F.round("t", 6).alias("t"), F.col("acc_h").alias("accuracy_h"), *numbers, field("remark").alias("remark")).distinct()
+    plain = ("latitude", "longitude", "altitude", "accuracy_v", "satellites")
+    numbers = [number(F.col(f"f_{k}")).alias(k) for k in plain]
+    return judged_rows(spark, sf_dir, "row_id", "file_no", "line_no", more=(*plain, "remark")).where(F.col("reason").isNull()).select("row_id", "file_no", "line_no", F.round("t", 6).alias("t"), F.col("acc_h").alias("accuracy_h"), *numbers, F.col("f_remark").alias("remark")).distinct()
 
 
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each file the records declared, delivered, loaded and set apart."""
-    rows = judged_rows(spark, sf_dir).groupBy("file_no", "row_id").agg(F.max("reason").alias("reason"))
+    rows = judged_rows(spark, sf_dir, "row_id", "file_no").groupBy("file_no", "row_id").agg(F.max("reason").alias("reason"))
     per_file = rows.groupBy("file_no").agg(F.count("*").alias("delivered"), F.count("reason").alias("rejected"))
     files = table(spark, sf_dir, "raw_files").select("file_no", F.col("declared_rows").cast("bigint").alias("declared"))
     joined = files.join(per_file, "file_no", "left").fillna(0, ["delivered", "rejected"])

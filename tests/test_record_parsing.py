@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from kestrelgrid.operators.record_parsing import header_names, judge_samples, parse_batch, parse_records
@@ -44,7 +45,8 @@ def test_against_state_machine(delim):
     rnd = random.Random(5)
     raws = ["".join(rnd.choice(['"', delim, "a", "é", "\n", " ", '""', delim + '"', '"' + delim]) for _ in range(rnd.randrange(9))) for _ in range(4000)]
     header = delim.join(["x", "y", "z"])
-    fields, reasons = parse_batch(raws, [delim] * len(raws), [header] * len(raws))
+    fields, reasons, y, none = (x.to_pylist() for x in parse_batch(pa.array(raws), pa.array([delim] * len(raws)), pa.array([header] * len(raws)), ("y", "none")))
+    assert y == [f and f[1] for f in fields] and set(none) == {None}
     for raw, got, reason in zip(raws, fields, reasons):
         want, bad = slow(raw, delim)
         assert reason == ("quoting" if bad else "column_count" if len(want) != 3 else None), raw
@@ -78,5 +80,5 @@ def test_reasons(spark):
 def test_long_record(spark):
     text = "1,\"" + "x,\"\"" * 200_000 + "\""
     df = spark.createDataFrame([(1, 1, 1, text, ",", "timestamp,remark")], "row_id bigint, file_no bigint, line_no int, raw string, delim string, header_line string")
-    row = judge_samples(parse_records(df)).first()
-    assert row.reason is None and len(row.fields[1]) == 600_000
+    row = judge_samples(parse_records(df, ("row_id",), ("timestamp", "accuracy_h", "remark"))).first()
+    assert row.reason is None and len(row.f_remark) == 600_000
