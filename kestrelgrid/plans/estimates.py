@@ -38,7 +38,7 @@ def clock_lag_search(spark: SparkSession, d: str) -> DataFrame:
 
 def photometric_sd(spark: SparkSession, d: str) -> DataFrame:
     """Spread of brightness over the frames of each 10 s, and whether it is verified: three frames, contrast, spread at most 12."""
-    f = table(spark, d, "frames").where("mean_luma IS NOT NULL AND exposure_score IS NOT NULL AND t >= 0 AND t < 86400 AND NOT isnan(mean_luma)").select("flight_id", "frame_index", "mean_luma", "exposure_score", F.floor(F.col("t") / 10).cast("bigint").alias("span")).distinct()
+    f = table(spark, d, "frames").where("mean_luma IS NOT NULL AND exposure_score IS NOT NULL AND t >= 0 AND t < 9e12 AND NOT isnan(mean_luma)").select("flight_id", "frame_index", "mean_luma", "exposure_score", F.floor(F.col("t") / 10).cast("bigint").alias("span")).distinct()
     g = f.groupBy("flight_id", "span").agg(F.count("*").alias("n"), F.round((F.stddev_pop("mean_luma") + F.stddev_pop(F.col("exposure_score") * 255)) / 2, 5).alias("err"), F.round(F.max("mean_luma") - F.min("mean_luma"), 5).alias("contrast"))
     return g.withColumn("verified", (F.col("n") >= 3) & (F.col("contrast") >= 1) & (F.col("err") <= 12))
 
@@ -188,7 +188,7 @@ SQL = {
 h AS (SELECT a.flight_id, lag_s, mid, course, yaw FROM a ASOF JOIN y ON y.flight_id = a.flight_id AND y.t_ms <= a.t_ms), p AS (SELECT *, course - lag(course) OVER w AS dc, yaw - lag(yaw) OVER w AS dy, mid - lag(mid) OVER w AS dt FROM h WINDOW w AS (PARTITION BY flight_id, lag_s ORDER BY mid)),
 c AS (SELECT flight_id, lag_s, count(*) AS pairs, {steady_sql('avg(least(abs(((dc - dy + 180) % 360 + 360) % 360 - 180), 20.0) ** 2)', 5)} AS cost FROM p WHERE dt <= 6000 GROUP BY ALL HAVING count(*) >= 10)
 SELECT flight_id, CAST(lag_s AS INTEGER) AS lag_s, cost, pairs FROM c QUALIFY row_number() OVER (PARTITION BY flight_id ORDER BY cost, abs(lag_s), lag_s) = 1""",
-    "photometric_sd": """WITH f AS (SELECT DISTINCT flight_id, frame_index, mean_luma, exposure_score, TRY_CAST(floor(t / 10) AS BIGINT) AS span FROM frames WHERE isfinite(t) AND mean_luma IS NOT NULL AND exposure_score IS NOT NULL AND t >= 0 AND t < 86400 AND NOT isnan(mean_luma)),
+    "photometric_sd": """WITH f AS (SELECT DISTINCT flight_id, frame_index, mean_luma, exposure_score, TRY_CAST(floor(t / 10) AS BIGINT) AS span FROM frames WHERE isfinite(t) AND mean_luma IS NOT NULL AND exposure_score IS NOT NULL AND t >= 0 AND t < 9e12 AND NOT isnan(mean_luma)),
 g AS (SELECT flight_id, span, count(*) AS n, round((stddev_pop(mean_luma) + stddev_pop(exposure_score * 255)) / 2, 5) AS err, round(max(mean_luma) - min(mean_luma), 5) AS contrast FROM f GROUP BY ALL) SELECT *, n >= 3 AND contrast >= 1 AND err <= 12 AS verified FROM g""",
     "median_mad_fusion": f"""WITH {SERIES}, {_SG}, {_mad('g')}, {_mad('b')}, j AS (SELECT coalesce(qg.flight_id, qb.flight_id) AS flight_id, qg.m AS mg, qg.s AS sg, qb.m AS mb, qb.s AS sb FROM qg FULL JOIN qb ON qb.flight_id = qg.flight_id),
 k AS (SELECT *, CASE WHEN mb IS NULL THEN 'gps' WHEN mg IS NULL THEN 'baro' WHEN abs(mg - mb) > 160 THEN CASE WHEN sg <= sb THEN 'gps' ELSE 'baro' END ELSE 'fused' END AS source FROM j)

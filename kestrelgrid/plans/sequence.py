@@ -10,7 +10,7 @@ from kestrelgrid.functions.clock import millis
 from kestrelgrid.functions.geodesy import wrap_degrees
 from kestrelgrid.functions.rounding import steady, steady_sql
 from kestrelgrid.operators.split_windows import carried, haloed, neighbours, numbered, running
-from kestrelgrid.plans.points import BUCKET_MS, DAY_MS, POINTS, SERIES, points, series
+from kestrelgrid.plans.points import BUCKET_MS, CLOCK_MS, POINTS, SERIES, points, series
 from kestrelgrid.sources.tables import table
 
 BY, ORDER = ["flight_id"], ["t_ms"]
@@ -27,7 +27,7 @@ def recording_segments(spark: SparkSession, d: str) -> DataFrame:
 def frame_times(spark: SparkSession, d: str) -> DataFrame:
     """(flight_id, frame_index, t_ms, bucket), repeated rows once."""
     f = table(spark, d, "frames").where("flight_id IS NOT NULL").select("flight_id", "frame_index", millis(F.col("t")).alias("t_ms"))
-    one = f.where(F.abs("t_ms") < DAY_MS).groupBy("flight_id", "frame_index").agg(F.min("t_ms").alias("t_ms"))
+    one = f.where("t_ms IS NOT NULL").groupBy("flight_id", "frame_index").agg(F.min("t_ms").alias("t_ms"))
     return one.withColumn("bucket", F.floor(F.col("t_ms") / BUCKET_MS).cast("bigint"))
 
 
@@ -121,7 +121,7 @@ def course_yaw(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Frames numbered by time, with their scores."""
-    f = table(spark, d, "frames").where("flight_id IS NOT NULL").withColumn("t_ms", millis(F.col("t"))).where(F.abs("t_ms") < DAY_MS)
+    f = table(spark, d, "frames").where("flight_id IS NOT NULL").withColumn("t_ms", millis(F.col("t"))).where("t_ms IS NOT NULL")
     one = f.groupBy("flight_id", "frame_index").agg(F.min(F.struct("t_ms", "blur_score", "parallax")).alias("r")).select("flight_id", "frame_index", "r.*")
     return numbered(one.withColumn("bucket", F.floor(F.col("t_ms") / BUCKET_MS).cast("bigint")), BY, ["t_ms", "frame_index"], "bucket").drop("bucket")
 
@@ -231,7 +231,7 @@ def segment_offset(spark: SparkSession, d: str) -> DataFrame:
 
 _FRAMES = f"""frame AS (
   SELECT flight_id, frame_index, min(CAST(floor(t * 1000 + 0.5) AS BIGINT)) AS t_ms, arg_min(blur_score, (t, blur_score, parallax)) AS blur_score, arg_min(parallax, (t, blur_score, parallax)) AS parallax
-  FROM frames WHERE flight_id IS NOT NULL AND isfinite(t) AND abs(floor(t * 1000 + 0.5)) < {DAY_MS} GROUP BY ALL
+  FROM frames WHERE flight_id IS NOT NULL AND isfinite(t) AND abs(floor(t * 1000 + 0.5)) < {CLOCK_MS} GROUP BY ALL
 ), numbered AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY t_ms, frame_index) - 1 AS i FROM frame)"""
 _RUNS = """run AS (
   SELECT flight_id, run, min(t_ms) AS start_ms, max(t_ms) AS end_ms, count(*) AS n FROM (
