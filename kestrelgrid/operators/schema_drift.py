@@ -1,11 +1,15 @@
 """Files whose fields are added, renamed, removed or retyped, into one table and a report of the changes.
 
 Payloads are read as records of (path, value, written form). ``field_forms`` keeps, of each file, what it says of each
-field; ``schema_changes`` compares each file with the one before it of the same producer and stream; ``typed_records``
-projects all files onto typed columns, and ``failed_casts`` lists what could not be read.
+field, among it a profile of its values: how much of it is numbers, their middle and spread, how steadily they rise, how long
+and how different its texts are, and where it stands in the record. ``schema_changes`` compares each file with the one before
+it of the same producer and stream. Names of one quantity in the table of names are renames of each other; where a name is in
+no table, a field that went and one that came are one field renamed if their profiles are each other's nearest and near.
+``typed_records`` projects all files onto typed columns, with what could not be read.
 
 A producer with a third of all files is not one task's work: files are numbered, and fields carried forward, inside
-(producer, stream, month), and only a month's outcome, one row for each quantity, is carried from month to month.
+(producer, stream, hour), and only an hour's outcome, one row for each quantity, is carried from hour to hour. Payloads are
+read once, into a table in the shared folder.
 
 Defined results
 ---------------
@@ -20,17 +24,23 @@ from __future__ import annotations
 
 import csv
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelgrid.functions.field_names import quantities_of, unit_of
+from kestrelgrid.functions.field_names import QUANTITIES, quantities_of, unit_of
+from kestrelgrid.sources.derived import written
 
-_INTEGER, _DECIMAL = re.compile(r"[+-]?[0-9]+"), re.compile(r"[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+_INTEGER = re.compile(r"[+-]?[0-9]+")
+_PLAIN = re.compile(r"([+-]?[0-9]+)|([+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)|(true|false)")
 FORMS = ("integer", "decimal", "boolean", "string")
+#: Values a profile needs, and the largest distance of two profiles of one field.
+PROFILED, NEAR_PROFILE = 3, 0.5
 
 
 class _Number(str):
@@ -41,7 +51,33 @@ def form_of(text: str) -> str | None:
     text = text.strip()
     if not text:
         return None
-    return "integer" if _INTEGER.fullmatch(text) else "decimal" if _DECIMAL.fullmatch(text) else "boolean" if text in ("true", "false") else "string"
+    found = _PLAIN.fullmatch(text)
+    return FORMS[found.lastindex - 1] if found else "string"
+
+
+def profile_of(texts: list[str], place: float) -> list[float] | None:
+    """What a field's values look like: share of numbers, logarithms of their size and of their spread, share of rises, logarithm of the length of texts, share of different ones, place in the record. NULL for under ``PROFILED`` values."""
+    if len(texts) < PROFILED:
+        return None
+    numbers = []
+    for text in texts:
+        try:
+            numbers.append(float(text))
+        except ValueError:
+            pass
+    values = np.array([x for x in numbers if math.isfinite(x)])
+    low, mid, high = np.percentile(values, (25, 50, 75)) if len(values) else (0.0, 0.0, 0.0)
+    rises = float(np.mean(np.diff(values) > 0)) if len(values) > 1 else 0.0
+    return [len(values) / len(texts), math.log10(abs(mid) + high - low + 1e-9) if len(values) else 0.0, math.log10(high - low + 1e-9) if len(values) else 0.0, rises, math.log10(1 + sum(map(len, texts)) / len(texts)), len(set(texts)) / len(texts), place]
+
+
+def profile_distance(a: Column, b: Column) -> Column:
+    """Weighted sum of the differences of two profiles; sizes and spreads count by the power of ten, three at most, so that fields of two units are further apart than two flights."""
+    weights = (1.0, 0.25, 0.15, 0.5, 0.5, 0.5, 0.2)
+    gaps = [F.least(F.abs(F.get(a, F.lit(k)) - F.get(b, F.lit(k))), F.lit(3.0)) * w for k, w in enumerate(weights)]
+    # how numbers are written says little of what they are
+    words = 1 - F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
+    return sum((gaps[k] * words if k in (4, 5) else gaps[k] for k in range(len(weights))), F.lit(0.0))
 
 
 def _flat(value: object, path: str) -> Iterator[tuple[str, str, str | None]]:
@@ -85,7 +121,7 @@ def read_payload(payload: str | None, layout: str | None) -> Iterator[list[tuple
 
 
 def field_forms(files: DataFrame) -> DataFrame:
-    """(file_id, producer, log_stream, written_at, path, quantity, form, n_values) of each field of each file.
+    """(file_id, producer, log_stream, written_at, path, quantity, profile, form, n_values) of each field of each file.
 
     ``form`` is that of all values, decimal for integers and decimals together, string for any other mixture, and NULL
     where the field has no value.
@@ -94,22 +130,26 @@ def field_forms(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, paths, quantities, counts = [], [], [], {form: [] for form in FORMS}
+            index, paths, quantities, profiles, counts = [], [], [], [], {form: [] for form in FORMS}
             for i, (payload, layout) in enumerate(zip(batch.column("payload").to_pylist(), batch.column("layout").to_pylist())):
                 seen: dict[str, dict] = {}
+                texts: dict[str, list[str]] = {}
                 for record in read_payload(payload, layout):
-                    for path, _, form in record:
+                    for path, text, form in record:
                         own = seen.setdefault(path, dict.fromkeys(FORMS, 0))
                         if form:
                             own[form] += 1
+                            texts.setdefault(path, []).append(text)
+                place = {path: k / len(seen) for k, path in enumerate(seen)}
                 names = sorted(seen)
+                profiles += [profile_of(texts.get(name, []), place[name]) for name in names]
                 index += [i] * len(names)
                 paths += names
                 quantities += quantities_of(names)
                 for form in FORMS:
                     counts[form] += [seen[name][form] for name in names]
             rows = batch.select(["file_id", "producer", "log_stream", "written_at"]).take(pa.array(index, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(paths, pa.string()), pa.array(quantities, pa.string()), *(pa.array(counts[f], pa.int64()) for f in FORMS)], [*rows.schema.names, "path", "quantity", *FORMS])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(paths, pa.string()), pa.array(quantities, pa.string()), pa.array(profiles, pa.list_(pa.float64())), *(pa.array(counts[f], pa.int64()) for f in FORMS)], [*rows.schema.names, "path", "quantity", "profile", *FORMS])
 
     kinds = dict(kept.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in ("file_id", "producer", "log_stream", "written_at"))
@@ -122,50 +162,50 @@ def field_forms(files: DataFrame) -> DataFrame:
         .when(n["integer"] + n["decimal"] == total, "decimal")
         .otherwise("string")
     )
-    rows = kept.mapInArrow(read, f"{schema}, path string, quantity string, " + ", ".join(f"{f} bigint" for f in FORMS))
+    rows = kept.mapInArrow(read, f"{schema}, path string, quantity string, profile array<double>, " + ", ".join(f"{f} bigint" for f in FORMS))
     # second deliveries of a file say the same, so the largest count is the count
-    merged = rows.groupBy("file_id", "path").agg(*[F.first(k).alias(k) for k in ("producer", "log_stream", "written_at", "quantity")], *[F.max(f).alias(f) for f in FORMS])
-    return merged.select("file_id", "producer", "log_stream", "written_at", "path", "quantity", form.alias("form"), total.alias("n_values"))
+    merged = rows.groupBy("file_id", "path").agg(*[F.first(k).alias(k) for k in ("producer", "log_stream", "written_at", "quantity", "profile")], *[F.max(f).alias(f) for f in FORMS])
+    return merged.select("file_id", "producer", "log_stream", "written_at", "path", "quantity", "profile", form.alias("form"), total.alias("n_values"))
 
 
 def file_order(files: DataFrame) -> DataFrame:
-    """(file_id, producer, log_stream, month, place, n_files): place from 1 among the files of producer and stream."""
+    """(file_id, producer, log_stream, hour, place, n_files): place from 1 among the files of producer and stream."""
     whose = ["producer", "log_stream"]
     one = files.groupBy("file_id").agg(*[F.coalesce(F.first(k, ignorenulls=True), F.lit("")).alias(k) for k in whose], F.min("written_at").alias("written_at"))
-    one = one.withColumn("month", F.coalesce(F.date_format("written_at", "yyyy-MM"), F.lit("")))
-    placed = one.withColumn("rank", F.row_number().over(Window.partitionBy(*whose, "month").orderBy(F.col("written_at").asc_nulls_first(), "file_id")))
-    months = placed.groupBy(*whose, "month").agg(F.count("*").alias("n"))
-    by_month = Window.partitionBy(*whose).orderBy("month")
-    months = months.select(*whose, "month", (F.sum("n").over(by_month) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(*whose)).alias("n_files"))
-    return placed.join(months, [*whose, "month"]).select("file_id", *whose, "month", (F.col("before") + F.col("rank")).alias("place"), "n_files")
+    one = one.withColumn("hour", F.coalesce(F.date_format("written_at", "yyyy-MM-dd HH"), F.lit("")))
+    placed = one.withColumn("rank", F.row_number().over(Window.partitionBy(*whose, "hour").orderBy(F.col("written_at").asc_nulls_first(), "file_id")))
+    hours = placed.groupBy(*whose, "hour").agg(F.count("*").alias("n"))
+    by_hour = Window.partitionBy(*whose).orderBy("hour")
+    hours = hours.select(*whose, "hour", (F.sum("n").over(by_hour) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(*whose)).alias("n_files"))
+    return placed.join(hours, [*whose, "hour"]).select("file_id", *whose, "hour", (F.col("before") + F.col("rank")).alias("place"), "n_files")
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
     """(file_id, change_kind, old_field, new_field) of each file against the one before it of its producer and stream."""
     order = file_order(files.select("file_id", "producer", "log_stream", "written_at"))
-    fields = field_forms(files).select("file_id", "path", "quantity", "form").join(order, "file_id")
+    fields = written(field_forms(files).select("file_id", "path", "quantity", "form", "profile")).join(order, "file_id")
     whose = ["producer", "log_stream", "quantity"]
-    in_month = Window.partitionBy(*whose, "month").orderBy("place")
-    earlier = in_month.rowsBetween(Window.unboundedPreceding, -1)
+    in_hour = Window.partitionBy(*whose, "hour").orderBy("place")
+    earlier = in_hour.rowsBetween(Window.unboundedPreceding, -1)
     near = fields.select(
-        "file_id", *whose, "month", "place", "n_files", "path", "form",
-        F.lag(F.struct("place", "path")).over(in_month).alias("prev"),
-        F.lead("place").over(in_month).alias("next_place"),
+        "file_id", *whose, "hour", "place", "n_files", "path", "form", "profile",
+        F.lag(F.struct("place", "path")).over(in_hour).alias("prev"),
+        F.lead("place").over(in_hour).alias("next_place"),
         F.last("form", ignorenulls=True).over(earlier).alias("prev_form"),
     )
-    months = fields.groupBy(*whose, "month").agg(
+    hours = fields.groupBy(*whose, "hour").agg(
         F.max(F.struct("place", "path")).alias("last"), F.min("place").alias("first_place"), F.max(F.when(F.col("form").isNotNull(), F.struct("place", "form"))).getField("form").alias("last_form")
     )
-    over = Window.partitionBy(*whose).orderBy("month")
-    months = months.select(
-        *whose, "month",
-        F.lag("last").over(over).alias("month_prev"),
-        F.lead("first_place").over(over).alias("month_next"),
-        F.last("last_form", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("month_form"),
+    over = Window.partitionBy(*whose).orderBy("hour")
+    hours = hours.select(
+        *whose, "hour",
+        F.lag("last").over(over).alias("hour_prev"),
+        F.lead("first_place").over(over).alias("hour_next"),
+        F.last("last_form", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("hour_form"),
     )
-    rows = near.join(months, [*whose, "month"]).select(
-        "file_id", "producer", "log_stream", "place", "n_files", "path", "form",
-        F.coalesce("prev", "month_prev").alias("prev"), F.coalesce("next_place", "month_next").alias("next_place"), F.coalesce("prev_form", "month_form").alias("prev_form"),
+    rows = near.join(hours, [*whose, "hour"]).select(
+        "file_id", "producer", "log_stream", "quantity", "place", "n_files", "path", "form", "profile",
+        F.coalesce("prev", "hour_prev").alias("prev"), F.coalesce("next_place", "hour_next").alias("next_place"), F.coalesce("prev_form", "hour_form").alias("prev_form"),
     )
     old = F.col("prev.path")
     stayed = F.coalesce(F.col("prev.place") == F.col("place") - 1, F.lit(False))
@@ -174,10 +214,32 @@ def schema_changes(files: DataFrame) -> DataFrame:
         F.when(stayed & (old != F.col("path")), _change("renamed", old, F.col("path"))),
         F.when(stayed & (F.col("form") != F.col("prev_form")), _change("retyped", old, F.col("path"))),
     ]
-    here = rows.select("file_id", F.explode(F.filter(F.array(*kinds), lambda c: c.isNotNull())).alias("c")).select("file_id", "c.*")
+    named = F.col("quantity").isin(*QUANTITIES)
+    rows = rows.withColumn("own", F.struct("path", named.alias("named"), "profile", F.coalesce("form", "prev_form").alias("form")))
+    here = rows.select("file_id", F.explode(F.filter(F.array(*kinds), lambda c: c.isNotNull())).alias("c"), "own").select("file_id", "c.*", "own")
     gone = rows.where((F.col("place") < F.col("n_files")) & (F.coalesce("next_place", F.lit(-1)) != F.col("place") + 1))
-    gone = gone.select("producer", "log_stream", (F.col("place") + 1).alias("place"), F.lit("removed").alias("change_kind"), F.col("path").alias("old_field"), F.lit("").alias("new_field"))
-    return here.unionByName(gone.join(order.select("producer", "log_stream", "place", "file_id"), ["producer", "log_stream", "place"]).select("file_id", "change_kind", "old_field", "new_field"))
+    gone = gone.select("producer", "log_stream", (F.col("place") + 1).alias("place"), F.lit("removed").alias("change_kind"), F.col("path").alias("old_field"), F.lit("").alias("new_field"), "own")
+    gone = gone.join(order.select("producer", "log_stream", "place", "file_id"), ["producer", "log_stream", "place"])
+    changes = written(here.unionByName(gone.select("file_id", "change_kind", "old_field", "new_field", "own")))
+    again = _renamed_by_profile(changes)
+    plain = ["file_id", "change_kind", "old_field", "new_field"]
+    taken = again.select("file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), "new_field").unionByName(again.select("file_id", F.lit("removed").alias("change_kind"), "old_field", F.lit("").alias("new_field")))
+    kinds = F.array(F.lit("renamed"), F.when(F.col("old_form") != F.col("new_form"), "retyped"))
+    more = again.withColumn("change_kind", F.explode(F.array_compact(kinds)))
+    return changes.select(*plain).join(taken, plain, "left_anti").unionByName(more.select(*plain))
+
+
+def _renamed_by_profile(changes: DataFrame) -> DataFrame:
+    """(file_id, old_field, new_field, old_form, new_form) of the fields that went and came in one file and are each other's nearest by profile, one of them at least in no table of names.
+
+    A file's fields, not its rows, meet.
+    """
+    sides = {kind: changes.where((F.col("change_kind") == kind) & F.col("own.profile").isNotNull()).select("file_id", F.col("own").alias(kind)) for kind in ("removed", "added")}
+    pairs = sides["removed"].join(sides["added"], "file_id").where(~(F.col("removed.named") & F.col("added.named")))
+    pairs = pairs.withColumn("far", profile_distance(F.col("removed.profile"), F.col("added.profile"))).where(F.col("far") <= NEAR_PROFILE)
+    first = lambda own, other: F.row_number().over(Window.partitionBy("file_id", f"{own}.path").orderBy("far", f"{other}.path"))
+    best = pairs.withColumns({"a": first("removed", "added"), "b": first("added", "removed")}).where("a = 1 AND b = 1")
+    return best.select("file_id", F.col("removed.path").alias("old_field"), F.col("added.path").alias("new_field"), F.col("removed.form").alias("old_form"), F.col("added.form").alias("new_form"))
 
 
 def _change(kind: str, old: Column, new: Column) -> Column:

@@ -24,7 +24,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each file says of each field: its quantity, written form and number of values."""
-    return field_forms(table(spark, sf_dir, "drift_files"))
+    return field_forms(table(spark, sf_dir, "drift_files")).drop("profile")
 
 
 def p3_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

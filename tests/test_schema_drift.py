@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 
@@ -62,3 +63,23 @@ def test_long_cells_and_odd_payloads(spark):
     got = {(r.file_id, r.path): r.form for r in field_forms(files(spark, rows)).collect()}
     assert got[1, "a"] == "string" and got[1, "b"] == "integer" and got[2, "a"] == "string" and got[2, "b"] == "string" and (4, "a") in got and not [k for k in got if k[0] == 3]
     assert schema_changes(files(spark, rows)).count() > 0
+
+
+def test_renames_of_names_in_no_table(spark):
+    rnd = random.Random(8)
+
+    def payload(names, start, tilt="decimal"):
+        rows = [(f"{start + k * 0.2:.2f}", f"{rnd.uniform(40, 60):.1f}", rnd.choice(["calm", "gusty", "windy"]), f"{rnd.uniform(-5, 5):.3f}" if tilt == "decimal" else str(rnd.randrange(-5, 5))) for k in range(40)]
+        return ",".join(names) + "\n" + "\n".join(map(",".join, rows)) + "\n"
+
+    rows = [
+        (1, "p", "csv", 0, payload(["t", "battery_pct", "air", "tilt_a"], 0)),
+        (2, "p", "csv", 1, payload(["t", "charge_left", "weather_word", "tilt_b"], 500)),
+        (3, "p", "csv", 2, payload(["t", "charge_left", "weather_word", "tilt_c"], 900, "integer")),
+        (4, "p", "csv", 3, payload(["t", "charge_left", "weather_word", "lat"], 900)),  # a name of another quantity: the profile tells
+        (5, "p", "csv", 4, payload(["t", "charge_left", "weather_word", "lon"], 900)),  # two names of two quantities: never one field
+    ]
+    assert {tuple(r) for r in schema_changes(files(spark, rows)).collect()} == {
+        (2, "renamed", "battery_pct", "charge_left"), (2, "renamed", "air", "weather_word"), (2, "renamed", "tilt_a", "tilt_b"),
+        (3, "renamed", "tilt_b", "tilt_c"), (3, "retyped", "tilt_b", "tilt_c"), (4, "renamed", "tilt_c", "lat"), (4, "retyped", "tilt_c", "lat"), (5, "removed", "lat", ""), (5, "added", "", "lon"),
+    }
