@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from kestrelgrid.operators.components import checkpointed
+
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the session's checkpoint folder; one is set only where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df, written to the session's checkpoint folder."""
+    return checkpointed(df)

@@ -1,23 +1,27 @@
 """Sources mixed to target weights by soft membership.
 
 Every document has a posterior over the sources: certain where its source is named, predicted by a classifier fitted on
-a bounded sample of labelled documents where it isn't. A document is taken at a rate r >= 0, at most as often as its
-source allows. The rates minimise the squared, relative miss of the expected token totals T_s = sum r * p_s * tokens
-against the shares of the total B. Projected gradient steps are distributed: a step needs the totals only, one number
-for each mix and source; each task replays the steps so far on its own documents. A step in source s is scaled by that
-source's tokens, so that with certain memberships one step meets the target exactly.
-
-B is the largest total at which every source that has documents can give its share within its repeats, unless the caller
-names one; sources that fall short are then taken as often as allowed, and the shares reached are reported.
+a bounded sample of labelled documents where it isn't. A document is taken at a rate r >= 0, at most as often as the
+likeliest of its sources allows. The rates minimise the squared, relative miss of the expected token totals
+T_s = sum r * p_s * tokens against the shares of the total B. Projected gradient steps are distributed: the gradient of a
+document's rate is sum p_s * y_s with one number y_s for each mix and source, its projection onto 0 and the repeats is the
+rate, and a step needs the totals reached only. The gradient is scaled by the inverse of the Gram matrix
+sum p_s * p_t * tokens of the documents whose rate isn't cut off, so that one step meets all targets where none is, and a few
+do where some are; a step that misses by more is halved. Steps end when the largest miss is below ``CLOSE``; what is missed
+then is in the report.
+
+B is the largest total at which every source that has documents can give its share from its own documents within its
+repeats, unless the caller names one; sources that fall short are then taken as often as allowed, and the shares reached
+are reported.
 
 Rates become whole copies: the whole part for every document, and one more for those lowest by hash / fraction until the
-source's expected tokens are reached, found by a histogram and an exact cut inside one of its bins. No group of a source
-ever meets in one task.
+source's expected tokens are reached, found by a histogram, a second one inside the bin of the cut, and an exact cut inside
+one of its bins, a four-millionth of a source.
 
 Defined results
 ---------------
-* NULL and empty texts: no tokens, never taken. NULL or unknown sources: by posterior. Sources are compared in lower
-  case, without spaces around, blanks and underscores as hyphens.
+* NULL and empty texts: no tokens, never taken. NULL sources: by posterior. Named sources without a target: never taken.
+  Sources are compared in lower case, without spaces around, blanks and underscores as hyphens.
 * Targets with NULL or non-positive shares or repeats: share 0. A source without documents: reported with 0 reached.
 * Repeated rows of a document count once. Empty tables: no rows (a report of zeros where there are targets).
 """
@@ -30,14 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelgrid.llm.checkpoints import shared_checkpoint
 from kestrelgrid.llm.tokenizing import TOKENIZERS, count_tokens
 
-#: Steps at most, the relative miss that ends them, bins of the histogram, and how many sources a document may belong to.
-STEPS, CLOSE, BINS, MEMBERSHIPS = 40, 1e-6, 4096, 4
+#: Steps at most, the relative miss that ends them, bins of a histogram, and the least share of a membership.
+STEPS, CLOSE, BINS, LEAST_PART = 100, 1e-6, 4096, 1e-9
+#: Part of the whole Gram matrix that is kept in a step, so that a source whose rates are all cut off can still come back.
+_KEPT = 1e-6
 
 
 def source_name(source: Column) -> Column:
@@ -66,15 +72,15 @@ class SourceClassifier:
         return Counter(hash_of(w) % self.DIMENSIONS for w in found)
 
     def posterior(self, text: str) -> list[tuple[str, float]]:
-        """The likeliest sources; the evidence is damped by the root of its length, as words aren't independent."""
+        """All sources of a share above ``LEAST_PART``; the evidence is damped by the root of its length, as words aren't independent."""
         if not self.names:
             return []
         columns = self._columns(text)
         keys, n = np.fromiter(columns, np.int64, len(columns)), np.fromiter(columns.values(), np.float64, len(columns))
         score = (self.prior + self.logs[:, keys] @ n) / math.sqrt(max(1.0, n.sum()))
-        top = np.argsort(-score, kind="stable")[:MEMBERSHIPS]
-        weight = np.exp(score[top] - score[top[0]])
-        return [(self.names[k], float(w)) for k, w in zip(top, weight / weight.sum())]
+        weight = np.exp(score - score.max())
+        share = weight / weight.sum()
+        return [(self.names[k], float(share[k])) for k in np.argsort(-share, kind="stable") if share[k] >= LEAST_PART]
 
 
 def hash_of(word: str) -> int:
@@ -112,82 +118,128 @@ def sized_members(documents: DataFrame, classifier: SourceClassifier | None, *,
 
 
 class _Mix:
-    """Targets of one mix, the totals to meet and the steps taken so far."""
+    """Targets of one mix, the totals to meet and the steps taken so far.
+
+    ``gram`` is the matrix of sum p_s * p_t * tokens over the documents that may be taken; ``own`` the tokens of each source
+    in documents of which it is the likeliest.
+    """
 
-    def __init__(self, name: str, targets: dict[str, tuple[float, int]], available: dict[str, float], total: float | None) -> None:
+    def __init__(self, name: str, targets: dict[str, tuple[float, int]]) -> None:
         self.name, self.targets = name, {s: (w, c) for s, (w, c) in targets.items() if w and w > 0 and c and c > 0}
-        self.available = {s: available.get(s, 0.0) for s in self.targets}
-        room = [c * self.available[s] / w for s, (w, c) in self.targets.items() if self.available[s] > 0]
-        self.total = total if total is not None else min(room, default=0.0)
-        self.goal = {s: min(w * self.total, c * self.available[s]) for s, (w, c) in self.targets.items()}
-        self.steps: list[dict[str, float]] = []
-
-    def step(self, reached: dict[str, float]) -> float:
-        """Appends the step from the totals reached; returns the largest relative miss."""
-        miss = {s: (self.goal[s] - reached.get(s, 0.0)) / a for s, a in self.available.items() if a > 0}
-        self.steps.append(miss)
-        return max((abs(m) * self.available[s] / max(self.goal[s], 1.0) for s, m in miss.items()), default=0.0)
-
-    def rate(self, member: dict[str, float]) -> tuple[float, int]:
-        """The rate after all steps, and its limit, for a document of this membership."""
-        own = max(member, key=lambda s: (member[s], s))
-        limit = self.targets.get(own, (0, 0))[1]
-        rate = 0.0
-        if limit:
-            for miss in self.steps:
-                rate = min(limit, max(0.0, rate + sum(p * miss.get(s, 0.0) for s, p in member.items())))
-        return rate, limit
-
-
-def _rates(mixes: list[_Mix], members: list[list[tuple[str, float]]]) -> list[list[tuple[float, int]]]:
-    """Rates by mix and document; documents of one certain source share theirs."""
+        self.sources = sorted(self.targets)
+        self.number = {s: k for k, s in enumerate(self.sources)}
+        self.goal = np.zeros(len(self.sources))
+        self.gram = np.zeros((len(self.sources),) * 2)
+        self.y = self.best = self.move = np.zeros(len(self.sources))
+        self.far, self.miss, self.steps = math.inf, math.inf, 0
+
+    def aim(self, own: np.ndarray, gram: np.ndarray, total: float | None) -> None:
+        share, cap = (np.array([self.targets[s][k] for s in self.sources]) for k in (0, 1))
+        room = (cap * own / share)[own > 0] if len(own) else own
+        self.total = total if total is not None else float(room.min()) if len(room) else 0.0
+        self.goal, self.gram = np.minimum(share * self.total, cap * own), gram
+
+    def step(self, reached: np.ndarray, free: np.ndarray) -> bool:
+        """Judges the totals reached with ``y`` and moves it where the miss isn't small; whether it did. ``free`` is the Gram matrix of the documents whose rate isn't cut off."""
+        short = self.goal - reached
+        far = float(np.linalg.norm(short / np.maximum(self.goal, 1.0)))
+        if far < self.far:
+            self.best, self.far = self.y, far
+            self.miss = float((np.abs(short) / np.maximum(self.goal, 1.0)).max()) if len(short) else 0.0
+            self.move = np.linalg.lstsq(free + _KEPT * self.gram, short, rcond=1e-12)[0]
+        else:
+            self.move = self.move / 2
+        if self.miss <= CLOSE:
+            self.y = self.best
+            return False
+        self.y, self.steps = self.best + self.move, self.steps + 1
+        return True
+
+    def member(self, member: list[tuple[str, float]]) -> tuple[np.ndarray, int]:
+        """Shares of the mix's sources in a document, and how often it may be taken."""
+        own = max(member, key=lambda x: (x[1], x[0]))[0] if member else None
+        share = np.zeros(len(self.sources))
+        for s, p in member:
+            if s in self.number:
+                share[self.number[s]] = p
+        return share, self.targets.get(own, (0, 0))[1]
+
+    def rate(self, share: np.ndarray, limit: int) -> float:
+        return min(limit, max(0.0, float(share @ self.y))) if limit else 0.0
+
+
+def _placed(mix: _Mix, members: list[list[tuple[str, float]]]) -> list[tuple[np.ndarray, int, float]]:
+    """(shares, limit, rate) by document; documents of one certain source have theirs in common."""
+    certain: dict[str, tuple[np.ndarray, int, float]] = {}
     out = []
-    for mix in mixes:
-        certain: dict[str, tuple[float, int]] = {}
-        own = []
-        for member in members:
-            if len(member) == 1:
-                source = member[0][0]
-                if source not in certain:
-                    certain[source] = mix.rate({source: 1.0})
-                own.append(certain[source])
-            else:
-                own.append(mix.rate(dict(member)) if member else (0.0, 0))
-        out.append(own)
+    for member in members:
+        if len(member) == 1 and member[0][1] == 1.0:
+            source = member[0][0]
+            if source not in certain:
+                share, limit = mix.member(member)
+                certain[source] = (share, limit, mix.rate(share, limit))
+            out.append(certain[source])
+        else:
+            share, limit = mix.member(member)
+            out.append((share, limit, mix.rate(share, limit)))
     return out
 
 
-def solve_rates(sized: DataFrame, mixes: list[_Mix]) -> None:
-    """Takes steps until every mix is met or ``STEPS`` are taken."""
+def _summed(sized: DataFrame, mixes: list[_Mix], terms) -> list[np.ndarray]:
+    """For each mix the sum over all documents of ``terms(mix, shares, limits, rates, tokens)``, an array; added up by place in a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list = [None] * len(mixes)
+        for batch in batches:
+            members, tokens = batch.column("member").to_pylist(), batch.column("tokens").to_numpy().astype(np.float64)
+            for k, mix in enumerate(mixes):
+                placed = _placed(mix, members)
+                if placed and mix.sources:
+                    found = terms(mix, np.stack([p[0] for p in placed]), np.array([p[1] for p in placed]), np.array([p[2] for p in placed]), tokens)
+                    sums[k] = found if sums[k] is None else sums[k] + found
+        for k, total in enumerate(sums):
+            if total is not None:
+                flat = total.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k), pa.int32()), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["mix", "place", "n"])
+
+    out = sized.select("tokens", "member").mapInArrow(run, "mix int, place int, n double").groupBy("mix", "place").agg(F.sum("n").alias("n"))
+    sums: list = [{} for _ in mixes]
+    for row in out.collect():  # numbers for each mix and source, or pair of sources
+        sums[row.mix][row.place] = row.n
+    return [np.array([s[k] for k in sorted(s)]) for s in sums]
+
+
+def solve_rates(sized: DataFrame, mixes: list[_Mix], total: float | None = None) -> None:
+    """Sets the goals, then takes steps until every mix is met or ``STEPS`` are taken."""
+
+    def matter(mix: _Mix, share, limit, rate, tokens) -> np.ndarray:
+        own = share.argmax(axis=1)
+        mine = np.bincount(own[limit > 0], (share[np.arange(len(own)), own] * tokens)[limit > 0], minlength=len(mix.sources))
+        taken = share[limit > 0]
+        return np.vstack([mine, taken.T @ (taken * tokens[limit > 0, None])])
+
+    def reach(mix: _Mix, share, limit, rate, tokens) -> np.ndarray:
+        free = (rate > 0) & (rate < limit)
+        return np.vstack([(rate * tokens) @ share, share[free].T @ (share[free] * tokens[free, None])])
+
+    for mix, found in zip(mixes, _summed(sized, mixes, matter)):
+        held = found.reshape(-1, len(mix.sources)) if len(found) else np.zeros((len(mix.sources) + 1, len(mix.sources)))
+        mix.aim(held[0] if len(held) else np.zeros(0), held[1:], total)
+    stand = [np.vstack([np.zeros(len(mix.sources)), mix.gram]) for mix in mixes]
     for _ in range(STEPS):
-        frozen = list(mixes)
-
-        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: Counter = Counter()
-            for batch in batches:
-                members, tokens = batch.column("member").to_pylist(), batch.column("tokens").to_pylist()
-                for mix, rates in zip(frozen, _rates(frozen, members)):
-                    for member, n, (rate, _) in zip(members, tokens, rates):
-                        if rate:
-                            for source, p in member:
-                                sums[mix.name, source] += rate * p * n
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array(list(sums.values()), pa.float64())], ["mix_name", "source", "tokens"])
-
-        reached: dict[str, dict[str, float]] = {}
-        if mixes and mixes[0].steps:
-            found = sized.select("tokens", "member").mapInArrow(totals, "mix_name string, source string, tokens double").groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"))
-            for row in found.collect():  # a row for each mix and source
-                reached.setdefault(row.mix_name, {})[row.source] = row.tokens
-        if max((mix.step(reached.get(mix.name, {})) for mix in mixes), default=0.0) <= CLOSE:
+        if not any([mix.step(now[0], now[1:]) for mix, now in zip(mixes, stand)]):
             break
+        stand = [found.reshape(-1, len(mix.sources)) if len(found) else now for mix, now, found in zip(mixes, stand, _summed(sized, mixes, reach))]
+    for mix in mixes:
+        mix.y = mix.best
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, classifier: SourceClassifier | None, *, total_tokens: float | None = None, folder: str = TOKENIZERS, tokenizer: str = "byte_bpe_multi_50k") -> tuple[DataFrame, DataFrame]:
     """documents: (doc_id, source, text); targets: (mix_name, source, target_share, max_repeats).
 
     Results: (mix_name, doc_id, source, tokens, copies) of the documents taken, and a report (mix_name, source,
-    target_share, reached_share, tokens, documents, copies, max_repeats) with a row for each target.
+    target_share, reached_share, tokens, documents, copies, max_repeats, miss) with a row for each target; ``miss`` is the
+    largest relative miss of the expected totals of the mix when the steps ended.
     """
     spark = documents.sparkSession
     sized = shared_checkpoint(sized_members(documents, classifier, folder=folder, tokenizer=tokenizer))
@@ -196,17 +248,15 @@ def mix_sources(documents: DataFrame, targets: DataFrame, classifier: SourceClas
     by_mix: dict[str, dict[str, tuple[float, int]]] = {}
     for row in named.collect():  # the targets are the operator's parameters
         by_mix.setdefault(row.mix_name, {})[row.source] = (row.target_share, row.max_repeats)
-    mass = sized.select("tokens", F.explode("member").alias("source", "p")).groupBy("source").agg(F.sum(F.col("p") * F.col("tokens")).alias("n"))
-    asked = {s for wants in by_mix.values() for s in wants}
-    available = {row.source: row.n for row in mass.join(F.broadcast(spark.createDataFrame([(s,) for s in sorted(asked)], "source string")), "source").collect()}
-    mixes = [_Mix(name, wants, available, total_tokens) for name, wants in sorted(by_mix.items())]
-    solve_rates(sized, mixes)
+    mixes = [_Mix(name, wants) for name, wants in sorted(by_mix.items())]
+    solve_rates(sized, mixes, total_tokens)
+    missed = spark.createDataFrame([(mix.name, mix.miss) for mix in mixes], "mix_name string, miss double")
     taken = _whole_copies(_with_rates(sized, mixes))
     reached = taken.groupBy("mix_name", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("copies"))
     whole = reached.groupBy("mix_name").agg(F.sum("tokens").alias("all_tokens"))
     report = (
-        named.join(reached, ["mix_name", "source"], "left").join(whole, "mix_name", "left").fillna(0, ["tokens", "documents", "copies"])
-        .select("mix_name", "source", "target_share", F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("reached_share"), "tokens", "documents", "copies", "max_repeats")
+        named.join(reached, ["mix_name", "source"], "left").join(whole, "mix_name", "left").join(missed, "mix_name", "left").fillna(0, ["tokens", "documents", "copies"])
+        .select("mix_name", "source", "target_share", F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("reached_share"), "tokens", "documents", "copies", "max_repeats", F.round("miss", 9).alias("miss"))
     )
     return taken, report
 
@@ -219,7 +269,8 @@ def _with_rates(sized: DataFrame, mixes: list[_Mix]) -> DataFrame:
         for batch in batches:
             members = batch.column("member").to_pylist()
             owners = [max(m, key=lambda x: (x[1], x[0]))[0] if m else None for m in members]
-            for mix, rates in zip(mixes, _rates(mixes, members)):
+            for mix in mixes:
+                rates = [(rate, limit) for _, limit, rate in _placed(mix, members)]
                 index = [k for k, (r, _) in enumerate(rates) if r > 0]
                 kept = batch.take(pa.array(index, pa.int64()))
                 whole = [math.floor(rates[k][0] + 1e-9) for k in index]
@@ -234,19 +285,30 @@ def _with_rates(sized: DataFrame, mixes: list[_Mix]) -> DataFrame:
 
 def _whole_copies(rated: DataFrame) -> DataFrame:
     """One copy more for the documents lowest by u / part, until the tokens of the parts are made up."""
-    key = F.when(F.col("part") > 0, F.col("u") / F.col("part"))
-    bins = rated.withColumn("v", key).withColumn("bin", F.least(F.floor(F.col("v") * (BINS // 4)), F.lit(BINS)).cast("int"))
     of = ["mix_name", "source"]
-    from pyspark.sql import Window
-
-    histogram = bins.groupBy(*of, "bin").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("tokens")).otherwise(0)).alias("n"), F.sum(F.col("part") * F.col("tokens")).alias("due"))
-    w = Window.partitionBy(*of).orderBy(F.col("bin").asc_nulls_first())
-    edges = histogram.select(*of, "bin", (F.sum("n").over(w) - F.col("n")).alias("before"), "n", F.sum("due").over(Window.partitionBy(*of)).alias("due")).where("bin IS NOT NULL")
-    placed = bins.join(edges, [*of, "bin"], "left")
-    # whole bins below the cut, none above; inside the bin of the cut the documents are put in order
-    inside = placed.where((F.col("before") < F.col("due")) & (F.col("before") + F.col("n") > F.col("due")))
-    order = Window.partitionBy(*of, "bin").orderBy("v", "doc_id")
-    cut = inside.select("mix_name", "doc_id", (F.col("before") + F.sum("tokens").over(order) - F.col("tokens") / 2 <= F.col("due")).alias("more"))
-    extra = F.when(F.col("before") + F.col("n") <= F.col("due"), True).otherwise(F.coalesce("more", F.lit(False)))
+    due = rated.groupBy(*of).agg(F.sum(F.col("part") * F.col("tokens")).alias("due"))
+    v = F.when(F.col("part") > 0, F.col("u") / F.col("part"))
+    first = F.least(F.floor(F.col("v") * (BINS // 4)), F.lit(BINS)).cast("int")
+    second = F.least(F.floor((F.col("v") * (BINS // 4) - F.col("bin")) * BINS), F.lit(BINS)).cast("int")
+    placed = rated.withColumn("v", v).withColumn("bin", first).withColumn("sub", second)
+    # whole bins below the cut, none above; inside the bin of the cut the same by its own bins, and inside the one of these documents are put in order
+    cut, before = _bin_of_cut(placed.where("bin IS NOT NULL"), of, "bin", due.withColumn("before", F.lit(0.0)))
+    within = placed.join(cut, [*of, "bin"], "left_semi")
+    sub_cut, sub_before = _bin_of_cut(within, of, "sub", due.join(before, of))
+    inside = within.join(sub_cut, [*of, "sub"], "left_semi").join(due, of).join(sub_before, of)
+    order = Window.partitionBy(*of, "sub").orderBy("v", "doc_id")
+    exact = inside.select("mix_name", "doc_id", (F.col("before") + F.sum("tokens").over(order) - F.col("tokens") / 2 <= F.col("due")).alias("more"))
+    edges = cut.withColumnRenamed("bin", "cut").join(sub_cut.withColumnRenamed("sub", "sub_cut"), of, "left")
+    rows = placed.join(edges, of, "left").join(exact, ["mix_name", "doc_id"], "left")
+    below = F.coalesce(F.col("bin") < F.col("cut"), F.lit(True)) | ((F.col("bin") == F.col("cut")) & F.coalesce(F.col("sub") < F.col("sub_cut"), F.lit(True)))
+    extra = F.coalesce("more", below)
     copies = F.col("whole") + F.when(F.col("bin").isNotNull() & extra & (F.col("whole") < F.col("cap")), 1).otherwise(0)
-    return placed.join(cut, ["mix_name", "doc_id"], "left").select("mix_name", "doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
+    return rows.select("mix_name", "doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
+
+
+def _bin_of_cut(rows: DataFrame, of: list[str], name: str, due: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(of, name) of the bin in which the tokens due are reached, none where all bins together don't, and (of, before): the tokens of the bins below it."""
+    n = rows.groupBy(*of, name).agg(F.sum("tokens").alias("n")).join(due, of)
+    upto = n.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*of).orderBy(name)))
+    cut = upto.where(F.col("upto") > F.col("due")).groupBy(*of).agg(F.min(F.struct(name, (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
+    return cut.select(*of, f"c.{name}"), cut.select(*of, "c.before")
