@@ -86,7 +86,7 @@ class LineKinds:
     @staticmethod
     def features(line: str, fill: float) -> list[str]:
         words = _TOKENS.findall(line.casefold())
-        out = [_DIGITS.sub("0", w) for w in words]
+        out = [_DIGITS.sub("0", w) for w in words] if _DIGITS.search(line) else words.copy()
         if words:
             out += ["^" + out[0], out[-1] + "$"]
         last = line.rstrip()[-1:]
@@ -110,8 +110,7 @@ class LineKinds:
 
     def kind(self, line: str, fill: float) -> int:
         a, b, c = self.prior
-        for f in self.features(line, fill):
-            x, y, z = self.table.get(f, (0.0, 0.0, 0.0))
+        for x, y, z in filter(None, map(self.table.get, self.features(line, fill))):
             a, b, c = a + x, b + y, c + z
         a += self.MARGIN
         return BODY if a >= b and a >= c else HEADLINE if b >= c else ADVERT

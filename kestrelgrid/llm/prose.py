@@ -6,6 +6,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 
+from kestrelgrid.llm.folding import CJK
 from kestrelgrid.llm.page_layout import BODY, HEADLINE, LineKinds, page_lines
 
 _HYPHENS = "-=¬‐‑\xad"
@@ -28,8 +29,8 @@ UNSPACED, CASELESS = {"zh", "ja"}, {"zh", "ja", "th", "hi", "ar"}
 
 
 def language_of(text: str, page: str | None = None) -> str:
-    """By script, languages of Latin script by their frequent words; by the whole page where a text has too few."""
-    sample = text[:600] if page is not None else text[:3000]
+    """By the scripts of the whole text, languages of Latin script by their frequent words; by the whole page where a text has too few."""
+    sample = text
     best, most = "", max(12, len(sample) // 8)
     for lang, pattern in _SCRIPTS if _OTHER.search(sample) else ():
         n = len(pattern.findall(sample))
@@ -39,8 +40,10 @@ def language_of(text: str, page: str | None = None) -> str:
             best, most = lang, n
     if best:
         return best
-    counts = Counter(map(_WHOSE.get, _LATIN.findall(sample.lower())))
-    counts.pop(None, None)
+    words = Counter(_LATIN.findall(sample.lower()))
+    counts: Counter = Counter()
+    for word in words.keys() & _WHOSE.keys():
+        counts[_WHOSE[word]] += words[word]
     best = counts.most_common(2)
     if page is not None and (not best or best[0][1] <= max(2, 2 * best[1][1] if len(best) > 1 else 0)):
         return language_of(page)
@@ -53,7 +56,7 @@ class Article:
     __slots__ = ("text", "lang", "_at", "_page")
 
     def __init__(self, page: str, spans: list[tuple[int, int]]) -> None:
-        self.lang = language_of("\n".join([page[s:e] for s, e in spans[:12]]), page)
+        self.lang = language_of("\n".join([page[s:e] for s, e in spans]), page)
         gap = "" if self.lang in UNSPACED else "\n"
         parts, self._at, self._page, at = [], [], [], 0
         for s, e in spans:
@@ -79,11 +82,25 @@ class Article:
         return self._page[k] + i - self._at[k]
 
 
+def _written_unspaced(line: str) -> bool | None:
+    """Whether most letters of a line are Chinese or Japanese; None where it has fewer than four letters."""
+    letters = sum(map(str.isalpha, line))
+    return None if letters < 4 else 2 * len(CJK.findall(line)) > letters
+
+
 def articles(text: str, n_cols, x0, y0, x1, kinds: LineKinds | None) -> list[Article]:
-    """Articles of a page in reading order; headlines part them, adverts and page heads are left out."""
-    out, spans = [], []
+    """Articles of a page in reading order; headlines part them, adverts and page heads are left out.
+
+    Where boxes tell no headlines, an article also ends where lines written with spaces follow lines written without, or the reverse.
+    """
+    out, spans, unspaced = [], [], None
     for kind, s, e in page_lines(text, n_cols, x0, y0, x1, kinds):
         if kind == BODY:
+            if not x0 and (own := _written_unspaced(text[s:e])) is not None:
+                if unspaced is not None and own != unspaced and spans:
+                    out.append(Article(text, spans))
+                    spans = []
+                unspaced = own
             spans.append((s, e))
         elif kind == HEADLINE and spans:
             out.append(Article(text, spans))

@@ -87,11 +87,14 @@ def fit_model(documents: DataFrame, kinds: LineKinds | None) -> Model:
     """
     counts = shared_checkpoint(corpus_counts(documents, kinds))
     totals = shared_checkpoint(word_totals(counts))
-    all_of = {r.lang: r.asDict() for r in totals.groupBy("lang").agg(*[F.sum(k).alias(k) for k in TOTALS]).collect()}
+    all_of = {r.lang: r.asDict() | {"started": 0} for r in totals.groupBy("lang").agg(*[F.sum(k).alias(k) for k in TOTALS]).collect()}
     starters = shared_checkpoint(_judged(totals.where("start >= 3"), lambda lang, word, c: starter_kinds(word, c, all_of[lang])))
     known = {r.lang for r in starters.select("lang").distinct().collect()}
     after = counts.where("kind IN ('pair', 'next')").join(starters.where("what = 'starters'").select("lang", F.col("word").alias("b")), ["lang", "b"], "left_semi")
     started = after.groupBy("lang", F.col("a").alias("word")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_started") for k in ("pair", "next")])
+    behind_marks = totals.join(starters.where("what = 'starters'").select("lang", "word"), ["lang", "word"], "left_semi").select("lang", F.col("start").alias("n"))
+    for row in behind_marks.unionByName(started.select("lang", F.col("pair_started").alias("n"))).groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        all_of[row.lang]["started"] = row.n
     others = _judged(totals.join(started, ["lang", "word"], "left").fillna(0, ["pair_started", "next_started"]), lambda lang, word, c: word_kinds(lang, word, c, all_of[lang], lang in known))
     rows = starters.unionByName(others).toArrow()
     return Model.of(zip(*(rows.column(k).to_pylist() for k in ("lang", "what", "word", "value"))))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,10 +32,17 @@ _CLOSE = "\"”’»«“)]」』'）】"
 _OPEN = "\"“‘«»„(¿¡[「『（'"
 _MARKS = re.compile(r"[.!?…。！？؟।॥｡·,]+")
 #: A place a sentence may end: marks, what closes right behind them, blanks and noise, what opens, and the next token.
-_SITE = re.compile(rf"([.!?…。！？؟।॥｡·,]+)([{re.escape(_CLOSE)}]*(?:[ \xa0\n]»(?=\s|$))?)((?:\s|(?<=[\s{re.escape(_CLOSE)}»])[,·'.])*)([{re.escape(_OPEN)}\s]*)(?=(\S*))")
-_BRACKETS = re.compile(r"[(（][^()（）]{0,400}[)）]")
-_CONTEXT = re.compile(rf"(?<!\S)(\S*?)([.!?…؟।॥]+)([{re.escape(_CLOSE)}]*)\s+[{re.escape(_OPEN)}]*(?=([^\s{re.escape(_OPEN)}]\S*))")
-_SPEAKER = re.compile(r"[?!？！؟]+[”\"»“«’」』]\s?([^।.!?。！？؟…]{1,60})[।.!?。！？؟…]")
+_SITE_PARTS = rf"([.!?…。！？؟।॥｡·,]++)([{re.escape(_CLOSE)}]*+(?:[ \xa0\n]»(?=\s|$))?+)((?:\s|(?<=[\s{re.escape(_CLOSE)}»])[,·'.])*+)([{re.escape(_OPEN)}\s]*+)"
+_SITE = re.compile(_SITE_PARTS + r"(?=(\S*))")
+#: The same where case tells: nothing ends before a small letter.
+_SITE_CASED = re.compile(_SITE_PARTS + r"(?![a-zß-öø-ÿа-яё])(?=(\S*))")
+#: Rules of plausibility, in characters: a bracket that isn't closed within ASIDE is a misread mark and no aside; words that
+#: name a speaker are a clause of at most SPEAKER, looked at after an abbreviation up to twice as far.
+ASIDE, SPEAKER = 400, 60
+_BRACKETS = re.compile(rf"[(（][^()（）]{{0,{ASIDE}}}[)）]")
+_CONTEXT = re.compile(rf"(\S*?)([.!?…؟।॥]+)([{re.escape(_CLOSE)}]*)")
+_CONTEXT_ENDS = set(".!?…؟।॥" + _CLOSE)
+_SPEAKER = re.compile(rf"[?!？！؟]+[”\"»“«’」』]\s?([^।.!?。！？؟…]{{1,{SPEAKER}}})[।.!?。！？؟…]")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _SOFT = ".,·:;!?…؟।॥"
 _ENDERS = ("." , "!", "?", "…", "؟", "।", "॥")
@@ -88,7 +96,7 @@ class Tally:
             return
         tokens = text.split()
         self.tokens[lang].update(tokens)
-        self.contexts[lang].update(_CONTEXT.findall(text))
+        self.contexts[lang].update(_contexts(tokens))
         if lang in CASELESS:
             self.pairs[lang].update(zip(tokens, tokens[1:]))
         else:
@@ -156,6 +164,25 @@ class Tally:
         return [(*k, n) for k, n in out.items()]
 
 
+def _contexts(tokens: list[str]) -> Iterator[tuple[str, str, str, str]]:
+    """(word, marks, what closes, next word) of each token that ends in marks and has a word behind it; what follows an opening quote is the next word only."""
+    opened = -1
+    for i in [i for i, token in enumerate(tokens) if token[-1] in _CONTEXT_ENDS]:
+        if i == opened or i + 1 == len(tokens):
+            continue
+        found = _CONTEXT.fullmatch(tokens[i])
+        after = tokens[i + 1].lstrip(_OPEN)
+        if found and after:
+            if len(after) < len(tokens[i + 1]):
+                opened = i + 1
+            yield *found.groups(), after
+
+
+@lru_cache(maxsize=1000)
+def _is_strong(marks: str) -> bool:
+    return any(c in _STRONG for c in marks) or "..." in marks
+
+
 def _ends_of(clause: str, lang: str) -> tuple[str, str]:
     if lang in UNSPACED:
         return clause[:1], clause[-3:]
@@ -228,7 +255,8 @@ def _period_kinds(lang: str, word: str, c: dict[str, int], all_of: dict[str, int
     if seen >= 3 and (seen - started if known else c["goes_on"]) / seen >= 0.1:
         if word != "##":
             yield "abbreviations", 1.0
-        if started / seen < 0.03:
+        # a collocation with what begins no sentence: starters follow it significantly less often than they follow marks at large
+        if started / seen < 0.03 and (not known or log_likelihood(started, seen, all_of["started"], all_of["goes_on"] + all_of["pairs"] + all_of["start"]) >= LEAST_RATIO):
             yield "binding", 1.0
 
 
@@ -307,6 +335,16 @@ def ends(article: Article, model: Model) -> list[int]:
     return found
 
 
+def _asides(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _BRACKETS.finditer(text)] if "(" in text or "（" in text else []
+
+
+def _word_before(text: str, i: int) -> str:
+    """The word that ends right before place i, '' behind a blank."""
+    found = text[max(text.rfind(" ", 0, i), text.rfind("\n", 0, i)) + 1 : i].split()
+    return found[-1] if found and not text[i - 1].isspace() else ""
+
+
 def _inside(spans: list[tuple[int, int]], at: int, k: int) -> tuple[bool, int]:
     while k < len(spans) and spans[k][1] <= at:
         k += 1
@@ -315,9 +353,9 @@ def _inside(spans: list[tuple[int, int]], at: int, k: int) -> tuple[bool, int]:
 
 def _spaced_ends(text: str, lang: str, model: Model) -> list[int]:
     cased = lang not in CASELESS
-    spans, k = [m.span() for m in _BRACKETS.finditer(text)], 0
+    spans, k = _asides(text), 0
     out: list[int] = []
-    for m in _SITE.finditer(text):
+    for m in (_SITE_CASED if cased else _SITE).finditer(text):
         marks, close, gap, opened, token = m.groups()
         if not token or not (close or gap) and (not opened or token[0].isalnum()) and marks not in ("।", "॥"):
             continue
@@ -328,13 +366,13 @@ def _spaced_ends(text: str, lang: str, model: Model) -> list[int]:
         if inside:
             continue
         e, p, first = m.end(2), m.end(3), token[0]
-        strong = any(c in _STRONG for c in marks) or "..." in marks
+        strong = _is_strong(marks)
         if strong:
             if e > j and _MARKS.match(text[e - 1]) is None and any(c in "!?؟" for c in marks) and _names_speaker(text, p, lang, model):
                 continue
             out.append(e)
             continue
-        word = text[max(0, i - 60) : i].rsplit(None, 1)[-1] if i and not text[i - 1].isspace() else ""
+        word = _word_before(text, i)
         bare = _EDGE.sub("", word)
         own = word_type(word)
         following = next_type(token)
@@ -382,7 +420,7 @@ def _lost_by_case(text: str, lang: str, model: Model, spans: list[tuple[int, int
         token = m.group(2)
         if word_type(token) not in openers or len(token) > 1 and (token.isupper() or len(token) == 2 and token[1] == "."):
             continue
-        before = text[max(0, m.start() - 60) : m.start()].rsplit(None, 1)[-1]
+        before = _word_before(text, m.start())
         if model.closing[lang].get(word_type(before), 1.0) < 0.1:
             continue
         inside, k = _inside(spans, m.start() - 1, k)
@@ -412,14 +450,14 @@ def _names_speaker(text: str, at: int, lang: str, model: Model) -> bool:
     stop = _MARKS.search(text, at)
     clause = text[at : stop.start() if stop else len(text)]
     # an abbreviation may end the clause early; its first words still count
-    if not clause.strip() or len(clause) > 120 or clause[0] in _OPEN:
+    if not clause.strip() or len(clause) > 2 * SPEAKER or clause[0] in _OPEN:
         return False
     found = clause.split()
     first, last = word_type(found[0]), word_type(found[-1])
     if first in model.speaker_first[lang]:
         return True
     if lang in CASELESS and lang != "ar":
-        while last not in model.speaker_last[lang] and stop and stop.group() == "." and stop.end() < len(text) and len(clause) < 60:
+        while last not in model.speaker_last[lang] and stop and stop.group() == "." and stop.end() < len(text) and len(clause) < SPEAKER:
             again = _MARKS.search(text, stop.end())
             clause, stop = text[at : again.start() if again else len(text)], again
             found = clause.split()
@@ -429,19 +467,20 @@ def _names_speaker(text: str, at: int, lang: str, model: Model) -> bool:
 
 
 def _unspaced_ends(text: str, lang: str, model: Model) -> list[int]:
-    spans, k, n = [m.span() for m in _BRACKETS.finditer(text)], 0, len(text)
+    spans, k, n = _asides(text), 0, len(text)
     out: list[int] = []
+    quotes: dict[str, list[int]] = {}
     for m in _MARKS.finditer(text):
         i, j = m.span()
         marks = m.group()
-        strong = any(c in _STRONG for c in marks) or "..." in marks
+        strong = _is_strong(marks)
         if not strong and (i and text[i - 1].isdigit() and j < n and text[j].isdigit() or i and text[i - 1].isascii() and text[i - 1].isalnum()):
             continue
         inside, k = _inside(spans, i, k)
         if inside:
             continue
         e = j
-        while e < n and text[e] in _CLOSE and not (text[e] in "“\"'" and e + 1 < n and _opens(text, e)):
+        while e < n and text[e] in _CLOSE and not (text[e] in "“\"'" and e + 1 < n and _opens(text, e, quotes)):
             e += 1
         if e == n:
             continue
@@ -454,13 +493,17 @@ def _unspaced_ends(text: str, lang: str, model: Model) -> list[int]:
     return out
 
 
-def _opens(text: str, e: int) -> bool:
-    """Whether a quote that looks alike at both ends opens a quotation here; “ always does in Chinese and Japanese."""
-    return text[e] == "“" or text[max(0, e - 600) : e].count(text[e]) % 2 == 0
+def _opens(text: str, e: int, quotes: dict[str, list[int]]) -> bool:
+    """Whether a quote that looks alike at both ends opens a quotation here, an even number of it standing before; “ always does in Chinese and Japanese."""
+    if text[e] == "“":
+        return True
+    if text[e] not in quotes:
+        quotes[text[e]] = [m.start() for m in re.finditer(re.escape(text[e]), text)]
+    return bisect_left(quotes[text[e]], e) % 2 == 0
 
 
 def _thai_ends(text: str, model: Model) -> list[int]:
-    spans, k, n = [m.span() for m in _BRACKETS.finditer(text)], 0, len(text)
+    spans, k, n = _asides(text), 0, len(text)
     out: list[int] = []
     for m in re.finditer(r"\s+|[!?…]+|(?<=[”\"»’])(?=\S)", text):
         i, j = m.span()
