@@ -7,7 +7,7 @@ statement at all, for which a default holds. All others (words no table knows) g
 through the scales between notations of one channel, snapped to a known unit. A notation the graph gives no unit states
 nothing, and the next place is asked.
 
-Only counts by channel, notation and logarithm meet in a task; the table of notations is broadcast while it is small and
+Cells are read once, into a table in the shared folder. Only counts by channel, notation and logarithm meet in a task; the table of notations is broadcast while it is small and
 joined by shuffles beyond that.
 
 Defined results
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelgrid.functions.lengths import UNITS, cell_number, cell_unit, header_unit, mm_of_unit, prose_unit
+from kestrelgrid.operators.components import checkpointed
 from kestrelgrid.operators.unit_graph import linked_units, source_levels
+from kestrelgrid.sources.derived import written
 
 #: Places a unit is stated in, the nearest first.
 PLACES = ("cell", "header", "text", "note", "source")
@@ -61,8 +63,8 @@ def to_millimetres(cells: DataFrame, descriptions: DataFrame, *, default_mm: flo
 
     Result: (id, axis, mm bigint, stated_in), the latter ``cell``, ``header``, ``row``, ``source`` or ``default``.
     """
-    read = read_cells(cells, descriptions)
-    units = notation_units(read, default_mm=default_mm).where("mm IS NOT NULL").select("source", F.col("mm").cast("decimal(11,3)").alias("mm"))
+    read = written(read_cells(cells, descriptions))
+    units = checkpointed(notation_units(read, default_mm=default_mm).where("mm IS NOT NULL").select("source", F.col("mm").cast("decimal(11,3)").alias("mm")))
     if units.limit(SMALL + 1).count() <= SMALL:
         units = F.broadcast(units)
     for place in PLACES:

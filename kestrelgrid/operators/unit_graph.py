@@ -108,16 +108,16 @@ def linked_units(levels: DataFrame, anchors: DataFrame, units_mm: list[float], *
     """
     anchors = checkpointed(anchors.where("mm > 0").groupBy("source").agg(F.min("mm").alias("mm")))
     levels = checkpointed(levels)
-    pairs = pair_scales(levels, anchors)
+    pairs = checkpointed(pair_scales(levels, anchors))
     ok = pairs.where((F.col("spread_ratio") <= MOST_SPREAD) & (F.col("spread_ratio") >= 1 / MOST_SPREAD) & (F.abs("offset") <= MOST_OFFSET) & (F.least("n_a", "n_b") >= least))
     e = ok.select("a", "b", "log_scale", "error")
-    e = checkpointed(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("log_scale")).alias("log_scale"), "error")))
+    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("log_scale")).alias("log_scale"), "error"))
     # how often each of the known units is used: a handful of numbers, one for each unit
     used = {r.mm: r.n for r in levels.join(anchors, "source").where(F.col("mm").isin(units_mm)).groupBy("mm").agg(F.sum("n").alias("n")).collect()}
     usage = {mm: (used.get(mm, 0) + 1) / (sum(used.values()) + len(units_mm)) for mm in units_mm}
     known, hop = anchors.withColumn("hops", F.lit(0)), 0
-    first = _estimates(e, anchors)
-    linked = first.withColumn("snapped", _snapped(F.col("log_mm"), F.col("error"), usage, sure))
+    first = checkpointed(_estimates(e, anchors).withColumn("snapped", _snapped(F.col("log_mm"), F.col("error"), usage, sure)))
+    linked = first
     while True:
         hop += 1
         fresh = linked.where("snapped IS NOT NULL").join(known.select("source"), "source", "left_anti")
@@ -127,7 +127,7 @@ def linked_units(levels: DataFrame, anchors: DataFrame, units_mm: list[float], *
         told = fresh if hop == 1 else told.unionByName(fresh)
         known = checkpointed(known.unionByName(fresh.select("source", "mm", "hops")))
         linked = _estimates(e, known).withColumn("snapped", _snapped(F.col("log_mm"), F.col("error"), usage, sure))
-    said = first.withColumn("snapped", _snapped(F.col("log_mm"), F.col("error"), usage, sure))
+    said = first
     if hop > 1:
         # later hops have their own estimate
         later = told.where("hops > 1").select("source", "log_mm", "error", F.col("mm").alias("snapped"))

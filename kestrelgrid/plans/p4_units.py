@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrelgrid.functions.lengths import CUES, IN_BRACKETS, NUMBER_AND_UNIT, UNITS
 from kestrelgrid.operators.stated_units import notation_units, read_cells, to_millimetres
+from kestrelgrid.sources.derived import written
 from kestrelgrid.sources.tables import table
 
 
@@ -31,7 +32,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notation with what it names, what its links to other notations say, and the unit that holds."""
-    found = notation_units(read_cells(accuracy_cells(spark, sf_dir), _receivers(spark, sf_dir)))
+    found = notation_units(written(read_cells(accuracy_cells(spark, sf_dir), _receivers(spark, sf_dir))))
     return found.select(F.col("source").alias("notation"), "readings", "anchor_mm", F.round("linked_mm", 4).alias("linked_mm"), F.round("error", 4).alias("error"), "snapped_mm", "mm", "hops")
 
 
