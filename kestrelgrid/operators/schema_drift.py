@@ -28,7 +28,6 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,20 +54,19 @@ def form_of(text: str) -> str | None:
     return FORMS[found.lastindex - 1] if found else "string"
 
 
-def profile_of(texts: list[str], place: float) -> list[float] | None:
+def profile_of(texts: list[str], forms: list[str], place: float) -> list[float] | None:
     """What a field's values look like: share of numbers, logarithms of their size and of their spread, share of rises, logarithm of the length of texts, share of different ones, place in the record. NULL for under ``PROFILED`` values."""
-    if len(texts) < PROFILED:
+    n = len(texts)
+    if n < PROFILED:
         return None
-    numbers = []
-    for text in texts:
-        try:
-            numbers.append(float(text))
-        except ValueError:
-            pass
-    values = np.array([x for x in numbers if math.isfinite(x)])
-    low, mid, high = np.percentile(values, (25, 50, 75)) if len(values) else (0.0, 0.0, 0.0)
-    rises = float(np.mean(np.diff(values) > 0)) if len(values) > 1 else 0.0
-    return [len(values) / len(texts), math.log10(abs(mid) + high - low + 1e-9) if len(values) else 0.0, math.log10(high - low + 1e-9) if len(values) else 0.0, rises, math.log10(1 + sum(map(len, texts)) / len(texts)), len(set(texts)) / len(texts), place]
+    values = [float(text) for text, form in zip(texts, forms) if form in ("integer", "decimal")]
+    share, size, spread, rises = len(values) / n, 0.0, 0.0, 0.0
+    if values:
+        rises = sum(b > a for a, b in zip(values, values[1:])) / max(1, len(values) - 1)
+        values.sort()
+        low, mid, high = (values[(len(values) - 1) * k // 4] for k in (1, 2, 3))
+        size, spread = math.log10(min(abs(mid) + high - low, 1e300) + 1e-9), math.log10(min(high - low, 1e300) + 1e-9)
+    return [share, size, spread, rises, math.log10(1 + sum(map(len, texts)) / n), len(set(texts)) / n, place]
 
 
 def profile_distance(a: Column, b: Column) -> Column:
@@ -133,16 +131,18 @@ def field_forms(files: DataFrame) -> DataFrame:
             index, paths, quantities, profiles, counts = [], [], [], [], {form: [] for form in FORMS}
             for i, (payload, layout) in enumerate(zip(batch.column("payload").to_pylist(), batch.column("layout").to_pylist())):
                 seen: dict[str, dict] = {}
-                texts: dict[str, list[str]] = {}
+                texts: dict[str, tuple[list[str], list[str]]] = {}
                 for record in read_payload(payload, layout):
                     for path, text, form in record:
                         own = seen.setdefault(path, dict.fromkeys(FORMS, 0))
                         if form:
                             own[form] += 1
-                            texts.setdefault(path, []).append(text)
+                            held = texts.setdefault(path, ([], []))
+                            held[0].append(text)
+                            held[1].append(form)
                 place = {path: k / len(seen) for k, path in enumerate(seen)}
                 names = sorted(seen)
-                profiles += [profile_of(texts.get(name, []), place[name]) for name in names]
+                profiles += [profile_of(*texts.get(name, ([], [])), place[name]) for name in names]
                 index += [i] * len(names)
                 paths += names
                 quantities += quantities_of(names)
@@ -183,12 +183,13 @@ def file_order(files: DataFrame) -> DataFrame:
 def schema_changes(files: DataFrame) -> DataFrame:
     """(file_id, change_kind, old_field, new_field) of each file against the one before it of its producer and stream."""
     order = file_order(files.select("file_id", "producer", "log_stream", "written_at"))
-    fields = written(field_forms(files).select("file_id", "path", "quantity", "form", "profile")).join(order, "file_id")
+    forms = written(field_forms(files).select("file_id", "path", "quantity", "form", "profile"))
+    fields = forms.drop("profile").join(order, "file_id")
     whose = ["producer", "log_stream", "quantity"]
     in_hour = Window.partitionBy(*whose, "hour").orderBy("place")
     earlier = in_hour.rowsBetween(Window.unboundedPreceding, -1)
     near = fields.select(
-        "file_id", *whose, "hour", "place", "n_files", "path", "form", "profile",
+        "file_id", *whose, "hour", "place", "n_files", "path", "form",
         F.lag(F.struct("place", "path")).over(in_hour).alias("prev"),
         F.lead("place").over(in_hour).alias("next_place"),
         F.last("form", ignorenulls=True).over(earlier).alias("prev_form"),
@@ -204,7 +205,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
         F.last("last_form", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("hour_form"),
     )
     rows = near.join(hours, [*whose, "hour"]).select(
-        "file_id", "producer", "log_stream", "quantity", "place", "n_files", "path", "form", "profile",
+        "file_id", "producer", "log_stream", "quantity", "place", "n_files", "path", "form",
         F.coalesce("prev", "hour_prev").alias("prev"), F.coalesce("next_place", "hour_next").alias("next_place"), F.coalesce("prev_form", "hour_form").alias("prev_form"),
     )
     old = F.col("prev.path")
@@ -215,13 +216,13 @@ def schema_changes(files: DataFrame) -> DataFrame:
         F.when(stayed & (F.col("form") != F.col("prev_form")), _change("retyped", old, F.col("path"))),
     ]
     named = F.col("quantity").isin(*QUANTITIES)
-    rows = rows.withColumn("own", F.struct("path", named.alias("named"), "profile", F.coalesce("form", "prev_form").alias("form")))
+    rows = rows.withColumn("own", F.struct("path", named.alias("named"), F.col("file_id").alias("file"), F.coalesce("form", "prev_form").alias("form")))
     here = rows.select("file_id", F.explode(F.filter(F.array(*kinds), lambda c: c.isNotNull())).alias("c"), "own").select("file_id", "c.*", "own")
     gone = rows.where((F.col("place") < F.col("n_files")) & (F.coalesce("next_place", F.lit(-1)) != F.col("place") + 1))
     gone = gone.select("producer", "log_stream", (F.col("place") + 1).alias("place"), F.lit("removed").alias("change_kind"), F.col("path").alias("old_field"), F.lit("").alias("new_field"), "own")
     gone = gone.join(order.select("producer", "log_stream", "place", "file_id"), ["producer", "log_stream", "place"])
     changes = written(here.unionByName(gone.select("file_id", "change_kind", "old_field", "new_field", "own")))
-    again = _renamed_by_profile(changes)
+    again = _renamed_by_profile(changes, forms)
     plain = ["file_id", "change_kind", "old_field", "new_field"]
     taken = again.select("file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), "new_field").unionByName(again.select("file_id", F.lit("removed").alias("change_kind"), "old_field", F.lit("").alias("new_field")))
     kinds = F.array(F.lit("renamed"), F.when(F.col("old_form") != F.col("new_form"), "retyped"))
@@ -229,14 +230,19 @@ def schema_changes(files: DataFrame) -> DataFrame:
     return changes.select(*plain).join(taken, plain, "left_anti").unionByName(more.select(*plain))
 
 
-def _renamed_by_profile(changes: DataFrame) -> DataFrame:
+def _renamed_by_profile(changes: DataFrame, forms: DataFrame) -> DataFrame:
     """(file_id, old_field, new_field, old_form, new_form) of the fields that went and came in one file and are each other's nearest by profile, one of them at least in no table of names.
 
     A file's fields, not its rows, meet.
     """
-    sides = {kind: changes.where((F.col("change_kind") == kind) & F.col("own.profile").isNotNull()).select("file_id", F.col("own").alias(kind)) for kind in ("removed", "added")}
-    pairs = sides["removed"].join(sides["added"], "file_id").where(~(F.col("removed.named") & F.col("added.named")))
-    pairs = pairs.withColumn("far", profile_distance(F.col("removed.profile"), F.col("added.profile"))).where(F.col("far") <= NEAR_PROFILE)
+    pairs = None
+    for kind in ("removed", "added"):
+        side = changes.where(F.col("change_kind") == kind).select("file_id", F.col("own").alias(kind))
+        pairs = side if pairs is None else pairs.join(side, "file_id").where(~(F.col("removed.named") & F.col("added.named")))
+    for kind in ("removed", "added"):
+        profile = forms.where("profile IS NOT NULL").select(F.col("file_id").alias("file"), "path", F.col("profile").alias(f"{kind}_profile"))
+        pairs = pairs.join(profile, (F.col(f"{kind}.file") == profile["file"]) & (F.col(f"{kind}.path") == profile["path"])).drop("file", "path")
+    pairs = pairs.withColumn("far", profile_distance(F.col("removed_profile"), F.col("added_profile"))).where(F.col("far") <= NEAR_PROFILE)
     first = lambda own, other: F.row_number().over(Window.partitionBy("file_id", f"{own}.path").orderBy("far", f"{other}.path"))
     best = pairs.withColumns({"a": first("removed", "added"), "b": first("added", "removed")}).where("a = 1 AND b = 1")
     return best.select("file_id", F.col("removed.path").alias("old_field"), F.col("added.path").alias("new_field"), F.col("removed.form").alias("old_form"), F.col("added.form").alias("new_form"))
