@@ -26,7 +26,7 @@ import csv
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -252,11 +252,12 @@ def _change(kind: str, old: Column, new: Column) -> Column:
     return F.struct(F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
 
 
-def typed_records(files: DataFrame, columns: dict[str, str]) -> DataFrame:
+def typed_records(files: DataFrame, columns: dict[str, str], candidates: Callable[[list[str]], dict[str, list[str]]] | None = None) -> DataFrame:
     """(file_id, producer, flight_id, rec_no, a column for each quantity, failed array of (quantity, field, value)).
 
     columns: quantity -> kind, one of seconds, degrees, metres, count, flag, text. ``failed`` holds what has a value that
-    is not of that kind; the column is NULL there.
+    is not of that kind; the column is NULL there. candidates: of a file's names, those of each quantity in their order; a
+    record takes the first that isn't blank in it. Without it the first name of a quantity carries it.
     """
     kept = files.select("file_id", "producer", "flight_id", "layout", "payload")
 
@@ -266,11 +267,15 @@ def typed_records(files: DataFrame, columns: dict[str, str]) -> DataFrame:
             for i, (payload, layout) in enumerate(zip(batch.column("payload").to_pylist(), batch.column("layout").to_pylist())):
                 records = [{path: text for path, text, _ in record} for record in read_payload(payload, layout)]
                 names = sorted({path for record in records for path in record})
-                by_name = dict(zip(names, quantities_of(names)))
+                if candidates is not None:
+                    asked = {q: paths for q, paths in candidates(names).items() if q in columns}
+                else:
+                    asked = {q: [path] for path, q in zip(names, quantities_of(names)) if q in columns}
                 for k, record in enumerate(records[layout == "csv" :]):
                     index.append(i)
                     number.append(k + 1)
-                    maps.append([(by_name[path], {"field": path, "unit": unit_of(path), "text": text.strip()}) for path, text in record.items() if by_name[path] in columns and text.strip()])
+                    first = ((q, next((p for p in paths if record.get(p, "").strip()), None)) for q, paths in asked.items())
+                    maps.append([(q, {"field": path, "unit": unit_of(path), "text": record[path].strip()}) for q, path in first if path is not None])
             rows = batch.select(["file_id", "producer", "flight_id"]).take(pa.array(index, pa.int64()))
             cell = pa.struct([("field", pa.string()), ("unit", pa.string()), ("text", pa.string())])
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(number, pa.int32()), pa.array(maps, pa.map_(pa.string(), cell))], [*rows.schema.names, "rec_no", "cells"])

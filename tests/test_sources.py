@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kestrelgrid.sources.logs import read_control_points, read_csv_logs, read_gpx, read_srt
+from kestrelgrid.sources.logs import candidates, first_candidates, load_logs, read_control_points, read_csv_logs, read_gpx, read_srt
 from kestrelgrid.sources.writers import geojson_features, kml_placemarks, read_ply, write_measurements, write_ply, write_xyz
 
 
@@ -32,6 +32,32 @@ def test_gpx(spark, tmp_path):
     assert [(r.t, r.latitude, r.alt_msl) for r in read_gpx(spark, str(tmp_path)).orderBy("t").collect()] == [(0.0, 1.0, 5.0), (2.5, 1.5, 0.0)]
 
 
+def test_names_by_trust(spark, tmp_path):
+    headers = ["height", "lat", "Latitude", "compass_heading(degrees)", "gimbal_yaw", "altitude_above_seaLevel(feet)", "odd"]
+    assert candidates(headers) == {"latitude": ["Latitude", "lat"], "alt_rel": ["height"], "yaw": ["gimbal_yaw", "compass_heading(degrees)"], "alt_msl": ["altitude_above_seaLevel(feet)"]}
+    assert first_candidates(headers)["yaw"] == "gimbal_yaw" and candidates([]) == {}
+    (tmp_path / "a.csv").write_text("time_s,lat,Latitude,compass_heading,gimbal_yaw\n1,5,,10,\n2,5,6,10,20\n")
+    assert [(r.latitude, r.yaw) for r in read_csv_logs(spark, str(tmp_path)).orderBy("time").collect()] == [(5.0, 10.0), (6.0, 20.0)]
+
+
+def test_way_points(spark, tmp_path):
+    (tmp_path / "w.gpx").write_text('<gpx><wpt lon="2" lat="1"><time>2025-01-01T00:00:00Z</time><ele>7</ele></wpt><wpt lat="1.5" lon="2.5"/></gpx>')
+    assert [(r.t, r.latitude, r.longitude, r.alt_msl) for r in read_gpx(spark, str(tmp_path)).collect()] == [(0.0, 1.0, 2.0, 7.0)]
+
+
+def test_logs_of_any_kind(spark, tmp_path):
+    flags = "\n".join(f"{k},1,2,{int(100 <= k <= 160 or 300 <= k < 320)}" for k in range(0, 400, 2))
+    (tmp_path / "a.csv").write_text("time_s,lat,lon,isVideo\n" + flags + "\n")
+    (tmp_path / "b.csv").write_text("video_time_s,lat,lon\n0,1,2\n30,1,2\n")
+    (tmp_path / "c.log").write_text("1\n00:00:05,500 --> 00:00:06,000\n[latitude: 1] [longitude: 2]\n")
+    (tmp_path / "d.txt").write_text('<?xml version="1.0"?><gpx><trkpt lat="1" lon="2"><time>2025-01-01T00:00:00Z</time></trkpt></gpx>')
+    df = load_logs(spark, str(tmp_path), video_s=60.0)
+    got = {r.file[-5:]: (r.format, r.offset_s, r.offset_source, r.first, r.coverage) for r in df.groupBy("file", "format", "offset_s", "offset_source", "coverage").agg(F.min("t").alias("first")).collect()}
+    assert got == {"a.csv": ("csv", 100.0, "recording_flag", -100.0, 1.0), "b.csv": ("csv", 0.0, "video_clock", 0.0, 0.5), "c.log": ("srt", 0.0, "assumed_zero", 5.5, 0.0), "d.txt": ("gpx", 0.0, "assumed_zero", 0.0, 0.0)}
+    assert {r.offset_source for r in load_logs(spark, str(tmp_path), offset_s=2.5).collect()} == {"explicit"}
+    assert {r.offset_source for r in load_logs(spark, str(tmp_path / "a.csv")).collect()} == {"assumed_zero"}
+
+
 def survey(*ids, lat=1.0):
     point = lambda i: {"id": i, "local_xyz": [1.0, 2.0, 3.0], "geo": {"lat": lat, "lon": 2.0, "alt_msl": 3.0}}
     return json.dumps({"coordinate_frame": "reconstruction_local_m", "measurement_set_id": "m", "controls": [point(i) for i in ids], "checkpoints": [point("c")]})
