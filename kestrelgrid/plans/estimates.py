@@ -87,7 +87,7 @@ def fixed_rotation_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Error of every sixtieth second's fix against the line between the fixes around it: root mean square, worst, verdict."""
+    """Error of every fix that has fixes around it against the line between these: root mean square, worst, verdict."""
     p = neighbours(points(spark, d), BY, ["t_ms"], "bucket", ["x", "y", "z"])
     u = (F.col("t_ms") - F.col("prev.t_ms")) / (F.col("next.t_ms") - F.col("prev.t_ms"))
     e = {a: F.col(a) - (F.col(f"prev.{a}") + (F.col(f"next.{a}") - F.col(f"prev.{a}")) * u) for a in "xyz"}

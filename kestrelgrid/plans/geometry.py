@@ -59,18 +59,20 @@ def _views(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gps_radius_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Views within 40 m that are more than 3 apart: the four nearest earlier ones of each.
+    """Pairs of views that follow each other within three, and all others within 40 m.
 
-    Squares of 40 m are joined with the squares around. A view is offered only views of its own flight, which lasts less
-    than a day, so at most 4,320.
+    Squares of 40 m are joined with the squares around, so a view meets only views near it.
     """
     v = _views(spark, d).withColumns({f"i{a}": voxel(a, 40.0) for a in "xy"})
     o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = v.withColumn("o", o).select("flight_id", F.col("view").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), (F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy"))
-    dist = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) + F.pow(F.col("z") - F.col("bz"), 2))
-    p = a.join(v, ["flight_id", "ix", "iy"]).where(F.col("view") < F.col("b") - 3).withColumn("dist", steady(dist, 3)).where("dist <= 40")
-    w = Window.partitionBy("flight_id", "b").orderBy("dist", "view")
-    return p.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 4").select("flight_id", "b", F.col("view").alias("a"), "dist", "rank")
+    b = v.select("flight_id", F.col("view").alias("b"), *[F.col(k).alias(f"b{k}") for k in "xyz"], "ix", "iy")
+    a = b.withColumn("o", o).withColumns({"ix": F.col("ix") + F.col("o.i"), "iy": F.col("iy") + F.col("o.j")}).drop("o")
+    dist = steady(F.sqrt(sum((F.pow(F.col(k) - F.col(f"b{k}"), 2) for k in "xyz"), F.lit(0.0))), 3)
+    near = a.join(v, ["flight_id", "ix", "iy"]).where(F.col("view") < F.col("b") - 3).withColumn("dist", dist).where("dist <= 40")
+    back = b.drop("ix", "iy").withColumn("view", F.explode(F.array(*[F.col("b") - k for k in (1, 2, 3)])))
+    follow = back.join(v, ["flight_id", "view"]).withColumn("dist", dist)
+    columns = ["flight_id", F.col("view").alias("a"), "b", "dist"]
+    return near.select(*columns, F.lit("near").alias("why")).unionByName(follow.select(*columns, F.lit("next").alias("why")))
 
 
 def trajectory_class(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +194,8 @@ SELECT flight_id, sample_id, {steady_sql(f'CASE WHEN {_OK} THEN {_AREA} END', 2)
     "keyframe_velocity": f"""WITH {POINTS}, n AS (SELECT flight_id, t_ms, {', '.join(f'coalesce(lag({c}) OVER w, {c}) AS {c}1, coalesce(lead({c}) OVER w, {c}) AS {c}2' for c in ('t_ms', 'x', 'y', 'z'))} FROM point WINDOW w AS (PARTITION BY flight_id ORDER BY t_ms))
 SELECT flight_id, t_ms, {', '.join(f"{steady_sql(f'({c}2 - {c}1) / ((t_ms2 - t_ms1) / 1000)', 4)} AS v{c}" for c in 'xyz')} FROM n WHERE t_ms2 > t_ms1""",
     "uncertainty_heatmap": f"WITH {POINTS} SELECT flight_id, CAST(floor(x / 25.0) AS BIGINT) AS ix, CAST(floor(y / 25.0) AS BIGINT) AS iy, max(acc) AS worst, count(*) AS n FROM point WHERE acc IS NOT NULL GROUP BY flight_id, floor(x / 25.0), floor(y / 25.0)",
-    "gps_radius_pairs": f"""WITH {_V}, p AS (SELECT b.flight_id, b.view AS b, a.view AS a, {steady_sql('sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)', 3)} AS dist FROM v a JOIN v b ON b.flight_id = a.flight_id AND a.view < b.view - 3), r AS (SELECT *, row_number() OVER (PARTITION BY flight_id, b ORDER BY dist, a) AS rank FROM p WHERE dist <= 40) SELECT * FROM r WHERE rank <= 4""",
+    "gps_radius_pairs": f"""WITH {_V}, p AS (SELECT b.flight_id, a.view AS a, b.view AS b, {steady_sql('sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)', 3)} AS dist FROM v a JOIN v b ON b.flight_id = a.flight_id AND a.view < b.view)
+SELECT flight_id, a, b, dist, CASE WHEN b - a <= 3 THEN 'next' ELSE 'near' END AS why FROM p WHERE b - a <= 3 OR dist <= 40""",
     "trajectory_class": f"""WITH {_V}, m AS (SELECT flight_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy, max(z) - min(z) AS dz, greatest(max(x) - min(x), max(y) - min(y)) AS dh FROM v GROUP BY ALL),
 r AS (SELECT flight_id, stddev_pop(sqrt((x - mx) ** 2 + (y - my) ** 2)) / nullif(avg(sqrt((x - mx) ** 2 + (y - my) ** 2)), 0.0) AS cv FROM v JOIN m USING (flight_id) GROUP BY ALL),
 k AS (SELECT *, {steady_sql('CASE WHEN sxx + syy > 0 THEN sqrt((sxx - syy) ** 2 + 4 * sxy * sxy) / (sxx + syy) END', 4)} AS collinear FROM m JOIN r USING (flight_id))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kestrelgrid.functions.rounding import steady, steady_sql
 from kestrelgrid.operators.grid import voxel
 from kestrelgrid.plans.geometry import _V, _views
+from kestrelgrid.operators.polygons import inside, polygon_areas
 from kestrelgrid.plans.points import POINTS, points
 from kestrelgrid.plans.surface import _DSM, BY, CELL, RES, grid_dsm
 
@@ -98,12 +99,22 @@ def bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
     return s.select("flight_id", "view", steady(F.when(F.col("n") == 4, F.col("mix")).otherwise(F.col("own")), 4).alias("z"), F.col("n").cast("int").alias("known"))
 
 
+def _path_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """A polygon for each flight: the places of every fourth view, as far as there are, in their order; it may cross itself."""
+    return _views(spark, d).where("view % 4 = 0").select("flight_id", "view", "x", "y")
+
+
+def path_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Corners, area and length around of each flight's polygon."""
+    a = polygon_areas(_path_polygons(spark, d), BY, "view")
+    return a.select("flight_id", "n", steady(F.col("area"), 2).alias("area"), steady(F.col("length"), 2).alias("length"))
+
+
 def cells_in_polygon(spark: SparkSession, d: str) -> DataFrame:
-    """Surface cells whose middle lies in a hexagon of 80 m about the flight's start, and their mean height."""
+    """Surface cells whose middle lies in their flight's polygon, and their mean height."""
     box = points(spark, d).groupBy("flight_id").agg(F.min("x").alias("x_min"), F.max("y").alias("y_max"))
-    c = grid_dsm(spark, d).join(box, BY).withColumns({"x": F.col("x_min") + (F.col("col") + 0.5) * RES, "y": F.col("y_max") - (F.col("row") + 0.5) * RES})
-    inside = (F.abs("x") <= 80 * 0.75**0.5) & (F.abs(F.col("x") * 0.5 + F.col("y") * 0.75**0.5) <= 80 * 0.75**0.5) & (F.abs(F.col("x") * 0.5 - F.col("y") * 0.75**0.5) <= 80 * 0.75**0.5)
-    return c.where(inside).groupBy("flight_id").agg(F.count("*").alias("cells"), steady(F.avg("z"), 4).alias("z"))
+    c = grid_dsm(spark, d).join(box, BY).select("flight_id", "z", (F.col("x_min") + (F.col("col") + 0.5) * RES).alias("x"), (F.col("y_max") - (F.col("row") + 0.5) * RES).alias("y"))
+    return inside(c, _path_polygons(spark, d), BY, "view", 50.0).groupBy("flight_id").agg(F.count("*").alias("cells"), steady(F.avg("z"), 4).alias("z"))
 
 
 def point_tsdf(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +135,6 @@ def point_tsdf(spark: SparkSession, d: str) -> DataFrame:
 _BLOCKS = """b AS (SELECT a.flight_id, a.row AS r, a.col AS c FROM dsm a JOIN dsm b ON b.flight_id = a.flight_id AND b.row = a.row AND b.col = a.col + 1 JOIN dsm c ON c.flight_id = a.flight_id AND c.row = a.row + 1 AND c.col = a.col JOIN dsm e ON e.flight_id = a.flight_id AND e.row = a.row + 1 AND e.col = a.col + 1)"""
 _CENTRES = f"""centre AS (SELECT flight_id, concat_ws(':', CAST(floor(x / 2.0) AS BIGINT), CAST(floor(y / 2.0) AS BIGINT), CAST(floor(z / 2.0) AS BIGINT)) AS id, {', '.join(f"{steady_sql(f'avg({a})', 3)} AS {a}" for a in 'xyz')} FROM point GROUP BY flight_id, floor(x / 2.0), floor(y / 2.0), floor(z / 2.0))"""
 _D3 = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
-_HEX = 0.75**0.5
 
 SQL = {
     "mesh_watertight": f"""WITH {_DSM}, {_BLOCKS}, e AS (SELECT flight_id, r AS r1, c AS c1, r AS r2, c + 1 AS c2 FROM b UNION ALL SELECT flight_id, r, c, r + 1, c FROM b UNION ALL SELECT flight_id, r + 1, c, r + 1, c + 1 FROM b UNION ALL SELECT flight_id, r, c + 1, r + 1, c + 1 FROM b UNION ALL SELECT flight_id, r, c + 1, r + 1, c FROM b UNION ALL SELECT flight_id, r, c + 1, r + 1, c FROM b),
@@ -139,8 +149,12 @@ n AS (SELECT * FROM j WHERE d <= 4 QUALIFY row_number() OVER (PARTITION BY fligh
 a AS (SELECT *, i, j, floor(w) + i AS row, floor(u) + j AS col FROM q, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j)),
 s AS (SELECT a.flight_id, view, count(z) AS n, sum(z * (CASE WHEN i = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) * (CASE WHEN j = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END)) AS mix, max(CASE WHEN a.row = floor(w + 0.5) AND a.col = floor(u + 0.5) THEN z END) AS own
   FROM a LEFT JOIN dsm d ON d.flight_id = a.flight_id AND d.row = a.row AND d.col = a.col GROUP BY ALL) SELECT flight_id, view, {steady_sql('CASE WHEN n = 4 THEN mix ELSE own END', 4)} AS z, CAST(n AS INTEGER) AS known FROM s""",
-    "cells_in_polygon": f"""WITH {_DSM}, c AS (SELECT flight_id, z, x_min + (col + 0.5) * {RES} AS x, y_max - (row + 0.5) * {RES} AS y FROM dsm JOIN box USING (flight_id))
-SELECT flight_id, count(*) AS cells, {steady_sql('avg(z)', 4)} AS z FROM c WHERE abs(x) <= {80 * _HEX} AND abs(x * 0.5 + y * {_HEX}) <= {80 * _HEX} AND abs(x * 0.5 - y * {_HEX}) <= {80 * _HEX} GROUP BY flight_id""",
+    "path_polygons": f"""WITH {_V}, c AS (SELECT * FROM v WHERE view % 4 = 0), e AS (SELECT flight_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER u) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER u) AS y2 FROM c WINDOW w AS (PARTITION BY flight_id ORDER BY view), u AS (PARTITION BY flight_id ORDER BY view ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT flight_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN {steady_sql('abs(sum(x * y2 - y * x2)) / 2', 2)} ELSE 0.0 END AS area, CASE WHEN count(*) >= 3 THEN {steady_sql('sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2))', 2)} ELSE 0.0 END AS length FROM e GROUP BY flight_id""",
+    "cells_in_polygon": f"""WITH {_DSM}, v AS (SELECT flight_id, view, {', '.join(f"{steady_sql(f'avg({a})', 3)} AS {a}" for a in 'xy')} FROM point GROUP BY ALL), c AS (SELECT * FROM v WHERE view % 4 = 0),
+e AS (SELECT flight_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER u) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER u) AS y2, count(*) OVER u AS n FROM c WINDOW w AS (PARTITION BY flight_id ORDER BY view), u AS (PARTITION BY flight_id ORDER BY view ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+q AS (SELECT flight_id, row, col, z, x_min + (col + 0.5) * {RES} AS x, y_max - (row + 0.5) * {RES} AS y FROM dsm JOIN box USING (flight_id)),
+h AS (SELECT q.flight_id, row, col, any_value(q.z) AS z, count(*) AS k FROM q JOIN e ON e.flight_id = q.flight_id AND e.n >= 3 AND (e.y > q.y) <> (e.y2 > q.y) AND q.x >= e.x + (q.y - e.y) / (e.y2 - e.y) * (e.x2 - e.x) GROUP BY ALL) SELECT flight_id, count(*) AS cells, {steady_sql('avg(z)', 4)} AS z FROM h WHERE k % 2 = 1 GROUP BY flight_id""",
     "point_tsdf": f"""WITH {POINTS}, o AS (SELECT flight_id, x, y, z, tier, {', '.join(f'CAST(floor({a} / {TSDF_VOXEL}) AS BIGINT) + {s} AS i{a}' for a, s in zip('xyz', 'ijk'))} FROM point, range(-2, 3) p(i), range(-2, 3) q(j), range(-2, 3) r(k) WHERE tier > 0),
 d AS (SELECT *, sqrt({' + '.join(f'((i{a} + 0.5) * {TSDF_VOXEL} - {a}) ** 2' for a in 'xyz')}) AS d, (iz + 0.5) * {TSDF_VOXEL} - z AS sdf FROM o), w AS (SELECT *, tier * (1 - d / {SPLAT}) AS w FROM d WHERE d < {SPLAT}),
 g AS (SELECT flight_id, ix, iy, iz, sum(w) AS w, sum(w * sdf) / sum(w) AS s, count(*) AS n FROM w GROUP BY ALL) SELECT flight_id, ix, iy, iz, {steady_sql(f'least({TRUNC}, greatest(-{TRUNC}, s))', 4)} AS sdf, n FROM g WHERE w > 0.01""",

@@ -37,7 +37,7 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(steps, "flight_id")
     )
     grid = regular_grid(readings, spans, source="flight_id")
-    return grid.select("flight_id", "cell_start_ms", "n_samples", "covered_ms", F.round("mean_value", 6).alias("mean_alt"), "status")
+    return grid.select("flight_id", "cell_start_ms", "n_samples", "covered_ms", F.round("coverage", 6).alias("coverage"), F.round("mean_value", 6).alias("mean_alt"), "status")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ WHERE NOT EXISTS (SELECT 1 FROM usable u WHERE u.flight_id = c.flight_id AND u.t
   FROM cell c JOIN held h ON h.flight_id = c.flight_id AND h.t_ms < c.cell_start_ms + c.step AND h.end_ms > c.cell_start_ms
   GROUP BY ALL
 )
-SELECT c.flight_id, c.cell_start_ms, CAST(coalesce(n, 0) AS BIGINT) AS n_samples, CAST(coalesce(ms, 0) AS BIGINT) AS covered_ms,
+SELECT c.flight_id, c.cell_start_ms, CAST(coalesce(n, 0) AS BIGINT) AS n_samples, CAST(coalesce(ms, 0) AS BIGINT) AS covered_ms, round(coalesce(ms, 0) / c.step, 6) AS coverage,
   CASE WHEN ms > 0 THEN round(w / ms, 6) END AS mean_alt,
   CASE WHEN coalesce(n, 0) > 0 THEN 'observed' WHEN coalesce(ms, 0) > 0 THEN 'held' ELSE 'missing' END AS status
 FROM cell c LEFT JOIN hit h USING (flight_id, cell_start_ms)""",

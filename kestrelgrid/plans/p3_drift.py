@@ -73,6 +73,9 @@ _FIELDS = f"""WITH file AS (
   SELECT f.*, coalesce(a.q, b.q, {_normal('path')}) AS quantity FROM field f LEFT JOIN name a ON a.n = {_normal('path')} LEFT JOIN name b ON b.n = {_normal("regexp_replace(path, '^.*[.]', '')")}
 )"""
 SQL = {
+    "p3_fields": f"""{_FIELDS}, n AS (SELECT file_id, path, count(form) AS n_values FROM cell GROUP BY ALL)
+SELECT f.file_id, producer, log_stream, written_at, path, CASE WHEN row_number() OVER (PARTITION BY k.file_id, quantity ORDER BY path) > 1 THEN quantity || ':' || path ELSE quantity END AS quantity, form, n_values
+FROM known k JOIN n USING (file_id, path) JOIN (SELECT DISTINCT file_id, producer, log_stream, written_at FROM drift_files) f USING (file_id)""",
     "p3_found": f"""{_FIELDS}, placed AS (
   SELECT file_id, producer, log_stream, row_number() OVER (PARTITION BY producer, log_stream ORDER BY written_at, file_id) AS place, count(*) OVER (PARTITION BY producer, log_stream) AS n FROM file
 ), seen AS (

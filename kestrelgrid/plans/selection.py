@@ -33,10 +33,8 @@ def geojson_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_views(spark: SparkSession, d: str) -> DataFrame:
-    """Views of each flight that see enough ground few others saw; a view's footprint is the cells of 10 m of its fixes' box."""
-    v = points(spark, d).groupBy("flight_id", "view").agg(*[F.floor(f(a) / 10).cast("bigint").alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-    cells = v.withColumn("i", F.explode(F.sequence("lox", "hix"))).withColumn("j", F.explode(F.sequence("loy", "hiy")))
-    return greedy_views(cells.select("flight_id", "view", "i", "j"))
+    """Views of each flight that see enough ground few others saw; a view's footprint is the cells of 10 m that its fixes stand in."""
+    return greedy_views(points(spark, d).select("flight_id", "view", F.floor(F.col("x") / 10).cast("bigint").alias("i"), F.floor(F.col("y") / 10).cast("bigint").alias("j")).distinct())
 
 
 SQL = {"xyz_export": f"WITH {POINTS} SELECT printf('%.3f %.3f %.3f', x, y, z) AS value FROM point"}
