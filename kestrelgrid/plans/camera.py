@@ -300,7 +300,7 @@ m AS (SELECT *, (cos(a) * cos(c) - sin(a) * sin(b) * sin(c)) * ox + (sin(a) * co
 o AS (SELECT flight_id, sample_id, heading, {steady_sql(_OFF.format(x='dx', y='dy'), 3)} AS off FROM m) SELECT flight_id, sample_id, CAST(heading AS INTEGER) AS heading, off AS off_deg FROM o QUALIFY row_number() OVER (PARTITION BY flight_id, sample_id ORDER BY off, heading) = 1""",
     "frame_baselines": """WITH f AS (SELECT DISTINCT flight_id, frame_index, parallax, exposure_score, blur_score FROM frames WHERE flight_id IS NOT NULL AND parallax IS NOT NULL AND NOT isnan(parallax))
 SELECT flight_id, frame_index, round(CASE WHEN parallax < 0.3 THEN 0.0 WHEN blur_score >= 100 THEN CASE WHEN exposure_score / 50 < 0.005 THEN 0.0 ELSE parallax END WHEN parallax < 2 THEN 0.0 WHEN parallax / 40 > 0.05 OR exposure_score < 0.5 THEN parallax ELSE 0.0 END, 6) AS useful_px FROM f""",
-    "clock_gates": f"WITH {POINTS.replace('series AS', 'series AS', 1)}, {_RUNS}, {_FRAMES}, v AS (SELECT flight_id, max(t_ms) AS video_ms FROM frame GROUP BY ALL), fit AS (SELECT v.flight_id, abs(end_ms - start_ms - video_ms) <= greatest(2000.0, video_ms * 0.01) AS fits FROM v LEFT JOIN run USING (flight_id)), s AS (SELECT flight_id, count(*) FILTER (fits) <> 1 AS assumed FROM fit GROUP BY ALL), d AS (SELECT flight_id, arg_min(alt_msl, t_ms) AS datum_m FROM point GROUP BY ALL) SELECT f.flight_id, round(CASE WHEN log_kind = 'srt' THEN 1 / 30 ELSE 0.1 END, 6) AS sigma_s, datum_m, coalesce(log_kind IN ('csv', 'gpx') AND assumed, false) AS refused FROM (SELECT DISTINCT flight_id, log_kind FROM flights) f LEFT JOIN d USING (flight_id) LEFT JOIN s USING (flight_id)",
+    "clock_gates": f"WITH {POINTS}, {_RUNS}, {_FRAMES}, v AS (SELECT flight_id, max(t_ms) AS video_ms FROM frame GROUP BY ALL), fit AS (SELECT v.flight_id, abs(end_ms - start_ms - video_ms) <= greatest(2000.0, video_ms * 0.01) AS fits FROM v LEFT JOIN run USING (flight_id)), s AS (SELECT flight_id, count(*) FILTER (fits) <> 1 AS assumed FROM fit GROUP BY ALL), d AS (SELECT flight_id, arg_min(alt_msl, t_ms) AS datum_m FROM point GROUP BY ALL) SELECT f.flight_id, round(CASE WHEN log_kind = 'srt' THEN 1 / 30 ELSE 0.1 END, 6) AS sigma_s, datum_m, coalesce(log_kind IN ('csv', 'gpx') AND assumed, false) AS refused FROM (SELECT DISTINCT flight_id, log_kind FROM flights) f LEFT JOIN d USING (flight_id) LEFT JOIN s USING (flight_id)",
     "reconstruction_ready": f"""WITH {_CAMERAS}, q AS (SELECT flight_id AS f, x FROM ({SEQUENCE_SQL['resample_interpolate']})), n AS (SELECT f AS flight_id, count(*) AS frames, count(x) AS placed FROM q GROUP BY ALL), m AS (SELECT flight_id, quantile_cont(round(degrees(acos(greatest(-1.0, least(1.0, -r22)))) * 1000), 0.5) AS tilt, quantile_cont(round(pitch * 1000), 0.5) AS p FROM camera GROUP BY ALL)
 SELECT flight_id, frames, placed, placed >= 3 AND placed >= 0.7 * frames AS surface_ready, placed >= 3 AND placed >= 0.7 * frames AND coalesce(tilt <= 20000, false) AS heights_ready, coalesce(abs(p + 90000) > 30000, false) AS not_nadir FROM n LEFT JOIN m USING (flight_id)""",
     "camera_validation": f"""WITH {_CAMERAS}, {_BEFORE}, c AS (SELECT *, (x_ + x + nx) / 3 AS mx, (y_ + y + ny) / 3 AS my, (z_ + z + nz) / 3 AS mz FROM before WHERE id_ IS NOT NULL AND nid IS NOT NULL),
