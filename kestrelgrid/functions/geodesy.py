@@ -54,6 +54,35 @@ def utm_epsg(lat: Column, lon: Column) -> Column:
     return F.when((lat >= -80) & (lat <= 84) & lon.between(-180, 180), F.when(lat >= 0, 32600).otherwise(32700) + zone)
 
 
+def utm_forward(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing in metres in a UTM zone (northings of the south from 10,000 km), by the Gauss-Krueger series to the third order: to a millimetre inside a zone."""
+    n = FLAT / (2 - FLAT)
+    mean = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = math.sqrt(E2)
+    s, d = F.sin(F.radians(lat)), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    east = sum((c * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, c in enumerate(series, 1)), eta)
+    north = sum((c * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, c in enumerate(series, 1)), xi)
+    return 500_000 + 0.9996 * mean * east, F.when(lat < 0, 10_000_000.0).otherwise(0.0) + 0.9996 * mean * north
+
+
+def utm_forward_sql(lat: str, lon: str, zone: str) -> tuple[str, str]:
+    """utm_forward() as SQL text over a row with lat, lon and zone; DuckDB lacks some hyperbolic functions, so they are written out."""
+    n = FLAT / (2 - FLAT)
+    mean = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = math.sqrt(E2)
+    atanh, sinh, cosh = (lambda x: f"(0.5 * ln((1 + {x}) / (1 - {x})))"), (lambda x: f"((exp({x}) - exp(-({x}))) / 2)"), (lambda x: f"((exp({x}) + exp(-({x}))) / 2)")
+    s, d = f"sin(radians({lat}))", f"radians({lon} - ({zone} * 6 - 183))"
+    t = sinh(f"({atanh(s)} - {e!r} * {atanh(f'({e!r} * {s})')})")
+    xi, eta = f"atan2({t}, cos({d}))", atanh(f"(sin({d}) / sqrt(1 + {t} * {t}))")
+    east = " + ".join([eta, *(f"{c!r} * cos({2 * k} * {xi}) * {sinh(f'({2 * k} * {eta})')}" for k, c in enumerate(series, 1))])
+    north = " + ".join([xi, *(f"{c!r} * sin({2 * k} * {xi}) * {cosh(f'({2 * k} * {eta})')}" for k, c in enumerate(series, 1))])
+    return f"(500000 + {0.9996 * mean!r} * ({east}))", f"(CASE WHEN {lat} < 0 THEN 10000000.0 ELSE 0.0 END + {0.9996 * mean!r} * ({north}))"
+
+
 def wrap_degrees(a: Column) -> Column:
     """An angle in [-180, 180)."""
     return F.pmod(a + 180, F.lit(360.0)) - 180

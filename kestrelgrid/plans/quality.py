@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelgrid.functions.camera import cross, degrees_between, dot, unit
+from kestrelgrid.functions.geodesy import utm_epsg, utm_forward, utm_forward_sql
 from kestrelgrid.functions.rounding import steady, steady_sql
 from kestrelgrid.plans.camera import _CAMERAS, _LANDMARKS, _landmarks, cameras
 from kestrelgrid.plans.estimates import SQL as ESTIMATES_SQL, checkpoint_metrics, quality_outcome
 from kestrelgrid.plans.mesh import _BLOCKS, _faces
-from kestrelgrid.plans.points import POINTS, points
+from kestrelgrid.plans.points import POINTS, SERIES, points, series
 from kestrelgrid.plans.sequence import SQL as SEQUENCE_SQL, gps_grade, ground_speed_central
 from kestrelgrid.plans.surface import _DSM, CELL, RES, grid_dsm
 from kestrelgrid.sources.tables import table
@@ -20,6 +21,10 @@ BY = ["flight_id"]
 SUBMAP, REACH, ENOUGH, MOST_LEVEL, SCALES = 10, 25.0, 20, 60.0, (0.1, 10.0)
 
 
+#: Alignment of the map: rows (a, b, shift).
+ALIGNMENT = (1.0, 0.0001, 0.4, -0.0001, 1.0, -0.3)
+
+
 def submap_levels(spark: SparkSession, d: str) -> DataFrame:
     """Of each submap the median ratio of stated to seen height above ground, and how far its ground lies off; NULL beyond plausible limits.
 
@@ -155,16 +160,31 @@ def raster_transforms(spark: SparkSession, d: str) -> DataFrame:
     return box.select("flight_id", gdal.alias("gdal"), world.alias("world_file"), steady(x + RES * (F.col("n_cols") - 1), 3).alias("last_x"), steady(y - RES * (F.col("n_rows") - 1), 3).alias("last_y"))
 
 
+def map_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Every fix in its flight's UTM zone, moved by an affine alignment of the map: shifted by (0.4, -0.3) m and turned by a ten-thousandth."""
+    f = series(spark, d).where("geo.lat BETWEEN -80 AND 84 AND geo.lon BETWEEN -180 AND 180 AND NOT (geo.lat = 0 AND geo.lon = 0)").select("flight_id", "t_ms", "sample_id", F.col("geo.lat").alias("lat"), F.col("geo.lon").alias("lon"))
+    first = f.groupBy("flight_id").agg(F.min_by(utm_epsg(F.col("lat"), F.col("lon")) % 100, "t_ms").alias("zone"))
+    f = f.join(first, BY)
+    e, n = utm_forward(F.col("lat"), F.col("lon"), F.col("zone"))
+    f = f.withColumns({"e": e, "n": n})
+    return f.select("flight_id", "sample_id", "zone", steady(F.col("e"), 2).alias("east"), steady(F.col("n"), 2).alias("north"), *[steady(x, 2).alias(k) for k, x in zip(("map_x", "map_y"), affine(F.col("e"), F.col("n"), ALIGNMENT))])
+
+
+def affine(x: Column, y: Column, m: tuple[float, ...]) -> tuple[Column, Column]:
+    """A place moved by the two rows (a, b, shift) of an alignment."""
+    return m[0] * x + m[1] * y + m[2], m[3] * x + m[4] * y + m[5]
+
+
 def survey_report(spark: SparkSession, d: str) -> DataFrame:
     """The report of each flight, a row for each figure: what was not measured says so and is never 0; the outcome is unverified where none is known."""
     p = points(spark, d).groupBy("flight_id").agg(F.count("*").alias("fixes"), F.countDistinct("view").alias("views"), *[F.count_if(F.col("tier") == k).alias(f"t{k}") for k in (2, 1, 0)])
     f = table(spark, d, "flights").select("flight_id").distinct()
     for part in (p, gps_grade(spark, d), checkpoint_metrics(spark, d).select("flight_id", "rmse_h", "rmse_v"), quality_outcome(spark, d)):
         f = f.join(part, BY, "left")
-    share = lambda k: F.format_string("%.2f", 100 * F.col(f"t{k}") / F.col("fixes"))
+    share = lambda k: F.format_string("%.2f", steady(100 * F.col(f"t{k}") / F.col("fixes"), 2))
     figures = {
         "fixes": F.col("fixes").cast("string"), "views": F.col("views").cast("string"), "measured_pct": share(2), "low_pct": share(1), "inferred_pct": share(0),
-        "rmse_h_m": F.format_string("%.3f", "rmse_h"), "rmse_v_m": F.format_string("%.3f", "rmse_v"), "median_accuracy_m": F.format_string("%.3f", steady(F.col("median_acc"), 3)), "grade": F.col("grade"),
+        "rmse_h_m": F.format_string("%.3f", steady(F.col("rmse_h"), 3)), "rmse_v_m": F.format_string("%.3f", steady(F.col("rmse_v"), 3)), "median_accuracy_m": F.format_string("%.3f", steady(F.col("median_acc"), 3)), "grade": F.col("grade"),
     }
     needs = {"measured_pct": "fixes", "low_pct": "fixes", "inferred_pct": "fixes", "rmse_h_m": "rmse_h", "rmse_v_m": "rmse_v", "median_accuracy_m": "median_acc"}
     rows = [F.struct(F.lit(k).alias("figure"), F.coalesce(F.when(F.col(needs[k]).isNotNull(), v) if k in needs else v, F.lit("not computed")).alias("value")) for k, v in figures.items()]
@@ -172,6 +192,7 @@ def survey_report(spark: SparkSession, d: str) -> DataFrame:
     return f.select("flight_id", F.explode(F.array(*rows)).alias("r")).select("flight_id", "r.figure", "r.value")
 
 
+_EAST, _NORTH = utm_forward_sql("lat", "lon", "zone")
 _SPEED = SEQUENCE_SQL["ground_speed_central"]
 _SIDE = "CASE log_kind WHEN 'srt' THEN 392 WHEN 'csv' THEN 518 ELSE 770 END"
 _GB = f"({WEIGHTS_GB} + {{n}} * {PICTURE_GB} * (side / {SIDE}.0) ** 2 + {{n}} * ({{n}} - 1) / 2.0 * {PAIR_GB} * (side / {SIDE}.0) ** 2) * {MARGIN}"
@@ -204,11 +225,15 @@ SELECT flight_id, sample_id, {steady_sql('sqrt(h * h + way * way)', 4)} AS sigma
 SELECT flight_id, grade, bias_m, greatest(bias_m, coalesce(rmse_h, 0.0)) AS accuracy_m FROM b""",
     "raster_transforms": f"""WITH {POINTS}, b AS (SELECT flight_id, min(x) + {RES / 2} AS x, max(y) - {RES / 2} AS y, greatest(1, ceil((max(x) - min(x)) / {RES})) AS n_cols, greatest(1, ceil((max(y) - min(y)) / {RES})) AS n_rows FROM point GROUP BY flight_id)
 SELECT flight_id, printf('%.3f {RES:.3f} 0.000 %.3f 0.000 {-RES:.3f}', x, y) AS gdal, printf('{RES:.3f}' || chr(10) || '0.000' || chr(10) || '0.000' || chr(10) || '{-RES:.3f}' || chr(10) || '%.3f' || chr(10) || '%.3f', x, y) AS world_file, {steady_sql(f'x + {RES} * (n_cols - 1)', 3)} AS last_x, {steady_sql(f'y - {RES} * (n_rows - 1)', 3)} AS last_y FROM b""",
+    "map_coordinates": f"""WITH {SERIES}, f AS (SELECT flight_id, t_ms, sample_id, geo.lat AS lat, geo.lon AS lon FROM series WHERE geo.lat BETWEEN -80 AND 84 AND geo.lon BETWEEN -180 AND 180 AND NOT (geo.lat = 0 AND geo.lon = 0)),
+z AS (SELECT flight_id, arg_min(CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lon >= 0 AND lon < 9 THEN 31 WHEN lat >= 72 AND lon >= 9 AND lon < 21 THEN 33 WHEN lat >= 72 AND lon >= 21 AND lon < 33 THEN 35 WHEN lat >= 72 AND lon >= 33 AND lon < 42 THEN 37 ELSE least(floor((lon + 180) / 6) + 1, 60) END, t_ms) AS zone FROM f GROUP BY ALL),
+u AS (SELECT f.flight_id, sample_id, CAST(zone AS INTEGER) AS zone, {_EAST} AS e, {_NORTH} AS n FROM f JOIN z ON z.flight_id = f.flight_id)
+SELECT flight_id, sample_id, zone, {steady_sql('e', 2)} AS east, {steady_sql('n', 2)} AS north, {steady_sql('1.0 * e + 0.0001 * n + 0.4', 2)} AS map_x, {steady_sql('-0.0001 * e + 1.0 * n - 0.3', 2)} AS map_y FROM u""",
     "survey_report": f"""WITH g AS ({SEQUENCE_SQL['gps_grade']}), c AS ({ESTIMATES_SQL['checkpoint_metrics']}), q AS ({ESTIMATES_SQL['quality_outcome']}), {POINTS}, p AS (SELECT flight_id, count(*) AS fixes, count(DISTINCT view) AS views, count(*) FILTER (tier = 2) AS t2, count(*) FILTER (tier = 1) AS t1, count(*) FILTER (tier = 0) AS t0 FROM point GROUP BY ALL),
 j AS (SELECT f.flight_id, fixes, views, t2, t1, t0, median_acc, grade, rmse_h, rmse_v, outcome FROM (SELECT DISTINCT flight_id FROM flights) f LEFT JOIN p ON p.flight_id = f.flight_id LEFT JOIN g ON g.flight_id = f.flight_id LEFT JOIN c ON c.flight_id = f.flight_id LEFT JOIN q ON q.flight_id = f.flight_id)
 SELECT flight_id, figure, coalesce(value, 'not computed') AS value FROM (
-  SELECT flight_id, 'fixes' AS figure, CAST(fixes AS VARCHAR) AS value FROM j UNION ALL SELECT flight_id, 'views', CAST(views AS VARCHAR) FROM j UNION ALL SELECT flight_id, 'measured_pct', CASE WHEN fixes IS NOT NULL THEN printf('%.2f', 100.0 * t2 / fixes) END FROM j UNION ALL SELECT flight_id, 'low_pct', CASE WHEN fixes IS NOT NULL THEN printf('%.2f', 100.0 * t1 / fixes) END FROM j
-  UNION ALL SELECT flight_id, 'inferred_pct', CASE WHEN fixes IS NOT NULL THEN printf('%.2f', 100.0 * t0 / fixes) END FROM j UNION ALL SELECT flight_id, 'rmse_h_m', CASE WHEN rmse_h IS NOT NULL THEN printf('%.3f', rmse_h) END FROM j UNION ALL SELECT flight_id, 'rmse_v_m', CASE WHEN rmse_v IS NOT NULL THEN printf('%.3f', rmse_v) END FROM j
+  SELECT flight_id, 'fixes' AS figure, CAST(fixes AS VARCHAR) AS value FROM j UNION ALL SELECT flight_id, 'views', CAST(views AS VARCHAR) FROM j UNION ALL SELECT flight_id, 'measured_pct', CASE WHEN fixes IS NOT NULL THEN printf('%.2f', {steady_sql('100.0 * t2 / fixes', 2)}) END FROM j UNION ALL SELECT flight_id, 'low_pct', CASE WHEN fixes IS NOT NULL THEN printf('%.2f', {steady_sql('100.0 * t1 / fixes', 2)}) END FROM j
+  UNION ALL SELECT flight_id, 'inferred_pct', CASE WHEN fixes IS NOT NULL THEN printf('%.2f', {steady_sql('100.0 * t0 / fixes', 2)}) END FROM j UNION ALL SELECT flight_id, 'rmse_h_m', CASE WHEN rmse_h IS NOT NULL THEN printf('%.3f', {steady_sql('rmse_h', 3)}) END FROM j UNION ALL SELECT flight_id, 'rmse_v_m', CASE WHEN rmse_v IS NOT NULL THEN printf('%.3f', {steady_sql('rmse_v', 3)}) END FROM j
   UNION ALL SELECT flight_id, 'median_accuracy_m', CASE WHEN median_acc IS NOT NULL THEN printf('%.3f', {steady_sql('median_acc', 3)}) END FROM j UNION ALL SELECT flight_id, 'grade', grade FROM j UNION ALL SELECT flight_id, 'outcome', coalesce(outcome, 'unverified') FROM j)""",
 }
 QUERIES = {name: globals()[name] for name in SQL}
