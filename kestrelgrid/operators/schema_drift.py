@@ -118,12 +118,8 @@ def read_payload(payload: str | None, layout: str | None) -> Iterator[list[tuple
             yield list(_flat(value, ""))
 
 
-def field_forms(files: DataFrame) -> DataFrame:
-    """(file_id, producer, log_stream, written_at, path, quantity, profile, form, n_values) of each field of each file.
-
-    ``form`` is that of all values, decimal for integers and decimals together, string for any other mixture, and NULL
-    where the field has no value.
-    """
+def read_fields(files: DataFrame) -> DataFrame:
+    """(file_id, producer, log_stream, written_at, path, quantity, profile, integer, decimal, boolean, string) of each field of each delivered file: how many values have each form."""
     kept = files.select("file_id", "producer", "log_stream", "written_at", "layout", "payload")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +149,20 @@ def field_forms(files: DataFrame) -> DataFrame:
 
     kinds = dict(kept.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in ("file_id", "producer", "log_stream", "written_at"))
+    return kept.mapInArrow(read, f"{schema}, path string, quantity string, profile array<double>, " + ", ".join(f"{f} bigint" for f in FORMS))
+
+
+def field_forms(files: DataFrame) -> DataFrame:
+    """(file_id, producer, log_stream, written_at, path, quantity, profile, form, n_values) of each field of each file.
+
+    ``form`` is that of all values, decimal for integers and decimals together, string for any other mixture, and NULL
+    where the field has no value.
+    """
+    return _merged_forms(read_fields(files), ["producer", "log_stream", "written_at", "quantity", "profile"]).select("file_id", "producer", "log_stream", "written_at", "path", "quantity", "profile", "form", "n_values")
+
+
+def _merged_forms(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each file and path: second deliveries of a file say the same, so the largest count is the count."""
     n = {form: F.col(form) for form in FORMS}
     total = sum(n.values(), F.lit(0))
     form = (
@@ -162,10 +172,8 @@ def field_forms(files: DataFrame) -> DataFrame:
         .when(n["integer"] + n["decimal"] == total, "decimal")
         .otherwise("string")
     )
-    rows = kept.mapInArrow(read, f"{schema}, path string, quantity string, profile array<double>, " + ", ".join(f"{f} bigint" for f in FORMS))
-    # second deliveries of a file say the same, so the largest count is the count
-    merged = rows.groupBy("file_id", "path").agg(*[F.first(k).alias(k) for k in ("producer", "log_stream", "written_at", "quantity", "profile")], *[F.max(f).alias(f) for f in FORMS])
-    return merged.select("file_id", "producer", "log_stream", "written_at", "path", "quantity", "profile", form.alias("form"), total.alias("n_values"))
+    merged = rows.groupBy("file_id", "path").agg(*[F.first(k).alias(k) for k in keep], *[F.max(f).alias(f) for f in FORMS])
+    return merged.select("file_id", "path", *keep, form.alias("form"), total.alias("n_values"))
 
 
 def file_order(files: DataFrame) -> DataFrame:
@@ -183,8 +191,9 @@ def file_order(files: DataFrame) -> DataFrame:
 def schema_changes(files: DataFrame) -> DataFrame:
     """(file_id, change_kind, old_field, new_field) of each file against the one before it of its producer and stream."""
     order = file_order(files.select("file_id", "producer", "log_stream", "written_at"))
-    forms = written(field_forms(files).select("file_id", "path", "quantity", "form", "profile"))
-    fields = forms.drop("profile").join(order, "file_id")
+    read = written(read_fields(files).drop("producer", "log_stream", "written_at"))
+    # one exchange by file serves the count and the join
+    fields = _merged_forms(read.drop("profile").repartition("file_id"), ["quantity"]).drop("n_values").join(order, "file_id")
     whose = ["producer", "log_stream", "quantity"]
     in_hour = Window.partitionBy(*whose, "hour").orderBy("place")
     earlier = in_hour.rowsBetween(Window.unboundedPreceding, -1)
@@ -222,7 +231,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
     gone = gone.select("producer", "log_stream", (F.col("place") + 1).alias("place"), F.lit("removed").alias("change_kind"), F.col("path").alias("old_field"), F.lit("").alias("new_field"), "own")
     gone = gone.join(order.select("producer", "log_stream", "place", "file_id"), ["producer", "log_stream", "place"])
     changes = written(here.unionByName(gone.select("file_id", "change_kind", "old_field", "new_field", "own")))
-    again = _renamed_by_profile(changes, forms)
+    again = _renamed_by_profile(changes, read)
     plain = ["file_id", "change_kind", "old_field", "new_field"]
     taken = again.select("file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), "new_field").unionByName(again.select("file_id", F.lit("removed").alias("change_kind"), "old_field", F.lit("").alias("new_field")))
     kinds = F.array(F.lit("renamed"), F.when(F.col("old_form") != F.col("new_form"), "retyped"))
@@ -230,7 +239,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
     return changes.select(*plain).join(taken, plain, "left_anti").unionByName(more.select(*plain))
 
 
-def _renamed_by_profile(changes: DataFrame, forms: DataFrame) -> DataFrame:
+def _renamed_by_profile(changes: DataFrame, read: DataFrame) -> DataFrame:
     """(file_id, old_field, new_field, old_form, new_form) of the fields that went and came in one file and are each other's nearest by profile, one of them at least in no table of names.
 
     A file's fields, not its rows, meet.
@@ -240,8 +249,8 @@ def _renamed_by_profile(changes: DataFrame, forms: DataFrame) -> DataFrame:
         side = changes.where(F.col("change_kind") == kind).select("file_id", F.col("own").alias(kind))
         pairs = side if pairs is None else pairs.join(side, "file_id").where(~(F.col("removed.named") & F.col("added.named")))
     for kind in ("removed", "added"):
-        profile = forms.where("profile IS NOT NULL").select(F.col("file_id").alias("file"), "path", F.col("profile").alias(f"{kind}_profile"))
-        pairs = pairs.join(profile, (F.col(f"{kind}.file") == profile["file"]) & (F.col(f"{kind}.path") == profile["path"])).drop("file", "path")
+        profile = read.where("profile IS NOT NULL").select(F.col("file_id").alias("file"), "path", F.col("profile").alias(f"{kind}_profile"))
+        pairs = pairs.join(profile, (F.col(f"{kind}.file") == profile["file"]) & (F.col(f"{kind}.path") == profile["path"])).drop("file", "path").dropDuplicates(["file_id", "removed", "added"])
     pairs = pairs.withColumn("far", profile_distance(F.col("removed_profile"), F.col("added_profile"))).where(F.col("far") <= NEAR_PROFILE)
     first = lambda own, other: F.row_number().over(Window.partitionBy("file_id", f"{own}.path").orderBy("far", f"{other}.path"))
     best = pairs.withColumns({"a": first("removed", "added"), "b": first("added", "removed")}).where("a = 1 AND b = 1")
