@@ -7,9 +7,9 @@ it of the same producer and stream. Names of one quantity in the table of names
 no table, a field that went and one that came are one field renamed if their profiles are each other's nearest and near.
 ``typed_records`` projects all files onto typed columns, with what could not be read.
 
-A producer with a third of all files is not one task's work: files are numbered, and fields carried forward, inside
-(producer, stream, hour), and only an hour's outcome, one row for each quantity, is carried from hour to hour. Payloads are
-read once, into a table in the shared folder.
+A producer with a third of all files is not one task's work: files are numbered inside (producer, stream, hour), fields
+carried forward inside runs of 1,024 files, and only an hour's count and a run's outcome, one row for each quantity, are
+carried on. Payloads are read once, into a table in the shared folder.
 
 Defined results
 ---------------
@@ -40,6 +40,8 @@ _PLAIN = re.compile(r"([+-]?[0-9]+)|([+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]
 FORMS = ("integer", "decimal", "boolean", "string")
 #: Values a profile needs, and the largest distance of two profiles of one field.
 PROFILED, NEAR_PROFILE = 3, 0.5
+#: Files whose fields are carried forward in one task.
+RUN = 1024
 
 
 class _Number(str):
@@ -193,29 +195,29 @@ def schema_changes(files: DataFrame) -> DataFrame:
     order = file_order(files.select("file_id", "producer", "log_stream", "written_at"))
     read = written(read_fields(files).drop("producer", "log_stream", "written_at"))
     # one exchange by file serves the count and the join
-    fields = _merged_forms(read.drop("profile").repartition("file_id"), ["quantity"]).drop("n_values").join(order, "file_id")
+    fields = _merged_forms(read.drop("profile").repartition("file_id"), ["quantity"]).drop("n_values").join(order.drop("hour"), "file_id").withColumn("run", F.floor(F.col("place") / RUN))
     whose = ["producer", "log_stream", "quantity"]
-    in_hour = Window.partitionBy(*whose, "hour").orderBy("place")
-    earlier = in_hour.rowsBetween(Window.unboundedPreceding, -1)
+    in_run = Window.partitionBy(*whose, "run").orderBy("place")
+    earlier = in_run.rowsBetween(Window.unboundedPreceding, -1)
     near = fields.select(
-        "file_id", *whose, "hour", "place", "n_files", "path", "form",
-        F.lag(F.struct("place", "path")).over(in_hour).alias("prev"),
-        F.lead("place").over(in_hour).alias("next_place"),
+        "file_id", *whose, "run", "place", "n_files", "path", "form",
+        F.lag(F.struct("place", "path")).over(in_run).alias("prev"),
+        F.lead("place").over(in_run).alias("next_place"),
         F.last("form", ignorenulls=True).over(earlier).alias("prev_form"),
     )
-    hours = fields.groupBy(*whose, "hour").agg(
+    runs = fields.groupBy(*whose, "run").agg(
         F.max(F.struct("place", "path")).alias("last"), F.min("place").alias("first_place"), F.max(F.when(F.col("form").isNotNull(), F.struct("place", "form"))).getField("form").alias("last_form")
     )
-    over = Window.partitionBy(*whose).orderBy("hour")
-    hours = hours.select(
-        *whose, "hour",
-        F.lag("last").over(over).alias("hour_prev"),
-        F.lead("first_place").over(over).alias("hour_next"),
-        F.last("last_form", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("hour_form"),
+    over = Window.partitionBy(*whose).orderBy("run")
+    runs = runs.select(
+        *whose, "run",
+        F.lag("last").over(over).alias("run_prev"),
+        F.lead("first_place").over(over).alias("run_next"),
+        F.last("last_form", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("run_form"),
     )
-    rows = near.join(hours, [*whose, "hour"]).select(
+    rows = near.join(runs, [*whose, "run"]).select(
         "file_id", "producer", "log_stream", "quantity", "place", "n_files", "path", "form",
-        F.coalesce("prev", "hour_prev").alias("prev"), F.coalesce("next_place", "hour_next").alias("next_place"), F.coalesce("prev_form", "hour_form").alias("prev_form"),
+        F.coalesce("prev", "run_prev").alias("prev"), F.coalesce("next_place", "run_next").alias("next_place"), F.coalesce("prev_form", "run_form").alias("prev_form"),
     )
     old = F.col("prev.path")
     stayed = F.coalesce(F.col("prev.place") == F.col("place") - 1, F.lit(False))

@@ -38,6 +38,19 @@ def test_changes_across_months(spark):
     }
 
 
+def test_runs_of_files_say_the_same(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = []
+    for k in range(40):
+        names = [n for n in ("t", "lat", "Latitude", "n_sats", "foo", "bar") if rnd.random() < 0.6]
+        rows.append((k, "pq"[k % 2], "csv", rnd.randrange(90), ",".join(names) + "\n" + ",".join(rnd.choice(["1", "1.5", "x", ""]) for _ in names) + "\n"))
+    df = files(spark, rows)
+    whole = sorted(tuple(r) for r in schema_changes(df).collect())
+    for size in (1, 3):
+        monkeypatch.setattr("kestrelgrid.operators.schema_drift.RUN", size)
+        assert sorted(tuple(r) for r in schema_changes(df).collect()) == whole and len(whole) > 50
+
+
 def test_forms_and_empty(spark):
     df = files(spark, [(1, None, "csv", 0, "a,b,c,d\n1,1,true,x\n2.,2,false,1\n\n,,,\n")])
     assert {r.path: (r.form, r.n_values) for r in field_forms(df).collect()} == {"a": ("decimal", 2), "b": ("integer", 2), "c": ("boolean", 2), "d": ("string", 2)}
