@@ -290,7 +290,7 @@ SELECT *, coalesce(u >= 0 AND u < {SIZE[0]} AND v >= 0 AND v < {SIZE[1]}, false)
     "confidence_tiers": f"WITH {POINTS}, p AS (SELECT flight_id, sample_id, 1 / (1 + acc) AS raw, tier FROM point WHERE acc >= 0), done AS (SELECT coalesce(bool_and(raw IN (0, 1, 2)), true) AS d FROM p) SELECT flight_id, sample_id, CASE WHEN d THEN CAST(raw AS INTEGER) WHEN raw >= 0.8 THEN 2 WHEN raw >= 0.3 THEN 1 ELSE 0 END AS raw_tier, tier AS held_tier, CAST(round_even(least(greatest(round(raw, 6), 0.0), 1.0) * 255, 0) AS INTEGER) AS raw_byte FROM p, done",
     "flight_intrinsics": """WITH f AS (SELECT DISTINCT flight_id, log_kind, CASE lower(trim(airframe)) WHEN 'quad' THEN 78.0 WHEN 'fixed-wing' THEN 62.0 WHEN 'vtol' THEN 70.0 END AS fov FROM flights),
 g AS (SELECT flight_id, CASE WHEN log_kind = 'srt' THEN 'user' WHEN fov IS NOT NULL THEN 'camera_db' ELSE 'default_guess' END AS source, CASE WHEN log_kind = 'srt' THEN 1500.0 ELSE 960 / tan(radians(coalesce(fov, 84.0)) / 2) END AS fx FROM f)
-SELECT flight_id, source, round(fx, 6) AS fx, 960.0 AS cx, round(fx / 2, 6) AS half_fx, 480.0 AS half_cx, round(fx * 1.05, 6) AS corrected_fx FROM g""",
+SELECT flight_id, source, round(fx, 6) AS fx, 960.0::DOUBLE AS cx, round(fx / 2, 6) AS half_fx, 480.0::DOUBLE AS half_cx, round(fx * 1.05, 6) AS corrected_fx FROM g""",
     "corrected_values": f"""WITH f AS (SELECT DISTINCT flight_id, frame_index, mean_luma, TRY_CAST(floor(t / 10) AS BIGINT) AS span FROM frames WHERE flight_id IS NOT NULL AND isfinite(t) AND mean_luma IS NOT NULL AND NOT isnan(mean_luma) AND t >= 0 AND t < 9e12),
 g AS (SELECT flight_id, span, {steady_sql('greatest(0.4, least(2.5, 100 / avg(mean_luma)))', 6)} AS gain FROM f GROUP BY ALL) SELECT flight_id, frame_index, gain, {steady_sql('greatest(0.0, least(255.0, mean_luma * gain))', 4)} AS luma FROM f JOIN g USING (flight_id, span)""",
     "corrected_depths": f"WITH {POINTS} SELECT flight_id, sample_id, CASE WHEN alt_rel > 1e-6 THEN {steady_sql('1.02 * alt_rel + 0.5', 4)} ELSE 0.0 END AS depth FROM point WHERE alt_rel IS NOT NULL",
