@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES = ("p1_grid", "p3_drift", "p4_units", "p5_records", "sequence", "surface", "matching", "estimates", "selection", "geometry", "mesh", "camera", "fits", "quality")
+MODULES = ("p1_grid", "p3_drift", "p4_units", "p5_records", "sequence", "surface", "matching", "estimates", "selection", "geometry", "mesh", "camera", "fits", "quality", "views")
 
 
 def _merged(attribute: str) -> dict:
