@@ -123,7 +123,7 @@ def similar_covariance(scale: Column, m: Vector, cov: Vector) -> list[Column]:
 
 
 def semi_axes(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> list[Column]:
-    """One-sigma half axes of a covariance, the longest first: roots of the eigenvalues in closed form."""
+    """One-sigma half axes of a covariance, the longest first: roots of the eigenvalues in closed form. An axis shorter than a ten-thousandth of the first is lost in its rounding."""
     mean = (xx + yy + zz) / 3
     a, b, c = xx - mean, yy - mean, zz - mean
     p = F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6)

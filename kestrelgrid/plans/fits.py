@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelgrid.functions.camera import flat, in_camera
-from kestrelgrid.functions.rounding import steady
+from kestrelgrid.functions.rounding import steady, steady_sql
 from kestrelgrid.operators.clock_lag import estimate_lags
 from kestrelgrid.operators.grid import voxel
 from kestrelgrid.operators.split_windows import numbered
 from kestrelgrid.operators.similarity import R, robust_similarity, similarity_fits
 from kestrelgrid.operators.tracks import build_tracks
 from kestrelgrid.operators.triangulation import triangulate, widest_angles
-from kestrelgrid.plans.camera import _landmarks, cameras
+from kestrelgrid.plans.camera import _CAMERAS, _LANDMARKS, _landmarks, cameras
 from kestrelgrid.plans.points import points, series
 from kestrelgrid.plans.sequence import moves
 from kestrelgrid.sources.tables import table
@@ -96,6 +96,20 @@ def landmark_triangulation(spark: SparkSession, d: str) -> DataFrame:
     return j.select("flight_id", "view", "n", steady(F.when(sure, off), 1).alias("off_m"), steady(F.when(sure, F.col("angle_deg")), 1).alias("angle_deg"))
 
 
-SQL: dict[str, str] = {}
-# no SQL: singular values, searches over lags, chaining in order and normal equations are tested against numpy and brute force
+_AXES = {k: (f"r{i}0", f"r{i}1", f"r{i}2") for i, k in enumerate("xyz")}
+_PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"), ("x", "c"), ("y", "c"), ("z", "c")]
+# no SQL for the others: singular values, searches over lags and chaining in order are tested against numpy and brute force
+SQL = {
+    "landmark_triangulation": f"""WITH {_CAMERAS}, {_LANDMARKS}, off AS (SELECT c.*, lx - x AS ox, ly - y AS oy, lz - z AS oz, lx, ly, lz FROM camera c JOIN landmark USING (flight_id, view)),
+seen AS (SELECT *, r00 * ox + r10 * oy + r20 * oz AS sx, r01 * ox + r11 * oy + r21 * oz AS sy, r02 * ox + r12 * oy + r22 * oz AS sz FROM off),
+s AS (SELECT *, {steady_sql('sx / sz', 4)} AS xn, {steady_sql('sy / sz', 4)} AS yn FROM seen WHERE sz > 1 AND abs(sx) <= 2 * sz AND abs(sy) <= 2 * sz),
+e AS (SELECT *, {', '.join(f'first_value({k}) OVER w AS o{k}_, xn * {c} - {a} AS a{k}, yn * {c} - {b} AS h{k}' for k, (a, b, c) in _AXES.items())} FROM s WINDOW w AS (PARTITION BY flight_id, view ORDER BY x, y, z)),
+q AS (SELECT *, {', '.join(' + '.join(f'{n}{k} * ({k} - o{k}_)' for k in 'xyz') + f' AS {n}c' for n in 'ah')} FROM e),
+t AS (SELECT flight_id, view, count(*) AS n, any_value(ox_) AS ox, any_value(oy_) AS oy, any_value(oz_) AS oz, any_value(lx) AS lx, any_value(ly) AS ly, any_value(lz) AS lz, {', '.join(f'sum(a{i} * a{j} + h{i} * h{j}) AS {i}{j}' for i, j in _PAIRS)} FROM q GROUP BY ALL),
+m AS (SELECT *, yy * zz - yz * yz AS ax, xz * yz - xy * zz AS ay, xy * yz - xz * yy AS az, xx * zz - xz * xz AS b_y, xy * xz - xx * yz AS bz, xx * yy - xy * xy AS cz FROM t), d AS (SELECT *, xx * ax + xy * ay + xz * az AS det FROM m),
+p AS (SELECT flight_id, view, n, lx, ly, lz, CASE WHEN n >= 2 AND det > 1e-12 * (xx + yy + zz) ** 3 THEN ox + (ax * xc + ay * yc + az * zc) / det END AS px, oy + (ay * xc + b_y * yc + bz * zc) / det AS py, oz + (az * xc + bz * yc + cz * zc) / det AS pz FROM d),
+u AS (SELECT s.flight_id, s.view, sample_id, (px - x) / l AS dx, (py - y) / l AS dy, (pz - z) / l AS dz FROM (SELECT s.*, px, py, pz, sqrt((px - x) ** 2 + (py - y) ** 2 + (pz - z) ** 2) AS l FROM s JOIN p ON p.flight_id = s.flight_id AND p.view = s.view WHERE px IS NOT NULL) s WHERE l > 1e-9),
+f AS (SELECT *, first_value(dx) OVER w AS fx, first_value(dy) OVER w AS fy, first_value(dz) OVER w AS fz FROM u WINDOW w AS (PARTITION BY flight_id, view ORDER BY sample_id)), g AS (SELECT flight_id, view, degrees(acos(greatest(-1.0, least(1.0, min(dx * fx + dy * fy + dz * fz))))) AS deg FROM f GROUP BY ALL)
+SELECT p.flight_id, p.view, n, CASE WHEN deg >= 5 THEN {steady_sql('sqrt((px - lx) ** 2 + (py - ly) ** 2 + (pz - lz) ** 2)', 1)} END AS off_m, CASE WHEN deg >= 5 THEN {steady_sql('deg', 1)} END AS angle_deg FROM p LEFT JOIN g ON g.flight_id = p.flight_id AND g.view = p.view""",
+}
 QUERIES = {name: globals()[name] for name in ("degree_similarity", "robust_degree_similarity", "clock_lags", "place_tracks", "landmark_triangulation")}

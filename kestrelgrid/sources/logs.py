@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrelgrid.functions.field_names import normal
+from kestrelgrid.functions.geodesy import enu
 from kestrelgrid.operators.schema_drift import typed_records
 
 #: Quantities read from CSV logs, and their kinds.
@@ -147,3 +148,39 @@ def read_control_points(spark: SparkSession, path: str) -> DataFrame:
     if bad or twice:
         raise ValueError("control points need distinct ids and positions on the globe")
     return p
+
+
+def check_control_network(points: DataFrame, *, local_m: float = 1e-8, surveyed_m: float = 1e-4) -> None:
+    """Raises where a file of read_control_points() has fewer than three controls, controls on a line in either frame, or two points of any role in one place.
+
+    Spreads are taken from moments; only points whose places round alike, or next to each other, are compared.
+    """
+    lat0, lon0, alt0 = (F.first_value(c).over(Window.partitionBy("file").orderBy("id")) for c in ("lat", "lon", "alt"))
+    p = points.withColumns({"lat0": lat0, "lon0": lon0, "alt0": alt0})
+    p = p.withColumns(dict(zip(("e", "n", "u"), enu(*[F.col(c) for c in ("lat", "lon", "alt", "lat0", "lon0", "alt0")]))))
+    frames = {"local": (("x", "y", "z"), local_m, 1e-8), "surveyed": (("e", "n", "u"), surveyed_m, 1e-5)}
+    controls = p.where("role = 'control'").groupBy("file")
+    wanted = [F.count("*").alias("n")]
+    for name, (axes, _, _) in frames.items():
+        a, b, c = axes
+        cov = [F.var_pop(a), F.var_pop(b), F.var_pop(c), F.covar_pop(a, b), F.covar_pop(a, c), F.covar_pop(b, c)]
+        wanted += [v.alias(f"{name}{k}") for k, v in enumerate(cov)]
+    g = controls.agg(*wanted)
+    line = []
+    for name, (_, _, least) in frames.items():
+        xx, yy, zz, xy, xz, yz = (F.col(f"{name}{k}") for k in range(6))
+        # the sum of the minors over the trace is the second eigenvalue where the third is small, without the loss of a closed form
+        second = F.sqrt(F.greatest(F.lit(0.0), xx * yy - xy * xy + xx * zz - xz * xz + yy * zz - yz * yz) / F.nullif(xx + yy + zz, F.lit(0.0)))
+        line.append(F.coalesce(second <= F.greatest(F.lit(least), 1e-7 * F.sqrt(xx + yy + zz)), F.lit(True)))
+    bad = g.where((F.col("n") < 3) | line[0] | line[1]).limit(1).count()
+    without = p.select("file").distinct().join(g, "file", "left_anti").limit(1).count()
+    if bad or without:
+        raise ValueError("a control network needs three controls that aren't on a line")
+    for axes, within, _ in frames.values():
+        cell = [F.floor(F.col(a) / (within * 4)).cast("bigint").alias(f"c{a}") for a in axes]
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+        q = p.select("file", "id", *axes, *cell)
+        o = q.withColumn("o", around).select("file", F.col("id").alias("other"), *[F.col(a).alias(f"o{a}") for a in axes], *[(F.col(f"c{a}") + F.col(f"o.{s}")).alias(f"c{a}") for a, s in zip(axes, "ijk")])
+        far = F.sqrt(sum((F.pow(F.col(a) - F.col(f"o{a}"), 2) for a in axes), F.lit(0.0)))
+        if q.join(o, ["file", *[f"c{a}" for a in axes]]).where((F.col("id") < F.col("other")) & (far < within)).limit(1).count():
+            raise ValueError("two points of a control network are in one place")

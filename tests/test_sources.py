@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kestrelgrid.sources.logs import candidates, first_candidates, load_logs, read_control_points, read_csv_logs, read_gpx, read_srt
+from kestrelgrid.sources.logs import candidates, check_control_network, first_candidates, load_logs, read_control_points, read_csv_logs, read_gpx, read_srt
 from kestrelgrid.sources.writers import geojson_features, kml_placemarks, read_ply, write_measurements, write_ply, write_xyz
 
 
@@ -72,6 +72,18 @@ def test_control_points(spark, tmp_path):
             read_control_points(spark, str(tmp_path / f"bad{k}.json"))
 
 
+def test_control_networks(spark):
+    schema = "file string, measurement_set_id string, role string, id string, x double, y double, z double, lat double, lon double, alt double"
+    net = [("f", "m", "control", "a", 0.0, 0.0, 0.0, 47.0, 8.0, 400.0), ("f", "m", "control", "b", 100.0, 0.0, 0.0, 47.0, 8.001, 400.0), ("f", "m", "control", "c", 0.0, 100.0, 1.0, 47.001, 8.0, 401.0), ("f", "m", "checkpoint", "d", 50.0, 50.0, 0.0, 47.0005, 8.0005, 400.0)]
+    check = lambda rows: check_control_network(spark.createDataFrame(rows, schema))
+    check(net)
+    check([])
+    moved = lambda k, **new: [tuple({**dict(zip([c.split()[0] for c in schema.split(", ")], r)), **new}.values()) if i == k else r for i, r in enumerate(net)]
+    for bad in (net[:2] + net[3:], net[3:], moved(2, x=50.0, y=0.0, z=0.0), moved(2, lat=47.0, lon=8.0, alt=400.0), moved(3, x=0.0, y=0.0, z=5e-9), moved(3, lat=47.0, lon=8.0, alt=400.00005)):
+        with pytest.raises(ValueError):
+            check(bad)
+
+
 def test_point_files(spark, tmp_path):
     p = spark.createDataFrame([(1.5, 2.0, -3.25, 2), (0.0, 0.0, 0.0, None)], "x double, y double, z double, confidence int")
     write_xyz(p, str(tmp_path / "xyz"))
