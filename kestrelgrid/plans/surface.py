@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelgrid.functions.rounding import steady, steady_sql
+from kestrelgrid.operators.coverage import box_depths
 from kestrelgrid.operators.grid import consensus, counted_median, fill_nearest, nearest_rank, radius_outliers, raster_cells, voxel
 from kestrelgrid.plans.points import POINTS, points
 
@@ -248,10 +249,7 @@ def elevation_profile(spark: SparkSession, d: str) -> DataFrame:
 def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
     """Cells of 10 m that the views' bounding boxes cover, how often at median and least, and the share seen once."""
     v = points(spark, d).groupBy("flight_id", "view").agg(*[F.floor(f(a) / 10).cast("bigint").alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = v.withColumn("i", F.explode(F.sequence("lox", "hix"))).withColumn("j", F.explode(F.sequence("loy", "hiy")))
-    c = rows.groupBy("flight_id", "i", "j").agg(F.count("*").alias("seen"))
-    n = c.groupBy("flight_id", "seen").agg(F.count("*").alias("n"))
-    return n.groupBy("flight_id").agg(F.sum("n").alias("cells"), F.percentile("seen", F.lit(0.5), F.col("n")).alias("median_seen"), F.min("seen").alias("least_seen"), F.round(F.sum(F.when(F.col("seen") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("seen_once"))
+    return box_depths(v).groupBy("flight_id").agg(F.sum("n").alias("cells"), F.percentile("seen", F.lit(0.5), F.col("n")).alias("median_seen"), F.min("seen").alias("least_seen"), F.round(F.sum(F.when(F.col("seen") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("seen_once"))
 
 
 _GRID = f"""{POINTS}, box AS (SELECT flight_id, min(x) AS x_min, max(y) AS y_max, greatest(1, ceil((max(x) - min(x)) / {RES})) AS n_cols, greatest(1, ceil((max(y) - min(y)) / {RES})) AS n_rows FROM point GROUP BY flight_id),

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kestrelgrid.operators.components import shared_folder
 
+#: A table's shuffle files go when it is written; else they stay beside those of the next until the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def _state_of(spark: SparkSession, path: str) -> str:
     """Names, sizes and times of the files of a table; another state makes another derived table."""
@@ -38,5 +41,10 @@ def derived(spark: SparkSession, sf_dir: str, source: str, name: str, make: Call
     at = f"{shared_folder(spark)}/derived/{name}-{key}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        make().write.mode("overwrite").parquet(at)
+        kept = spark.conf.get(DROP_SHUFFLES, "false")
+        spark.conf.set(DROP_SHUFFLES, "true")
+        try:
+            make().write.mode("overwrite").parquet(at)
+        finally:
+            spark.conf.set(DROP_SHUFFLES, kept)
     return spark.read.parquet(at)
