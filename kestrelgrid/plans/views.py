@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +60,13 @@ def extent_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def voxel_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Voxels of 2 m that a dense grid over each flight's points and 8 m around takes, and the side of a tile of 2 million."""
+    """Voxels of 2 m that a dense grid over each flight's points and 8 m around takes, and the side of a tile of 2 million. A number of voxels beyond a bigint is NULL."""
     g = points(spark, d).groupBy("flight_id").agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"])
     margin = TRUNC + VOXEL
     dims = [F.greatest(F.lit(1), F.ceil(steady((F.col(a) + 2 * margin) / VOXEL, 6)).cast("bigint")) + 1 for a in "xyz"]
     high = F.greatest((F.col("z") + 2 * margin) / VOXEL, F.lit(1.0))
     tile = F.greatest(F.sqrt(F.greatest(TILE_VOXELS / high, F.lit(1.0))) * VOXEL, F.lit(VOXEL * 8))
-    return g.select("flight_id", (dims[0] * dims[1] * dims[2]).alias("voxels"), steady(tile, 3).alias("tile_m"))
+    return g.select("flight_id", reduce(F.try_multiply, dims).alias("voxels"), steady(tile, 3).alias("tile_m"))
 
 
 def voxel_confidence(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from kestrelgrid.operators.coverage import box_depths, cells_by_depth
 from kestrelgrid.plans.points import points
 from kestrelgrid.plans.surface import coverage_counts
+from kestrelgrid.plans.views import voxel_counts
 
 TELEMETRY = "sample_id bigint, flight_id string, t double, geo struct<lat: double, lon: double, alt_msl: double, alt_rel: double, accuracy_h: double, accuracy_v: double>, gimbal_pitch double, gimbal_roll double, gimbal_yaw double, baro_alt double, is_video boolean, received_at timestamp"
 
@@ -46,3 +47,9 @@ def test_coverage_of_a_wide_view(spark, tmp_path):
     assert [r[0] for r in p] == [0, 0, 1] and cells > 10**11
     got = {r.flight_id: (r.cells, r.median_seen, r.least_seen, r.seen_once) for r in coverage_counts(spark, d).collect()}
     assert got == {"a": (cells, 1.0, 1, 1.0), "b": (1, 2.0, 2, 0.0)}
+
+
+def test_voxels_beyond_a_bigint(spark, tmp_path):
+    d = telemetry(spark, tmp_path, [("a", 1.0, 45.0, 10.0), ("a", 2.0, 0.0, 100.0), ("a", 3.0, -44.0, -170.0), ("a", 4.0, -45.0, 10.0), ("b", 1.0, 10.0, 10.0)])
+    got = {r.flight_id: (r.voxels, r.tile_m) for r in voxel_counts(spark, d).collect()}
+    assert got == {"a": (None, 16.0), "b": (9**3, 1000.0)}
