@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 
@@ -68,39 +69,47 @@ def distance_within(a: str, b: str, limit: int) -> bool:
     return row[-1] <= limit
 
 
+#: Letters of words that are compared in one number each, and pairs of words compared at once.
+_WIDTHS, _AT_ONCE = np.array([8, 16, 32, 64]), 4_096
+
+
 def near_pairs(a: list[str], b: list[str]) -> np.ndarray:
-    """near() of each pair, edit distances being counted for all pairs at once in the band that the limit leaves."""
+    """near() of each pair, edit distances being counted for all pairs at once."""
     n, m = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
-    out = np.fromiter((x == y for x, y in zip(a, b)), bool, len(a))
+    out = np.fromiter(map(eq, a, b), bool, len(a))
     most = np.maximum(n, m)
     limit = np.where(most > 3, most // 4, (most == 3) & (n == m))
-    asked = ~out & (limit > 0) & (np.abs(n - m) <= limit)
-    asked &= np.fromiter((not (x.isdigit() or y.isdigit()) for x, y in zip(a, b)), bool, len(a))
-    for bound in np.unique(limit[asked]).tolist():
-        k = np.flatnonzero(asked & (limit == bound))
-        out[k] = _band(np.array([a[i] for i in k]), np.array([b[i] for i in k]), n[k], m[k], bound) <= bound
+    asked = np.flatnonzero(~out & (limit > 0) & (np.abs(n - m) <= limit))
+    asked = asked[np.array([not (a[i].isdigit() or b[i].isdigit()) for i in asked.tolist()], bool)]
+    width = np.searchsorted(_WIDTHS, most[asked])
+    for w in np.unique(width).tolist():
+        k = asked[width == w]
+        if w == len(_WIDTHS):
+            out[k] = [distance_within(a[i], b[i], int(limit[i])) for i in k.tolist()]
+            continue
+        for at in range(0, len(k), _AT_ONCE):
+            part = k[at : at + _AT_ONCE]
+            out[part] = _distances([a[i] for i in part.tolist()], [b[i] for i in part.tolist()], n[part], m[part], _WIDTHS[w]) <= limit[part]
     return out
 
 
-def _band(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, bound: int) -> np.ndarray:
-    """Edit distances of pairs of words whose lengths n and m differ by at most ``bound``; exact up to ``bound``."""
-    x = a.view(np.uint32).reshape(len(a), -1)
-    y = np.pad(b.view(np.uint32).reshape(len(b), -1), ((0, 0), (bound, max(0, x.shape[1] - b.dtype.itemsize // 4) + 2 * bound + 1)))
-    far, width = bound + 1, 2 * bound + 1
-    row = [np.full(len(a), max(o - bound, 0) if o >= bound else far, np.int16) for o in range(width)]
-    out = np.full(len(a), far, np.int16)
-    for i in range(1, x.shape[1] + 1):
-        new = []
-        for o in range(width):
-            j = i + o - bound  # letters of b read
-            cost = row[o] + (x[:, i - 1] != y[:, j - 1 + bound]) if j >= 1 else np.full(len(a), i if j == 0 else far, np.int16)
-            if j >= 0 and o + 1 < width:
-                cost = np.minimum(cost, row[o + 1] + 1)
-            if j >= 1 and o:
-                cost = np.minimum(cost, new[o - 1] + 1)
-            new.append(cost)
-        row = new
-        done = np.flatnonzero(n == i)
-        if len(done):
-            out[done] = np.stack([r[done] for r in row])[m[done] - i + bound, np.arange(len(done))]
+def _distances(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
+    """Edit distances of pairs of words of at most ``width`` letters: a column of differences is the bits of a number (Myers 1999, Hyyrö 2003)."""
+    number = np.dtype(f"u{width // 8}").type
+    x = np.array(a, f"U{width}").view(np.uint32).reshape(-1, width)
+    y = np.array(b, f"U{int(m.max())}").view(np.uint32).reshape(len(b), -1)
+    same = np.packbits(y.T[:, :, None] == x, axis=2, bitorder="little").view(number)[:, :, 0]
+    last = (n - 1).astype(number)
+    up, down, score = np.full(len(a), ~number(0)), np.zeros(len(a), number), n.astype(np.int16)
+    out = score.copy()
+    for j, equal in enumerate(same, 1):
+        free = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = down | ~(across | up), up & across
+        score += ((more >> last) & number(1)).astype(np.int16)
+        score -= ((less >> last) & number(1)).astype(np.int16)
+        done = m == j
+        out[done] = score[done]
+        more, less = (more << number(1)) | number(1), less << number(1)
+        up, down = less | ~(free | more), more & free
     return out

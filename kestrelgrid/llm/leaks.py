@@ -40,13 +40,14 @@ _HYPHENS = "-=¬‐‑\xad"
 #: Weighted share of an item window's words that a candidate needs to hold, wherever in the window.
 LEAST_SHARE = 0.5
 #: Candidates whose words are compared at once.
-_COMPARED = 20_000
+_COMPARED = 2_000
 #: Words fingerprinted at once.
 _STRETCH = 150_000
-#: Places of documents whose seeds are looked up at once.
-_SEEDED = 100_000
-#: Units without letters around the sequences; a walk looks at most a passage and a few units on.
-_PAD = 256
+#: Seeds that are walked from at once, so many that they stay in the processor's cache, unless a single place of a document has more.
+_SEEDED = 30_000
+#: Units without letters before, between and behind the texts of a sequence. Walks end at the first of them, and look at most
+#: ``_GAP`` units on from there.
+_GAP = 4
 
 
 def prose(text: str, n_cols, x0, y0, x1, kinds: LineKinds | None) -> str:
@@ -69,66 +70,127 @@ def letters_of(folded: list[str]) -> list[str]:
     return [c for word in folded for c in word if c.isalnum()]
 
 
-def _shapes(vocabulary: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Length of each word, the set of its letters as bits, and how many letters it has of each of 32 kinds."""
+#: Letters are counted by 12 kinds, five bits each; these are the lowest, the highest and all bits of every other kind.
+_LOW, _HIGH, _OTHER = (np.uint64(sum(x << k for k in range(0, 60, by))) for x, by in ((1, 10), (16, 5), (31, 10)))
+
+
+def _shapes(vocabulary: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Length of each word, its letters of each of 12 kinds in one number (bit 62 where a kind has too many) and of each of 32 kinds, its first and its last letter."""
     words = list(vocabulary)
     lengths = np.array([len(w) for w in words], np.int64)
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     row = np.repeat(np.arange(len(words)), lengths)
-    bits = np.zeros(len(words), np.uint64)
-    np.bitwise_or.at(bits, row, np.uint64(1) << (codes * 11 & 63).astype(np.uint64))
-    return lengths, bits, np.bincount(row * 32 + (codes & 31), minlength=32 * len(words)).reshape(-1, 32).astype(np.int16)
+    bags = np.bincount(row * 32 + (codes & 31), minlength=32 * len(words)).reshape(-1, 32).astype(np.int16)
+    # a multiplier that keeps the letters apart that folding leaves of the Latin ones
+    counts = np.bincount(row * 12 + (codes * 123 >> 5) % 12, minlength=12 * len(words)).reshape(-1, 12)
+    packed = (np.minimum(counts, 7) << np.arange(0, 60, 5)).sum(axis=1) | ((counts > 7).any(axis=1).astype(np.int64) << 62)
+    ends, codes = np.cumsum(lengths), np.append(codes, 0)
+    return lengths, packed.astype(np.uint64), bags, codes[ends - lengths], codes[ends - 1]
+
+
+def _lost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Letters of x that y has not, by packed numbers of each kind; 0 where a kind has too many."""
+    left = (x | _HIGH) - y
+    more = left & _HIGH
+    left &= more - (more >> np.uint64(4))
+    total = (left & _OTHER) + ((left >> np.uint64(5)) & _OTHER)
+    return np.where((x | y) >> np.uint64(62), 0, (total * _LOW >> np.uint64(50) & np.uint64(1023)).astype(np.int64))
+
+
+def _parted(ids: np.ndarray, starts: np.ndarray, empty: int) -> np.ndarray:
+    """Units of texts, text k beginning at ``starts[k] + (k + 1) * _GAP``, with ``empty`` around each."""
+    out = np.full(len(ids) + _GAP * len(starts), empty, np.int64)
+    out[np.arange(len(ids)) + _GAP * np.repeat(np.arange(1, len(starts)), np.diff(starts))] = ids
+    return out
+
+
+#: Lengths that _fits() tells apart, of units and of two joined; longer ones count as that.
+_ONE, _TWO = 15, 31
+#: What lengths allow: units are near, two joined of the document are near one of the item, one of the document two joined of the item.
+_SINGLE, _JOINED, _SPLIT = 1, 2, 4
+
+
+def _fits() -> np.ndarray:
+    """What lengths allow, by lengths of a unit and of that joined with the next, of the document and of the item."""
+    one, two = (x.ravel() for x in np.meshgrid(np.arange(_ONE + 1), np.arange(_TWO + 1), indexing="ij"))
+    allow = lambda n, m, cut: (np.abs(n - m) * 4 <= np.maximum(n, m)) & (np.maximum(n, m) > 2) | (n >= cut[0]) | (m >= cut[1])
+    n1, n2, m1, m2 = one[:, None], two[:, None], one[None, :], two[None, :]
+    # units without letters are near to none
+    return (((n1 > 0) & (m1 > 0)) * (_SINGLE * allow(n1, m1, (_ONE, _ONE)) + _JOINED * allow(n2, m1, (_TWO, _ONE)) + _SPLIT * allow(n1, m2, (_ONE, _TWO)))).astype(np.uint8).ravel()
+
+
+_FITS = _fits()
 
 
 class _Pairs:
-    """Units of documents beside units of items, by their places; ``bounds`` are where the texts of each row begin and end.
+    """Units of documents beside units of items, by their places in sequences of _parted(); units without letters are near to none.
 
-    Both sequences have ``_PAD`` units without letters before and behind, so that every place a walk looks at can be read.
+    Unless ``exact`` is set, units count as near wherever their lengths and letters allow it.
     """
 
     def __init__(self, known, whole, doc_words, doc_shape, flat, item_words, item_shape) -> None:
-        self.known, self.flat, self.whole = np.pad(known, _PAD, constant_values=-2), np.pad(flat, _PAD, constant_values=-3), np.pad(whole, _PAD)
-        self.words, self.bags = (doc_words, item_words), (doc_shape[2], item_shape[2])
-        # lengths and letters of single units, of each with the next, and of each with the one before
-        self.doc, self.item = ({0: (n, x), 1: _with_next(n, x), -1: tuple(np.roll(v, 1) for v in _with_next(n, x))} for n, x in ((np.pad(shape[0][ids].astype(np.int16), _PAD), np.pad(shape[1][ids], _PAD)) for shape, ids in ((doc_shape, whole), (item_shape, flat))))
-        self.bounds = ()
-
-    def inside(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        a, b, c, d = self.bounds
-        return (p >= a[rows]) & (p < b[rows]) & (q >= c[rows]) & (q < d[rows])
-
-    def equal(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return self.inside(rows, p, q) & (self.known[p + _PAD] == self.flat[q + _PAD])
+        self.known, self.whole, self.flat = known, whole, flat
+        self.words, self.shapes = (doc_words, item_words), (doc_shape, item_shape)
+        lengths = [np.where(ids >= 0, shape[0][ids], 0) for ids, shape in ((whole, doc_shape), (flat, item_shape))]
+        # lengths of units and of each joined with the one in the direction of a walk
+        self.codes = {step: [(np.minimum(n, _ONE) * (_TWO + 1) + np.minimum(n + np.roll(n, -step), _TWO)) * scale for n, scale in zip(lengths, ((_ONE + 1) * (_TWO + 1), 1))] for step in (1, -1)}
+        self.alone = lengths[0] == 1
+        self.exact = False
+
+    def equal(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return self.known[p] == self.flat[q]
+
+    def allowed(self, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        """What the lengths allow of _SINGLE, _JOINED and _SPLIT, joined with the unit in the direction of ``step``."""
+        of_doc, of_item = self.codes[step]
+        return _FITS.take(of_doc[p] + of_item[q])
+
+    def near(self, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        """Whether near() holds."""
+        ok = self.equal(p, q)
+        k = np.flatnonzero((self.allowed(p, q, step) & _SINGLE) > ok)
+        ok[k] = self.misread(p[k], q[k])
+        return ok
 
-    def near(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray, more_p: int = 0, more_q: int = 0) -> np.ndarray:
+    def misread(self, p: np.ndarray, q: np.ndarray, more_p: int = 0, more_q: int = 0) -> np.ndarray:
         """Whether near() holds, of units joined with the next in the direction of more_p or more_q: asked once for each pair whose lengths and letters allow it."""
-        p, q = p + _PAD, q + _PAD
-        if more_p or more_q:
-            ok = np.zeros(len(p), bool)
-        else:
-            ok = self.known[p] == self.flat[q]
-            equal = np.flatnonzero(ok)
-            ok[equal] = self.inside(rows[equal], p[equal] - _PAD, q[equal] - _PAD)
+        ok = np.zeros(len(p), bool)
+        if not len(p):
+            return ok
+        a, b = self.whole[p], self.flat[q]
+        c = self.whole[p + more_p] if more_p else self.flat[q + more_q]
         # the cheapest tests first, each on what the one before left
-        lengths, letters = self.doc[more_p]
-        item_lengths, item_letters = self.item[more_q]
-        n, m = lengths[p], item_lengths[q]
+        (lengths, packed, bags, heads, tails), (item_lengths, item_packed, item_bags, item_heads, item_tails) = self.shapes
+        n, m, x, y = lengths[a], item_lengths[b], packed[a], item_packed[b]
+        if more_p:
+            n, x = n + lengths[c], x + packed[c]
+        if more_q:
+            m, y = m + item_lengths[c], y + item_packed[c]
         most = np.maximum(n, m)
-        k = np.flatnonzero((np.abs(n - m) << 2 <= most) & (most > 2) & ~ok)
-        k = k[np.bitwise_count(letters[p[k]] ^ item_letters[q[k]]) <= np.maximum(most[k] >> 1, 2)]
-        k = k[self.inside(rows[k], p[k] - _PAD, q[k] - _PAD) & self.inside(rows[k], p[k] - _PAD + more_p, q[k] - _PAD + more_q)]
-        a, b = self.whole[p[k]], self.flat[q[k]]
-        c = self.whole[p[k] + more_p] if more_p else self.flat[q[k] + more_q]
+        limit = np.maximum(most >> 2, 1)
+        # an edit takes away one letter at most and adds one at most, and a single one leaves the first letter or the last
+        lost = _lost(x, y)
+        k = np.flatnonzero((lost <= limit) & (lost - n + m <= limit) & (np.abs(n - m) << 2 <= most) & (most > 2) & (c >= 0))
+        a, b, c = a[k], b[k], c[k]
+        first, last, item_first, item_last = a, a, b, b
+        if more_p:
+            first, last = (a, c) if more_p > 0 else (c, a)
+        if more_q:
+            item_first, item_last = (b, c) if more_q > 0 else (c, b)
+        may = np.flatnonzero((limit[k] > 1) | (heads[first] == item_heads[item_first]) | (tails[last] == item_tails[item_last]))
+        k, a, b, c = k[may], a[may], b[may], c[may]
+        if not self.exact:
+            ok[k] = True
+            return ok
         D, I = self.words
         size = max(len(D), len(I)) + 1
         keys, back = np.unique((a * size + c) * (len(I) + 1) + b, return_inverse=True)
         pairs, b = np.divmod(keys, len(I) + 1)
         a, c = np.divmod(pairs, size)
-        # an edit takes away one letter at most and adds one at most
-        bag = self.bags[0][a] - self.bags[1][b]
-        bag += self.bags[0][c] if more_p else -self.bags[1][c] if more_q else np.int16(0)
+        bag = bags[a] - item_bags[b]
+        bag += bags[c] if more_p else -item_bags[c] if more_q else np.int16(0)
         lacks, adds = np.maximum(-bag, 0).sum(axis=1), np.maximum(bag, 0).sum(axis=1)
-        lengths = self.bags[0][a].sum(axis=1) + (self.bags[0][c].sum(axis=1) if more_p else 0)
+        lengths = lengths[a] + (lengths[c] if more_p else 0)
         may = np.flatnonzero(np.maximum(lacks, adds) <= np.maximum(1, (lengths + np.maximum(lacks, adds)) // 4))
         held, (a, b, c) = np.zeros(len(keys), bool), (a[may], b[may], c[may])
         x, y = [D[i] for i in a.tolist()], [I[j] for j in b.tolist()]
@@ -141,16 +203,10 @@ class _Pairs:
         return ok
 
 
-def _with_next(lengths: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return lengths + np.roll(lengths, -1), letters | np.roll(letters, -1)
-
-
 class _Side:
     """Items of one kind of unit, words or letters, cut into windows of ``size``."""
 
     def __init__(self, items: list[tuple[int, list[str]]], size: int) -> None:
-        if size + 6 > _PAD:
-            raise ValueError(f"a passage of over {_PAD - 6} units")
         self.size, self.items = size, [(i, t) for i, t in items if len(t) >= size]
         flat = [w for _, t in self.items for w in t]
         vocabulary = sorted(set(flat))
@@ -165,24 +221,21 @@ class _Side:
         weight = np.array([min(len(w), 8) for w in vocabulary], np.float32)
         self.weights = np.concatenate([np.lib.stride_tricks.sliding_window_view(weight[x], size) for x in ids]) if ids else np.zeros((0, size), np.float32)
         self.index = HammingIndex(np.concatenate(prints)) if ids else None
-        self.flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.starts = np.cumsum([0, *map(len, ids)])
+        self.flat = _parted(np.concatenate(ids) if ids else np.zeros(0, np.int64), self.starts, -1)
         self.number, self.shapes = number, _shapes(vocabulary)
-        keys, places = self._grams(self.flat, self.starts)
+        keys, places = self._grams(self.flat)
         order = np.argsort(keys, kind="stable")
         self.keys, self.places = keys[order], places[order]
 
-    def _grams(self, known: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, place) of every ``SEED`` neighbouring units of one text; ``known`` are numbers of the items' vocabulary, -1 outside."""
+    def _grams(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, place) of every ``SEED`` neighbouring units of one text; ``known`` are numbers of the items' vocabulary, below 0 outside."""
         n = max(0, len(known) - self.SEED + 1)
         inside, keys = np.ones(n, bool), np.zeros(n, np.int64)
         for k in range(self.SEED):
             part = known[k : k + n]
             inside &= part >= 0
             keys = keys * (len(self.number) + 1) + part
-        for k in range(1, self.SEED):
-            cut = starts[1:-1] - k
-            inside[cut[(cut >= 0) & (cut < n)]] = False
         places = np.flatnonzero(inside)
         return keys[places], places
 
@@ -192,38 +245,54 @@ class _Side:
         Of a stretch of equal units only the first ``SEED`` are a seed. A seed is left out only where the walks from it surely
         end before they cover a passage.
         """
-        known = np.array([self.number.get(w, -1) for w in vocabulary], np.int64)[whole]
-        doc_shape, item_shape = _shapes(vocabulary), self.shapes
-        pairs = _Pairs(known, whole, vocabulary, doc_shape, self.flat, list(self.number), item_shape)
-        keys, places = self._grams(known, starts)
+        numbers = np.array([*(self.number.get(w, -2) for w in vocabulary), -2], np.int64)
+        whole = _parted(whole, starts, -1)
+        known = numbers[whole]
+        pairs = _Pairs(known, whole, vocabulary, _shapes(vocabulary), self.flat, list(self.number), self.shapes)
+        keys, places = self._grams(known)
         first = np.searchsorted(self.keys, keys, side="left")
         count = np.searchsorted(self.keys, keys, side="right") - first
-        places, first, count = places[count > 0], first[count > 0], count[count > 0]
-        for at in range(0, len(places), _SEEDED):
-            n = count[at : at + _SEEDED]
-            p = np.repeat(places[at : at + _SEEDED], n)
-            q = self.places[np.repeat(first[at : at + _SEEDED] - (np.cumsum(n) - n), n) + np.arange(len(p))]
-            doc, owner = np.searchsorted(starts, p, side="right") - 1, np.searchsorted(self.starts, q, side="right") - 1
-            new = ~((p > starts[doc]) & (q > self.starts[owner]) & (known[p - 1] == self.flat[q - 1]))
-            p, q, doc, owner = p[new], q[new], doc[new], owner[new]
-            pairs.bounds = (starts[doc], starts[doc + 1], self.starts[owner], self.starts[owner + 1])
-            ahead, behind = self._reach(pairs, p + self.SEED - 1, q + self.SEED - 1, 1), self._reach(pairs, p, q, -1)
-            k = np.flatnonzero(ahead + behind + self.SEED >= self.size)
-            yield from zip(doc[k].tolist(), owner[k].tolist(), (p[k] - starts[doc[k]]).tolist(), (q[k] - self.starts[owner[k]]).tolist())
+        some = np.flatnonzero(count)
+        places, first, count = places[some], first[some], count[some]
+        cuts = np.searchsorted(np.cumsum(count), np.arange(_SEEDED, int(count.sum()), _SEEDED))
+        begins, own = (x[:-1] + _GAP * np.arange(1, len(x)) for x in (starts, self.starts))
+        parts, held = np.split(np.arange(len(places)), np.unique(cuts[cuts > 0])), []
+        for part in parts:
+            n = count[part]
+            p = np.repeat(places[part], n)
+            q = self.places[np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(len(p))]
+            new = np.flatnonzero(~pairs.equal(p - 1, q - 1))
+            held.append(self._passages(pairs, p[new], q[new]))
+            if part is not parts[-1] and sum(len(p) for p, _ in held) < _SEEDED:
+                continue
+            # edit distances are counted for many of the seeds that are left
+            pairs.exact = True
+            p, q = self._passages(pairs, *map(np.concatenate, zip(*held)))
+            pairs.exact, held = False, []
+            doc, owner = np.searchsorted(begins, p, side="right") - 1, np.searchsorted(own, q, side="right") - 1
+            yield from zip(doc.tolist(), owner.tolist(), (p - begins[doc]).tolist(), (q - own[owner]).tolist())
+
+    def _passages(self, pairs: _Pairs, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the seeds whose walks may cover a passage."""
+        ahead, behind = self._reach(pairs, p + self.SEED - 1, q + self.SEED - 1, 1), self._reach(pairs, p, q, -1)
+        k = np.flatnonzero(ahead + behind + self.SEED >= self.size)
+        return p[k], q[k]
 
     def _reach(self, pairs: _Pairs, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
         """Units that a walk covers at most; ``size`` where a repair may take it on."""
-        out, live = np.zeros(len(p), np.int64), np.arange(len(p))
+        out, live, ended = np.zeros(len(p), np.int64), np.arange(len(p)), []
         for k in range(1, self.size):
-            a, b = p[live] + k * step, q[live] + k * step
-            on = pairs.near(live, a, b)
-            off = np.flatnonzero(~on)
-            out[live[off[self._mendable(pairs, live[off], a[off], b[off], step)]]] = self.size
-            live = live[on]
+            on = pairs.near(p[live] + k * step, q[live] + k * step, step)
+            ended.append(live[np.flatnonzero(~on)])
+            live = live[np.flatnonzero(on)]
             out[live] += 1
+        # where walks end is asked at once for all of them
+        off = np.concatenate(ended)
+        at = (out[off] + 1) * step
+        out[off[self._mendable(pairs, p[off] + at, q[off] + at, step)]] = self.size
         return out
 
-    def _mendable(self, pairs: _Pairs, rows: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+    def _mendable(self, pairs: _Pairs, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
         """Whether _repair() may take the walks past the disagreements; true wherever it does."""
         raise NotImplementedError
 
@@ -253,7 +322,10 @@ class _Side:
                 cut = slice(k, k + _COMPARED)
                 held, asked, weight = hashes[whole[rows[cut, None] + np.arange(self.size)]], self.windows[hits[cut]], self.weights[hits[cut]]
                 same[cut] = held == asked
-                share[cut] = ((held[:, :, None] == asked[:, None, :]).any(axis=1) * weight).sum(axis=1) / weight.sum(axis=1)
+                anywhere = np.zeros(held.shape, bool)
+                for unit in held.T:
+                    anywhere |= unit[:, None] == asked
+                share[cut] = (anywhere * weight).sum(axis=1) / weight.sum(axis=1)
             good = share >= LEAST_SHARE
             yield from self._verify(docs, start, rows[good], hits[good], doc[good], same[good], share[good], done, walked)
         for d, owner, p, q in self.seeds(vocabulary, whole, start):
@@ -315,10 +387,15 @@ class _Side:
 class WordSide(_Side):
     SEED = 2
 
-    def _mendable(self, pairs: _Pairs, rows: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
-        skipped = pairs.doc[0][0][p + _PAD] == 1
-        skipped[skipped] = pairs.near(rows[skipped], p[skipped] + step, q[skipped])
-        return skipped | pairs.near(rows, p, q, step, 0) | pairs.near(rows, p, q, 0, step)
+    def _mendable(self, pairs: _Pairs, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        out, allowed = np.zeros(len(p), bool), pairs.allowed(p, q, step)
+        k = np.flatnonzero(pairs.alone[p])
+        out[k] = pairs.near(p[k] + step, q[k], step)
+        k = np.flatnonzero(allowed & _JOINED)
+        out[k] |= pairs.misread(p[k], q[k], step, 0)
+        k = np.flatnonzero(allowed & _SPLIT)
+        out[k] |= pairs.misread(p[k], q[k], 0, step)
+        return out
 
     def _repair(self, doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple[int, int] | None:
         p2, q2 = p + step, q + step
@@ -337,9 +414,9 @@ class LetterSide(_Side):
     #: A walk passes an error only before three equal letters.
     SEED = 3
 
-    def _mendable(self, pairs: _Pairs, rows: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
-        agree = lambda a, b: np.logical_and.reduce([pairs.equal(rows, a + k * step, b + k * step) for k in range(3)])
-        return pairs.inside(rows, p, q) & (agree(p + step, q + step) | agree(p, q + step) | agree(p + step, q))
+    def _mendable(self, pairs: _Pairs, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        agree = lambda a, b: np.logical_and.reduce([pairs.equal(a + k * step, b + k * step) for k in range(3)])
+        return agree(p + step, q + step) | agree(p, q + step) | agree(p + step, q)
 
     def _repair(self, doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple[int, int] | None:
         """A single misread, lost or added character between characters that agree."""

@@ -14,6 +14,8 @@ import numpy as np
 
 BITS, BLOCKS, RADIUS = 64, (22, 21, 21), 8
 _NEAR = RADIUS // len(BLOCKS)
+#: Queries compared at once, so many that they stay in the processor's cache.
+_LOOKED_AT = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ class HammingIndex:
             keys = (values[:, None] ^ masks[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
             offsets = np.searchsorted(keys[order], np.arange((1 << width) + 1)).astype(np.int32)
-            self.blocks.append((np.uint64(shift), np.uint64((1 << width) - 1), offsets, (order // len(masks)).astype(np.int32)))
+            self.blocks.append((np.uint64(shift), np.uint64((1 << width) - 1), offsets, (order // len(masks)).astype(np.min_scalar_type(len(queries)))))
             shift += width
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +93,14 @@ class HammingIndex:
             some = np.flatnonzero(count)
             if not len(some):
                 continue
-            n = count[some]
-            row = np.repeat(some, n)
-            member = members[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            close = np.bitwise_count(prints[row] ^ self.queries[member]) <= RADIUS
-            rows.append(row[close])
-            hits.append(member[close])
+            cuts = np.searchsorted(np.cumsum(count[some]), np.arange(_LOOKED_AT, int(count.sum()), _LOOKED_AT))
+            for part in np.split(some, np.unique(cuts[cuts > 0])):
+                n = count[part]
+                ends = np.cumsum(n)
+                at = np.repeat(first[part] - (ends - n), n)
+                at += np.arange(len(at))
+                near = members.take(at)
+                close = np.flatnonzero(np.bitwise_count(np.repeat(prints[part], n) ^ self.queries[near]) <= RADIUS)
+                rows.append(part[np.searchsorted(ends, close, side="right")])
+                hits.append(near[close].astype(np.int32))
         return (np.concatenate(rows), np.concatenate(hits)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int32))

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
+from kestrelgrid.llm import leaks as leaks_module
 from kestrelgrid.llm.folding import distance_within, fold, near, near_pairs
-from kestrelgrid.llm.leaks import find_leaks
+from kestrelgrid.llm.leaks import WordSide, _GAP, _Pairs, _parted, _shapes, find_leaks
 from kestrelgrid.llm.simhash_windows import RADIUS, HammingIndex, window_fingerprints, word_vectors
 
 from .pages import page, rows
@@ -127,3 +128,66 @@ def test_pairs_of_words_as_one_by_one():
     a = [word(14) for _ in range(3000)]
     b = [w[:2] + word(3) + w[3:] if rnd.random() < 0.8 else word(14) for w in a]
     assert near_pairs(a, b).tolist() == [near(x, y) for x, y in zip(a, b)] and near_pairs([], []).tolist() == []
+
+
+def test_long_words_as_one_by_one():
+    r = random.Random(8)
+    a = ["".join(r.choice("aeinrt") for _ in range(r.randrange(1, 90))) for _ in range(1500)]
+    b = []
+    for w in a:
+        w = list(w)
+        for _ in range(r.randrange(1 + len(w) // 3)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = r.choice(["", "e", "in"])
+            w = w or ["a"]
+        b.append("".join(w))
+    assert near_pairs(a, b).tolist() == [near(x, y) for x, y in zip(a, b)]
+
+
+def test_cheap_tests_of_words_leave_out_none_that_are_near():
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aei" if r.random() < 0.5 else "eeeeeeeint\u0e01") for _ in range(r.randrange(1, 14)))
+    vocabulary = sorted({word() for _ in range(300)} | {"e" * n for n in range(1, 12)})
+    texts = [[r.choice(vocabulary) for _ in range(40)] for _ in range(8)]
+    texts += [[w if r.random() < 0.5 else w[:1] + w[2:] or "a" for w in t] for t in texts]
+    texts += [[x + y for x, y in zip(t[::2], t[1::2])] for t in texts]
+    words = sorted({w for t in texts for w in t})
+    ids, starts = np.array([words.index(w) for t in texts for w in t]), np.cumsum([0, *map(len, texts)])
+    flat, place = _parted(ids, starts, -1), np.array([s + _GAP * (k + 1) + i for k, s in enumerate(starts[:-1]) for i in range(len(texts[k]))])
+    at = lambda p: words[flat[p]] if flat[p] >= 0 else None
+    pairs = _Pairs(np.where(flat < 0, -2, flat), flat, words, _shapes(words), flat, words, _shapes(words))
+    p, q = np.repeat(place, len(place)), np.tile(place, len(place))
+    p, q = p[::7], q[::7]
+    for step in (1, -1):
+        join = lambda x, y: None if x is None or y is None else x + y if step > 0 else y + x
+        of = [(at(a), at(b), join(at(a), at(a + step)), join(at(b), at(b + step))) for a, b in zip(p.tolist(), q.tolist())]
+        want = {(0, 0): [near(a, b) for a, b, _, _ in of], (step, 0): [a2 is not None and near(a2, b) for _, b, a2, _ in of], (0, step): [b2 is not None and near(a, b2) for a, _, _, b2 in of]}
+        for more, bit in (((0, 0), 1), ((step, 0), 2), ((0, step), 4)):
+            held = np.array(want[more])
+            # misread() is asked of what isn't equal and what the lengths allow
+            asked = np.flatnonzero((pairs.allowed(p, q, step) & bit) > 0)
+            assert more == (0, 0) or held[asked].sum() == held.sum() > 20
+            for pairs.exact in (True, False):
+                got = pairs.near(p, q, step) if more == (0, 0) else pairs.misread(p[asked], q[asked], *more)
+                own = held if more == (0, 0) else held[asked]
+                assert (got == own).all() if pairs.exact else (got >= own).all() and got.mean() < 0.5
+
+
+def test_few_words_are_compared_letter_by_letter(monkeypatch):
+    """Equal neighbours everywhere: edit distances are counted for a few words, at once, and no passage is left out."""
+    r = random.Random(10)
+    vocabulary = ["".join(r.choice("aeinrthyp") for _ in range(r.randrange(2, 10))) for _ in range(60)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, text(40)) for k in range(40)]
+    docs = [(d, text(150)) for d in range(40)]
+    for d, words in docs[::2]:
+        cut = items[d][1][7:20]
+        cut[4], cut[9] = cut[4] + "x" if len(cut[4]) > 3 else cut[4], cut[9][:2] + "z" + cut[9][3:] if len(cut[9]) > 3 else cut[9]
+        words[50:63] = cut
+    calls, asked = [], near_pairs
+    monkeypatch.setattr(leaks_module, "near_pairs", lambda a, b: calls.append(len(a)) or asked(a, b))
+    side = WordSide(items, 12)
+    found = {(d, i) for d, i, _, _ in side.find(docs)}
+    seeds = [(d, i, p, q) for d, doc in docs for i, item in items for p in range(len(doc) - 1) for q in range(len(item) - 1) if doc[p] == item[q] and doc[p + 1] == item[q + 1]]
+    assert found == {(d, i) for d, i, p, q in seeds if side.run(docs[d][1], items[i][1], p, q, set()) >= 12} >= {(d, d) for d in range(0, 40, 2)}
+    assert len(seeds) > 2000 and sum(calls) <= 150  # 256 when lengths and the kinds of letters alone told which to compare
